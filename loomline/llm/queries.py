@@ -83,5 +83,34 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned)}
 
-_P6_SIZE = r"""length(regexp_replace(regexp_replace(coalesce(text, ''), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+', chr(1), 'g'), '[^' || chr(1) || ']', '', 'g'))"""
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_REFINED_WORDS = (
+    "WITH w AS (SELECT DISTINCT run_id, trace_source, "
+    + _WORDS.format("list_aggregate(list_transform(conversations, lambda x: coalesce(x.content, '')), 'string_agg', chr(10))")
+    + " AS w FROM refined_rows)"
+)
+_P3 = _REFINED_WORDS + """,
+g AS (SELECT run_id, trace_source, len(w) AS n, unnest(range(1, len(w) - 2)) AS i, w FROM w),
+s AS (SELECT run_id, trace_source, n, i, row_number() OVER (PARTITION BY run_id, array_to_string(w[i:i + 3], ' ') ORDER BY i) AS k FROM g),
+p AS (SELECT DISTINCT run_id, i + j AS at FROM s, range(0, 4) t(j) WHERE k > 1),
+c AS (SELECT run_id, count(*) AS again FROM p GROUP BY run_id),
+shares AS (SELECT w.run_id, w.trace_source, len(w.w) AS n_words, coalesce(again, 0) AS n_repeated FROM w LEFT JOIN c ON c.run_id = w.run_id)
+"""
+
+_NONSPACE = r"""'''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+'"""
+# white space: a token where a run of two or more begins, where its last character isn't a blank, or at the end
+_P6_SIZE = (
+    f"len(regexp_extract_all(text, {_NONSPACE})) + len(regexp_extract_all(text, '\\s\\s+\\S'))"
+    " + len(regexp_extract_all(text, '[\\t\\n\\f\\r]\\S')) + len(regexp_extract_all(text, '\\s+$'))"
+)
+
+SQL: dict[str, str] = {
+    "p3_shares": _P3 + "SELECT run_id, trace_source, n_words, n_repeated, CASE WHEN n_words > 0 THEN n_repeated / n_words ELSE 0 END AS share FROM shares",
+    "p3_found": _P3 + "SELECT run_id FROM shares WHERE n_words > 0 AND n_repeated * 5 >= n_words * 2",
+    "p6_found": f"SELECT p.profile_id, d.doc_id FROM (SELECT doc_id, {_P6_SIZE} AS size FROM documents) d, packing_profiles p WHERE d.size + p.separator_tokens > p.capacity_tokens",
+    "p7_found": "WITH d AS (SELECT doc_id, " + _WORDS.format("text") + " AS w FROM documents), "
+    "e AS (SELECT item_id, " + _WORDS.format("text") + " AS w FROM eval_items), "
+    "dg AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)), "
+    "eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e)) "
+    "SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
+}
