@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.session import cut, table
-from loomline.llm import leakage, packing, repetition
+from loomline.llm import components, leakage, neardup, packing, repetition
 
 
 def conversation_text(conversations: str = "conversations"):
@@ -38,6 +38,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return flagged.where("n_words > 0 AND n_repeated * 5 >= n_words * 2").select("run_id").distinct()
 
 
+# 5: near-duplicate conversations
+
+
+def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, d, "refined_rows"), "run_id", conversation_text(), n=3, threshold=0.6)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.id_pairs(*_p5(spark, d))
+    return pairs.select(F.col("id_a").alias("run_id_a"), F.col("id_b").alias("run_id_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation in a class: run_id, class of equal shingle sets, group of linked classes, links of the class."""
+    members, links = _p5(spark, d)
+    links = cut(links)
+    groups = components.components(links, "class_a", "class_b").select(F.col("id").alias("class"), "component")
+    ends = links.select(F.col("class_a").alias("class")).union(links.select("class_b")).groupBy("class").agg(F.count("*").alias("n_links"))
+    out = members.join(groups, "class", "left").join(ends, "class", "left")
+    return out.select(F.col("id").alias("run_id"), "class", F.coalesce("component", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 # 6: filling containers
 
 
@@ -81,7 +103,7 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_spans(table(spark, d, "documents"), cut(_spans(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned)}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _REFINED_WORDS = (
@@ -114,3 +136,10 @@ SQL: dict[str, str] = {
     "eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e)) "
     "SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
 }
+
+SQL["p5_found"] = _REFINED_WORDS + """,
+g AS (SELECT DISTINCT run_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT run_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT run_id, count(*) AS n FROM g GROUP BY run_id),
+m AS (SELECT x.run_id AS a, y.run_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.run_id < y.run_id GROUP BY ALL)
+SELECT a AS run_id_a, b AS run_id_b FROM m JOIN n p ON p.run_id = a JOIN n q ON q.run_id = b WHERE k >= 0.6 * (p.n + q.n - k)
+"""
