@@ -171,9 +171,12 @@ def _search(radius: int):
     return run
 
 
-def candidate_pairs(classes: DataFrame, radius: int, block: int) -> DataFrame:
-    """Distinct class pairs (a < b) that share a shard and lie within the radius."""
-    words_ = [F.col("print")[i].alias(f"p{i}") for i in range(BITS // 64)]
+def candidate_pairs(classes: DataFrame, radius: int, block: int, width: int = BITS // 64) -> DataFrame:
+    """Distinct class pairs (a < b) that share a shard and lie within the radius.
+
+    ``classes``: class, keys (the shards), print (``width`` words of 64 bits).
+    """
+    words_ = [F.col("print")[i].alias(f"p{i}") for i in range(width)]
     rows = classes.select(F.explode("keys").alias("key"), "class", *words_)
     big = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     n_big = big.count()
@@ -186,10 +189,10 @@ def candidate_pairs(classes: DataFrame, radius: int, block: int) -> DataFrame:
         spread = tagged.where("blocks IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("bigint")
-        cols = ["class", *[f"p{i}" for i in range(BITS // 64)]]
+        cols = ["class", *[f"p{i}" for i in range(width)]]
         spread = spread.select(pair.alias("key"), *cols, side.alias("side"))
         rows = tagged.where("blocks IS NULL").select("key", *cols, "side").union(spread)
-    rows = rows.select("key", "side", "class", *[f"p{i}" for i in range(BITS // 64)])
+    rows = rows.select("key", "side", "class", *[f"p{i}" for i in range(width)])
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_search(radius), "a bigint, b bigint")
     return found.distinct()
 
@@ -211,6 +214,14 @@ def near_duplicates(df: DataFrame, key: str, text: Column, n: int = 5, threshold
     # equal classes have equal keys and prints: any of them stands for all
     classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.min_by("print", "id").alias("print"))
     pairs = cut(candidate_pairs(classes.drop("id"), radius, block))
+    return members, verified_links(df, key, text, members, pairs, n, threshold)
+
+
+def verified_links(df: DataFrame, key: str, text: Column, members: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets have at least the similarity ``threshold``.
+
+    Only texts that stand for a class in some pair are read again.
+    """
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct()
     stands = members.groupBy("class").agg(F.min("id").alias("id")).join(ends, "class", "left_semi")
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
@@ -224,11 +235,11 @@ def near_duplicates(df: DataFrame, key: str, text: Column, n: int = 5, threshold
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text.alias("text")).join(stands, "id", "left_semi")
     whole = texts.mapInArrow(arrow_map(sets), f"id {kind}, set array<bigint>").join(stands, "id").dropDuplicates(["class"]).select("class", "set")
     left, right = whole.select(F.col("class").alias("a"), F.col("set").alias("set_a")), whole.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b").where((F.size("set_a") > 0) & (F.size("set_b") > 0))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     out = both.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), shared.cast("bigint").alias("shared"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("sum"))
     out = out.select("class_a", "class_b", "shared", (F.col("sum") - F.col("shared")).alias("total")).withColumn("similarity", F.col("shared") / F.col("total"))
-    return members, out.where(F.col("similarity") >= threshold)
+    return out.where(F.col("similarity") >= threshold)
 
 
 def id_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

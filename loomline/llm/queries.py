@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.session import cut, table
-from loomline.llm import components, leakage, neardup, packing, repetition
+from loomline.llm import components, leakage, neardup, packing, repetition, residue
 
 
 def conversation_text(conversations: str = "conversations"):
@@ -103,7 +103,21 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_spans(table(spark, d, "documents"), cut(_spans(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned)}
+# 8: template residue and error pages
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id", "residue_kind")
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Residue per source and kind, and how it was recognised."""
+    docs = table(spark, d, "documents")
+    found = residue.residue(docs)
+    return found.join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source", "residue_kind", "how").agg(F.count("*").alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned, p8_found, p8_by_source)}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _REFINED_WORDS = (
