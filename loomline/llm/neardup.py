@@ -31,6 +31,7 @@ from loomline.llm.words import arrow_map, grams, hash_words, mix, words
 BANDS, ROWS = 48, 4
 BITS = BANDS * ROWS
 LEAF = 24
+BROADCAST_IDS = 500_000
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +224,9 @@ def verified_links(df: DataFrame, key: str, text: Column, members: DataFrame, pa
     Only texts that stand for a class in some pair are read again.
     """
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct()
-    stands = members.groupBy("class").agg(F.min("id").alias("id")).join(ends, "class", "left_semi")
+    stands = cut(members.groupBy("class").agg(F.min("id").alias("id")).join(ends, "class", "left_semi"))
+    # the texts are not shuffled while the ids are few enough to broadcast
+    wanted = F.broadcast(stands.select("id")) if stands.count() <= BROADCAST_IDS else stands.select("id")
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,7 +235,7 @@ def verified_links(df: DataFrame, key: str, text: Column, members: DataFrame, pa
         flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "set"])
 
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text.alias("text")).join(stands, "id", "left_semi")
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text.alias("text")).join(wanted, "id", "left_semi")
     whole = texts.mapInArrow(arrow_map(sets), f"id {kind}, set array<bigint>").join(stands, "id").dropDuplicates(["class"]).select("class", "set")
     left, right = whole.select(F.col("class").alias("a"), F.col("set").alias("set_a")), whole.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b").where((F.size("set_a") > 0) & (F.size("set_b") > 0))
