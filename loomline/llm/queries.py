@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.session import cut, table
-from loomline.llm import components, leakage, neardup, packing, repetition, residue
+from loomline.llm import components, leakage, neardup, packing, repetition, residue, truncation
 
 
 def conversation_text(conversations: str = "conversations"):
@@ -38,6 +38,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return flagged.where("n_words > 0 AND n_repeated * 5 >= n_words * 2").select("run_id").distinct()
 
 
+# 4: text cut off
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_turns(table(spark, d, "refined_rows"), "run_id", "conversations", "trace_source").where("reason IS NOT NULL")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d).select(F.col("id").alias("run_id"), "turn_index").distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per trace_source: turns, cut turns, their share and how they were recognised."""
+    rows = table(spark, d, "refined_rows")
+    turns = rows.select("run_id", F.coalesce("trace_source", F.lit("(null)")).alias("trace_source"), F.size("conversations").alias("n")).distinct().groupBy("trace_source").agg(F.sum("n").alias("n_turns"))
+    cut_ = _p4(spark, d).groupBy(F.coalesce("source", F.lit("(null)")).alias("trace_source"))
+    count = lambda reason: F.count_if(F.col("reason") == reason).alias(f"by_{reason}")
+    cut_ = cut_.agg(F.count("*").alias("n_cut"), *[count(r) for r in ("limit", "form", "longer_copy", "phrase")])
+    out = turns.join(cut_, "trace_source", "left").fillna(0)
+    return out.withColumn("share", F.round(F.col("n_cut") / F.col("n_turns"), 6))
+
+
 # 5: near-duplicate conversations
 
 
@@ -117,7 +139,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     return found.join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source", "residue_kind", "how").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned, p8_found, p8_by_source)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p4_found, p4_rates, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned, p8_found, p8_by_source)}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _REFINED_WORDS = (
