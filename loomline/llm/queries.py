@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.session import cut, table
-from loomline.llm import components, leakage, neardup, packing, repetition, residue, truncation
+from loomline.llm import components, leakage, neardup, packing, pairs, repetition, residue, truncation
 
 
 def conversation_text(conversations: str = "conversations"):
@@ -14,6 +14,24 @@ def conversation_text(conversations: str = "conversations"):
     return F.array_join(F.col(f"{conversations}.content"), "\n")
 
 
+# 2: broken prompt and answer pairs
+
+
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    refined = pairs.records(table(spark, d, "refined_rows"), "refined_rows", F.col("run_id"), "conversations", F.col("trace_source"))
+    mitre = pairs.records(table(spark, d, "mitre_sft"), "mitre_sft", F.col("sample_id"), "messages", F.lit(None))
+    return pairs.broken_pairs(refined.unionByName(mitre))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("table_name", "record_id", "turn_index", "defect").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Defects per table."""
+    return _p2(spark, d).groupBy("table_name", "defect").agg(F.count("*").alias("n_pairs"))
+
+
 # 3: repetition inside one document
 
 
@@ -139,7 +157,7 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     return found.join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source", "residue_kind", "how").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_shares, p3_cutoffs, p4_found, p4_rates, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned, p8_found, p8_by_source)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_shares, p3_cutoffs, p4_found, p4_rates, p5_found, p5_groups, p6_found, p6_assignments, p6_fill, p7_found, p7_items, p7_cleaned, p8_found, p8_by_source)}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _REFINED_WORDS = (

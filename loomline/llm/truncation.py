@@ -30,14 +30,20 @@ import xxhash
 STOPS = ".!?…。"
 _CLOSERS = "\"'`)]}*_»”’"
 _BREAK, _STOP = "\x00", "\x01"
+COMMON = 5  # times in a few megabytes of text
 BROADCAST_PREFIXES = 2_000_000
 PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up
 _PATH = re.compile(r"^[~.]?(?:/[\w.\-~]*)+$")
 _EXT = re.compile(r"\.([a-z][a-z0-9]{0,7})$")
+_LABEL = re.compile(r"\W{0,4}[^\W\d][\w() /-]{1,40}:")
 _NEW = re.compile(r"\s*(?:[.!?]|\n|$)|\s+[\"'`(]?[A-ZÀ-Þ/]")
 _HEX = re.compile(r"^(?=.*\d)[0-9a-f]+$")
 
 
+def text_hash(t: str) -> int:
+    return xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+
+
 def normal(token: str) -> str:
     """The class of a token that is an id, a path, a number or a composed name; else the word in lower case."""
     t = token.strip("\"'`()[]{}<>*,;:.!?…»«“”")
@@ -76,7 +82,7 @@ _EDGE, _OVER = np.uint64(xxhash.xxh3_64_intdigest(_BREAK)), np.uint64(xxhash.xxh
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, times at an end, times inside) of all phrases of one to three tokens, and of what follows a token.
 
     A text's own last token counts only if it has a stop: whether it is an end is in question.
@@ -97,7 +103,12 @@ def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     ends = np.tile(final[real], len(keys))
     uniq, inverse = np.unique(all_keys, return_inverse=True)
     n_end = np.bincount(inverse, weights=ends, minlength=len(uniq)).astype(np.int64)
-    return uniq, n_end, np.bincount(inverse, minlength=len(uniq)) - n_end
+    n_all = np.bincount(inverse, minlength=len(uniq))
+    own = list(set(found))
+    key = mix(np.array([_tokens[t][0] for t in own], np.uint64) + _ODD)
+    at = np.minimum(np.searchsorted(uniq, key), len(uniq) - 1)
+    common = (uniq[at] == key) & (n_all[at] >= COMMON)
+    return uniq, n_end, n_all - n_end, word_starts({t for t, c in zip(own, common) if c})
 
 
 def phrase_keys(h: np.ndarray, final: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -132,20 +143,30 @@ def style(text: str) -> str:
     lines = [x for x in text.rstrip().split("\n") if x.strip()]
     if any(t.rstrip(_CLOSERS)[-1:] in tuple(STOPS) and not t[:-1].isdigit() for t in lines[-1].split()[:-1]):
         return "prose"
+    if len(lines) > 1 and _LABEL.match(lines[-1]):
+        return "line"
     if len(lines) == 1:
         return "single" if len(lines[0].split()) > 2 else "token"
     return "prose" if lines[-2].rstrip().rstrip(_CLOSERS)[-1:] in tuple(STOPS) else "line"
 
 
-def tail(text: str) -> tuple[int, int, int, int]:
-    """Keys of the last three tokens, of the last two, of the last, and of what follows the one before."""
+def tail(text: str) -> tuple[int, int, int, int, int, bool]:
+    """Keys of the last token, of the last two, of the last three, of what follows the one before, of the last as the start of a word (0 if it is none), whether it is a path without an extension."""
     last = text.rstrip().split("\n")[-1].split()[-8:]
     pairs = [_tokens[t] for t in last]
     h = np.array([p[0] for p in pairs], np.uint64)
     final = np.array([p[1] for p in pairs], bool)
     final[-1:] = True
     uni, bi, tri, after = phrase_keys(h, final, np.zeros(len(h), bool))
-    return int(uni[-1]), int(bi[-1]), int(tri[-1]), int(after[-1])
+    word = last[-1].strip("\"'`(*")
+    start = text_hash("start " + word) if word.isalpha() and word.islower() else 0
+    return int(uni[-1]), int(bi[-1]), int(tri[-1]), int(after[-1]), start, normal(last[-1]) == "<path>"
+
+
+def word_starts(found: set[str]) -> np.ndarray:
+    """Hashes of all proper starts of plain words."""
+    starts = {w[:k] for w in found if len(w) > 3 and w.isalpha() and w.islower() for k in range(1, len(w))}
+    return np.fromiter((text_hash("start " + x) for x in starts), np.uint64, len(starts))
 
 
 def _signed(x: list[int]) -> np.ndarray:
@@ -155,15 +176,15 @@ def _signed(x: list[int]) -> np.ndarray:
 def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame:
     """One pass over conversations: phrase counts and turns that need a look.
 
-    kind 0: key1 with n_end and n_mid. kind 1: a turn that isn't done: id, turn_index, role, source, length,
-    state, key1..key4 (its last phrases), style, prefix and whole (hashes of its fixed-length
+    kind 0: key1 with n_end and n_mid. kind 2: key1 of a start of a common word. kind 1: a turn that isn't done: id, turn_index, role, source, length,
+    state, key1..key5 (its last phrases and word), path, style, prefix and whole (hashes of its fixed-length
     prefix and of itself).
     """
     rows = df.where(F.col(key).isNotNull() & F.col(conversations).isNotNull())
     texts = F.transform(F.col(conversations), lambda t: t["content"])
     rows = rows.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), texts.alias("texts"))
     kind_ = rows.schema["id"].dataType.simpleString()
-    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, style string, at int, prefix bigint, whole bigint, n_end bigint, n_mid bigint"
+    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, n_end bigint, n_mid bigint"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
@@ -182,38 +203,37 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                         how = state(t)
                         if how == "done":
                             continue
-                        uni, bi, tri, after = tail(t)
+                        uni, bi, tri, after, start, path = tail(t)
                         at = next((p for p in reversed(PREFIXES) if p <= len(t)), 0)
-                        values = (1, i, k, src, len(t), how, uni, bi, tri, after, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0)
+                        values = (1, i, k, src, len(t), how, uni, bi, tri, after, start, path, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0)
                         for n, v in zip(names, values):
                             out[n].append(v)
                 m = len(out["kind"])
-                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "state": pa.string(), "style": pa.string(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in names if n not in ("key1", "key2", "key3", "key4", "prefix", "whole", "n_end", "n_mid")}
-                cols |= {n: pa.array(_signed(out[n])) for n in ("key1", "key2", "key3", "key4", "prefix", "whole")}
+                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "state": pa.string(), "style": pa.string(), "path": pa.bool_(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in names if n not in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole", "n_end", "n_mid")}
+                cols |= {n: pa.array(_signed(out[n])) for n in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole")}
                 cols |= {n: pa.array(out[n], pa.int64()) for n in ("n_end", "n_mid")}
                 if m:
                     yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
                 for a, b in chunks(flat):
-                    keys, ends, mids = phrase_counts(flat[a:b])
-                    z = len(keys)
-                    fixed = {"kind": pa.array(np.zeros(z, np.int32)), "key1": pa.array(keys.view(np.int64)), "n_end": pa.array(ends), "n_mid": pa.array(mids)}
+                    keys, ends, mids, starts = phrase_counts(flat[a:b])
+                    z, none = len(keys) + len(starts), np.zeros(len(starts), np.int64)
+                    kinds = np.concatenate((np.zeros(len(keys), np.int32), np.full(len(starts), 2, np.int32)))
+                    fixed = {"kind": pa.array(kinds), "key1": pa.array(np.concatenate((keys, starts)).view(np.int64)), "n_end": pa.array(np.concatenate((ends, none))), "n_mid": pa.array(np.concatenate((mids, none)))}
                     yield pa.RecordBatch.from_arrays([fixed[n] if n in fixed else pa.nulls(z, cols[n].type) for n in names], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def text_hash(t: str) -> int:
-    return xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+def field_limits(suspects: DataFrame, reach: int = 6, sigmas: float = 6.0, least: int = 6) -> DataFrame:
+    """(source, length) at which unfinished values pile up.
 
-
-def field_limits(suspects: DataFrame, least: int = 8, times: float = 6.0, reach: int = 3) -> DataFrame:
-    """(source, length) at which unfinished values pile up: at least ``least`` of them and ``times`` the mean of the ``reach`` lengths on either side."""
-    counts = suspects.where("source IS NOT NULL AND length > 0").groupBy("source", "length").agg(F.count("*").alias("n"))
-    counts = cut(counts)
-    near = counts.select(F.col("source"), F.explode(F.array(*[F.col("length") + k for k in range(-reach, reach + 1) if k])).alias("length"), F.col("n").alias("m"))
-    near = near.groupBy("source", "length").agg(F.sum("m").alias("around"))
-    joined = counts.where(F.col("n") >= least).join(near, ["source", "length"], "left")
-    return joined.where(F.col("n") * 2 * reach >= times * F.coalesce("around", F.lit(0))).select("source", "length", F.col("n").alias("n_at_limit"))
+    Their number there is beyond the mean of the ``reach`` lengths on either side by ``sigmas`` of its square roots and ``least``.
+    """
+    counts = cut(suspects.where("source IS NOT NULL AND length > 0").groupBy("source", "length").agg(F.count("*").alias("n")))
+    near = counts.select("source", F.explode(F.array(*[F.col("length") + k for k in range(-reach, reach + 1) if k])).alias("length"), F.col("n").alias("m"))
+    near = near.groupBy("source", "length").agg((F.sum("m") / (2 * reach)).alias("mean"))
+    joined = counts.where(F.col("n") >= least).join(near, ["source", "length"], "left").fillna(0.0, ["mean"])
+    return joined.where(F.col("n") >= F.col("mean") + sigmas * F.sqrt("mean") + least).select("source", "length", F.col("n").alias("n_at_limit"))
 
 
 def longer_copies(suspects: DataFrame, df: DataFrame, conversations: str) -> DataFrame:
@@ -262,7 +282,9 @@ def longer_copies(suspects: DataFrame, df: DataFrame, conversations: str) -> Dat
 # Below these chances that a phrase is an end, a text that stops there was cut; with finished sentences before it, the missing stop counts too.
 # A last token that is hardly seen anywhere is a word cut short, unless the token before it often comes last but one.
 LIKELY = {"prose": 0.095, "single": 0.05, "line": 0.004}
+# Still more so if common words begin with it. A path without an extension was cut unless such paths are usual there.
 RARE, LIKELY_RARE = 10, {"prose": 0.25, "single": 0.25, "line": 0.04}
+LIKELY_START, LIKELY_PATH = {"prose": 0.9, "single": 0.9, "line": 0.15}, {"prose": 0.6, "single": 0.6, "line": 0.3}
 _WEIGHT = 20.0
 
 
@@ -291,10 +313,13 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
     p = F.lit(0.05)
     for i in (4, 1, 2, 3):  # each is backed by the one before
         p = (F.col(f"e{i}") + _WEIGHT * p) / (F.col(f"n{i}") + _WEIGHT)
-    rows = rows.withColumn("chance", p)
+    starts = scanned.where("kind = 2").select(F.col("key1").alias("key5")).distinct().join(suspects.select("key5").distinct(), "key5", "left_semi")
+    rows = rows.withColumn("chance", p).join(starts.withColumn("start", F.lit(True)), "key5", "left")
     limit = F.coalesce("limit", F.col("source").isNull() & F.col("some_limit"), F.lit(False))
     likely = F.lit(0.0)
     for name in LIKELY:
-        likely = F.when(F.col("style") == name, F.when(F.col("n1") < RARE, LIKELY_RARE[name]).otherwise(LIKELY[name])).otherwise(likely)
+        rare = F.when((F.col("n1") < RARE) & F.col("start"), LIKELY_START[name]).when(F.col("path"), LIKELY_PATH[name])
+        rare = rare.when((F.col("n1") < RARE) & (F.lit(name != "line") | (F.col("key5") != 0)), LIKELY_RARE[name])
+        likely = F.when(F.col("style") == name, rare.otherwise(LIKELY[name])).otherwise(likely)
     reason = F.when(F.col("state") == "broken", "form").when(limit, "limit").when(F.col("longer"), "longer_copy").when(F.col("chance") < likely, "phrase")
     return rows.select("id", "turn_index", "source", "length", "state", "style", "chance", reason.alias("reason"))
