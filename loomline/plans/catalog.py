@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import incremental_queries
+from loomline.plans import attempt_queries, conv_queries, incremental_queries, slot_queries
 
-MODULES = (incremental_queries,)
+MODULES = (incremental_queries, conv_queries, slot_queries, attempt_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
