@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,18 +68,26 @@ def normal(token: str) -> str:
 
 
 class _Tokens(dict):
-    """token -> (hash of its class, whether it ends a sentence)."""
+    """token -> hash of its class, the lowest bit telling whether it ends a sentence."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         if len(self) >= 400_000:
             self.clear()
         ends = token in (_BREAK, _STOP) or token.rstrip(_CLOSERS)[-1:] in ("", *STOPS)
-        value = self[token] = (xxhash.xxh3_64_intdigest(normal(token)), int(ends))
+        value = self[token] = xxhash.xxh3_64_intdigest(normal(token)) & ~1 | ends
         return value
 
 
 _tokens = _Tokens()
-_EDGE, _OVER = np.uint64(xxhash.xxh3_64_intdigest(_BREAK)), np.uint64(xxhash.xxh3_64_intdigest(_STOP))
+_ONE = np.uint64(1)
+_EDGE, _OVER = (np.uint64(xxhash.xxh3_64_intdigest(x) & ~1) for x in (_BREAK, _STOP))
+
+
+def _hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    v = np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
+    return v & ~_ONE, (v & _ONE).astype(bool)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,10 +97,8 @@ def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     A text's own last token counts only if it has a stop: whether it is an end is in question.
     """
     found = f" {_STOP} ".join(t.replace("\n", f" {_BREAK} ") for t in texts).split()
-    pairs = [_tokens[t] for t in found]
-    pairs.append(_tokens[_STOP])
-    h = np.array([p[0] for p in pairs], np.uint64)
-    final = np.array([p[1] for p in pairs], bool)
+    found.append(_STOP)
+    h, final = _hashed(found)
     over = h == _OVER
     gap = (h == _EDGE) | over
     real = ~gap
@@ -101,13 +108,12 @@ def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     real = np.flatnonzero(real)
     all_keys = np.concatenate([k[real] for k in keys])
     ends = np.tile(final[real], len(keys))
-    uniq, inverse = np.unique(all_keys, return_inverse=True)
+    inverse, uniq = pd.factorize(all_keys)
     n_end = np.bincount(inverse, weights=ends, minlength=len(uniq)).astype(np.int64)
     n_all = np.bincount(inverse, minlength=len(uniq))
     own = list(set(found))
-    key = mix(np.array([_tokens[t][0] for t in own], np.uint64) + _ODD)
-    at = np.minimum(np.searchsorted(uniq, key), len(uniq) - 1)
-    common = (uniq[at] == key) & (n_all[at] >= COMMON)
+    at = pd.Index(uniq).get_indexer(mix(_hashed(own)[0] + _ODD))
+    common = (at >= 0) & (n_all[at] >= COMMON) if len(uniq) else at > 0
     return uniq, n_end, n_all - n_end, word_starts({t for t, c in zip(own, common) if c})
 
 
@@ -153,9 +159,7 @@ def style(text: str) -> str:
 def tail(text: str) -> tuple[int, int, int, int, int, bool]:
     """Keys of the last token, of the last two, of the last three, of what follows the one before, of the last as the start of a word (0 if it is none), whether it is a path without an extension."""
     last = text.rstrip().split("\n")[-1].split()[-8:]
-    pairs = [_tokens[t] for t in last]
-    h = np.array([p[0] for p in pairs], np.uint64)
-    final = np.array([p[1] for p in pairs], bool)
+    h, final = _hashed(last)
     final[-1:] = True
     uni, bi, tri, after = phrase_keys(h, final, np.zeros(len(h), bool))
     word = last[-1].strip("\"'`(*")
@@ -190,8 +194,8 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
     def run(batches):
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 ids, sources, lists = (part.column(i).to_pylist() for i in range(3))
                 out: dict[str, list] = {n: [] for n in names}
                 flat: list[str] = []
