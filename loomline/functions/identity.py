@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUL = F.lit("\x00")
-
 
 def _hash(*parts: Column) -> Column:
     out = [parts[0]]

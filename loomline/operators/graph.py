@@ -65,13 +65,16 @@ def attack_id(refs: Column) -> Column:
     return F.get(F.filter(refs, lambda r: r["source_name"] == "mitre-attack"), F.lit(0))["external_id"]
 
 
-@F.udf("string")
-def pretty(name, tid, tactic, sub, platforms, summary, detection, sources, mitigations):
+def _pretty(name, tid, tactic, sub, platforms, summary, detection, sources, mitigations):
     """An indented JSON document with keys in the order given."""
     body = {"tactic": tactic, "technique_id": tid, "technique_name": name, "is_subtechnique": bool(sub), "platforms": platforms or [], "summary": summary, "recommended_detection": detection, "data_sources": sources or [], "recommended_mitigation": mitigations or []}
     return json.dumps(body, ensure_ascii=False, indent=2)
 
 
+def pretty(*columns) -> Column:
+    return F.udf(_pretty, T.StringType())(*columns)
+
+
 def examples(objs: DataFrame, system: str) -> DataFrame:
     """(id, kind, messages): instruction examples of techniques, groups, software and tactics."""
     verts, edges = vertices(objs), objs.where("type = 'relationship'")

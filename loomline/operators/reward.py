@@ -32,4 +32,4 @@ def advantages(df: DataFrame, group: str, reward: str) -> DataFrame:
     """Rewards against their group: (reward - mean) / standard deviation, 0 if all are equal."""
     w = W.partitionBy(group)
     sd = F.stddev_pop(reward).over(w)
-    return df.withColumn("advantage", F.when(sd > 0, (F.col(reward) - F.avg(reward).over(w)) / sd).otherwise(0.0))
+    return df.withColumn("advantage", F.when(sd > 1e-9, (F.col(reward) - F.avg(reward).over(w)) / sd).otherwise(0.0))

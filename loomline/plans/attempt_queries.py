@@ -11,7 +11,6 @@ from loomline.operators import dedup, publish
 from loomline.plans import conv_queries as Q
 from loomline.streaming import checkpoints
 
-C = F.col("conversations")
 
 
 def _attempts(spark, d):

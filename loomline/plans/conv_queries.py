@@ -11,7 +11,6 @@ from loomline.functions.session import table
 from loomline.operators import dedup, prompts
 from loomline.sources import parquet
 
-C = F.col("conversations")
 ROW = ("source_file", "source_row_index")
 
 
@@ -21,48 +20,48 @@ def _sources(spark: SparkSession, d: str, **cols) -> DataFrame:
 
 
 def conv_structural_filter(spark, d):
-    rows = _sources(spark, d, n_turns=F.size(C), n_chars=F.length(conv.joined(C, by=" ")), ok=conv.is_structural(C))
+    rows = _sources(spark, d, n_turns=F.size(F.col("conversations")), n_chars=F.length(conv.joined(F.col("conversations"), by=" ")), ok=conv.is_structural(F.col("conversations")))
     return rows.where("ok").drop("ok")
 
 
 def conv_problem_counts(spark, d):
-    rows = _sources(spark, d, strict=F.coalesce(conv.problem(C), F.lit("none")), lenient=F.coalesce(conv.problem(C, blank_ok=True, any_final=True, least=1, most=None), F.lit("none")))
+    rows = _sources(spark, d, strict=F.coalesce(conv.problem(F.col("conversations")), F.lit("none")), lenient=F.coalesce(conv.problem(F.col("conversations"), blank_ok=True, any_final=True, least=1, most=None), F.lit("none")))
     return rows.groupBy("strict", "lenient").agg(F.count("*").alias("n"))
 
 
 def conv_canonical_fingerprint(spark, d):
-    return _sources(spark, d, fingerprint=conv.fingerprint(C))
+    return _sources(spark, d, fingerprint=conv.fingerprint(F.col("conversations")))
 
 
 def conv_refined_fingerprint_check(spark, d):
-    rows = table(spark, d, "refined_rows").select("run_id", conv.fingerprint(C).alias("fingerprint"), F.lower("refined_conversation_fingerprint").alias("stored"))
+    rows = table(spark, d, "refined_rows").select("run_id", conv.fingerprint(F.col("conversations")).alias("fingerprint"), F.lower("refined_conversation_fingerprint").alias("stored"))
     return rows.distinct().select("run_id", "fingerprint", F.coalesce(F.col("fingerprint") == F.col("stored"), F.lit(False)).alias("matches"))
 
 
 def conv_legacy_fingerprint_dedup(spark, d):
-    rows = _sources(spark, d, task=F.col("task"), fingerprint=conv.legacy_fingerprint(C), ok=conv.is_structural(C)).where("ok").drop("ok")
+    rows = _sources(spark, d, task=F.col("task"), fingerprint=conv.legacy_fingerprint(F.col("conversations")), ok=conv.is_structural(F.col("conversations"))).where("ok").drop("ok")
     return dedup.keep_first(rows, ["task", "fingerprint"], list(ROW))
 
 
 def conv_role_profile(spark, d):
-    rows = _sources(spark, d, letters=conv.role_letters(C))
+    rows = _sources(spark, d, letters=conv.role_letters(F.col("conversations")))
     return rows.groupBy("letters").agg(F.count("*").alias("n"))
 
 
 def conv_instruction_extract(spark, d):
-    return _sources(spark, d, instruction=conv.instruction(C))
+    return _sources(spark, d, instruction=conv.instruction(F.col("conversations")))
 
 
 def task_table(spark, d):
     """The first row of each task in file order, with the instruction after the agent."""
     cols = ["agent", "traj_date", "episode", "model", "model_provider", "result", "run_id", "task", "trace_source", "trial_name"]
-    rows = table(spark, d, "source_trajectories").select("agent", conv.instruction(C).alias("instruction"), *cols[1:], *ROW)
+    rows = table(spark, d, "source_trajectories").select("agent", conv.instruction(F.col("conversations")).alias("instruction"), *cols[1:], *ROW)
     return dedup.keep_first(rows, ["task"], list(ROW)).drop(*ROW)
 
 
 def source_identity(spark, d):
     rid = identity.source_record_id(F.col("source_file"), F.col("source_row_index"), F.col("trial_name"), F.col("run_id"), F.col("task"), F.col("fingerprint"))
-    rows = _sources(spark, d, trial_name=F.col("trial_name"), run_id=F.col("run_id"), task=F.col("task"), fingerprint=conv.fingerprint(C))
+    rows = _sources(spark, d, trial_name=F.col("trial_name"), run_id=F.col("run_id"), task=F.col("task"), fingerprint=conv.fingerprint(F.col("conversations")))
     return rows.select(*ROW, rid.alias("source_record_id"))
 
 
@@ -89,7 +88,7 @@ def doc_anchors(spark, d):
 def prompt_refinement(spark, d):
     slots = table(spark, d, "refinement_slots").select("synthetic_id", *ROW, "source_task_id", "refinement_index").distinct()
     src = dedup.keep_first(table(spark, d, "source_trajectories").select(*ROW, "conversations"), list(ROW), [*ROW])
-    text = prompts.refinement(F.col("source_task_id"), F.col("refinement_index"), C)
+    text = prompts.refinement(F.col("source_task_id"), F.col("refinement_index"), F.col("conversations"))
     return slots.join(src, list(ROW)).select("synthetic_id", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("prompt_hash"))
 
 

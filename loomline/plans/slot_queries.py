@@ -10,7 +10,6 @@ from loomline.functions.session import cut, table
 from loomline.operators import dedup, quality, slots
 from loomline.plans import conv_queries as Q
 
-C = F.col("conversations")
 
 
 def _ids(spark, d):
@@ -94,7 +93,7 @@ def shuffle_by_hash(spark, d):
 def _both(spark, d):
     """Refined conversations with their source's, one row a run_id."""
     src = dedup.keep_first(table(spark, d, "source_trajectories").select("source_file", "source_row_index", "conversations"), ["source_file", "source_row_index"], ["source_file"])
-    ref = table(spark, d, "refined_rows").select("run_id", "source_file", "source_row_index", C.alias("candidate"))
+    ref = table(spark, d, "refined_rows").select("run_id", "source_file", "source_row_index", F.col("conversations").alias("candidate"))
     return ref.join(src.withColumnRenamed("conversations", "source"), ["source_file", "source_row_index"])
 
 
