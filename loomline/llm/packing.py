@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions.session import cut
 
-# The published GPT-2 pre-tokenizer pattern (fixed value); \x1c-\x1f are white space to it, not to Java's \s.
-PRETOKENS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\x1c-\x1f\p{L}\p{N}]+|[\s\x1c-\x1f]+(?![^\s\x1c-\x1f])|[\s\x1c-\x1f]+"
+# The published GPT-2 pre-tokenizer pattern (fixed value), with Unicode classes.
+PRETOKENS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def pretoken_count(text: Column) -> Column:

@@ -289,7 +289,7 @@ LIKELY = {"prose": 0.095, "single": 0.05, "line": 0.004}
 # Still more so if common words begin with it. A path without an extension was cut unless such paths are usual there.
 RARE, LIKELY_RARE = 10, {"prose": 0.25, "single": 0.25, "line": 0.04}
 LIKELY_START, LIKELY_PATH = {"prose": 0.9, "single": 0.9, "line": 0.15}, {"prose": 0.6, "single": 0.6, "line": 0.3}
-_WEIGHT = 20.0
+_WEIGHT, LOOKS_CUT = 20.0, 0.15
 
 
 def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame:
@@ -305,12 +305,8 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
     stats = scanned.where("kind = 0").groupBy(F.col("key1").alias("k")).agg(F.sum("n_end").alias("e"), F.sum("n_mid").alias("m"))
     wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).distinct()
     stats = cut(stats.join(wanted, "k", "left_semi"))
-    limits = cut(field_limits(suspects))
-    at_limit = suspects.join(limits.select("source", "length", F.lit(True).alias("limit")), ["source", "length"], "left")
-    any_limit = limits.select("length", F.lit(True).alias("some_limit")).distinct()
-    at_limit = at_limit.join(any_limit, "length", "left")
     copies = longer_copies(suspects, df, conversations).withColumn("longer", F.lit(True))
-    rows = at_limit.join(copies, "whole", "left")
+    rows = suspects.join(copies, "whole", "left")
     for i in (1, 2, 3, 4):
         rows = rows.join(stats.select(F.col("k").alias(f"key{i}"), F.col("e").alias(f"e{i}"), (F.col("e") + F.col("m")).alias(f"n{i}")), f"key{i}", "left")
         rows = rows.fillna(0, [f"e{i}", f"n{i}"])
@@ -319,6 +315,11 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
         p = (F.col(f"e{i}") + _WEIGHT * p) / (F.col(f"n{i}") + _WEIGHT)
     starts = scanned.where("kind = 2").select(F.col("key1").alias("key5")).distinct().join(suspects.select("key5").distinct(), "key5", "left_semi")
     rows = rows.withColumn("chance", p).join(starts.withColumn("start", F.lit(True)), "key5", "left")
+    rows = cut(rows.select("id", "turn_index", "source", "length", "state", "style", "path", "key5", "n1", "chance", "start", "longer"))
+    # limits show in values that look cut; at a limit, all without a stop were
+    limits = cut(field_limits(rows.where(F.col("chance") < LOOKS_CUT)))
+    rows = rows.join(limits.select("source", "length", F.lit(True).alias("limit")), ["source", "length"], "left")
+    rows = rows.join(limits.select("length", F.lit(True).alias("some_limit")).distinct(), "length", "left")
     limit = F.coalesce("limit", F.col("source").isNull() & F.col("some_limit"), F.lit(False))
     likely = F.lit(0.0)
     for name in LIKELY:
