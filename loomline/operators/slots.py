@@ -41,16 +41,27 @@ def pending(slots: DataFrame, done: DataFrame, key: str = "synthetic_id") -> Dat
     return slots.join(done.select(key).distinct(), key, "left_anti")
 
 
-def numbered(df: DataFrame, order: list[str], buckets: int = 64, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], buckets: int | None = None, name: str = "position") -> DataFrame:
     """Rows numbered from 0 in the given order, without one task that sees all rows.
 
-    Rows are ranged into buckets by sorted sampling bounds; counts per bucket give the offsets.
+    Bounds from a sample of the keys (20 per bucket, those with the smallest hashes) split the order into buckets; counts per
+    bucket give the offsets. A row's bucket is a plain expression of its key, so it is the same each time
+    it is computed. Equal keys are numbered in any order; nulls come first.
     """
-    ranged = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    buckets = buckets or min(256, max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(20 * buckets).orderBy(*order).collect()
+    kinds = [df.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order)]) for r in sample[20::20]]
+    own = F.struct(*[F.col(c).alias(c) for c in order])
+    bucket = F.lit(0)
+    for b in bounds:
+        bucket = bucket + (own >= b).cast("int")
+    split = df.withColumn("_p", bucket)
+    counts = split.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_from", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row per bucket
     inside = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_i", inside).join(F.broadcast(offsets.select("_p", "_from")), "_p").withColumn(name, F.col("_from") + F.col("_i")).drop("_p", "_i", "_from")
+    numbers = split.withColumn("_i", inside).join(F.broadcast(offsets.select("_p", "_from")), "_p")
+    return numbers.withColumn(name, F.col("_from") + F.col("_i")).drop("_p", "_i", "_from")
 
 
 def micro_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -30,6 +30,10 @@ def test_assignment_counts(spark):
 def test_numbered_is_gapless(spark):
     df = slots.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], 8)
     assert all(r.k == r.position for r in df.collect())
+    wide = slots.numbered(spark.range(0, 200_000, 1, 7).select(F.sha2(F.col("id").cast("string"), 256).alias("h")), ["h"], 16).collect()
+    assert [r.position for r in sorted(wide)] == list(range(200_000))
+    odd = slots.numbered(spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("a", None)], "k string, v int"), ["k", "v"], 4).collect()
+    assert [(r.k, r.v) for r in sorted(odd, key=lambda r: r.position)] == [(None, 1), (None, 3), ("a", None), ("a", 2)]
     assert slots.numbered(spark.range(0).select(F.col("id").alias("k")), ["k"]).count() == 0
 
 
