@@ -71,7 +71,7 @@ class _Tokens(dict):
     """token -> hash of its class, the lowest bit telling whether it ends a sentence."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         ends = token in (_BREAK, _STOP) or token.rstrip(_CLOSERS)[-1:] in ("", *STOPS)
         value = self[token] = xxhash.xxh3_64_intdigest(normal(token)) & ~1 | ends

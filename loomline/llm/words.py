@@ -14,7 +14,7 @@ import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 CHUNK_CHARS = 4_000_000
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
