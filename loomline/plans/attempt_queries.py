@@ -65,9 +65,9 @@ def dedup_keep_first_documents(spark, d):
 
 
 def dedup_collision_winner(spark, d):
-    """Accepted attempts of slots without a published row, resolved against the published fingerprints."""
+    """Accepted attempts, resolved against the fingerprints of published first slots."""
     rows = _attempts(spark, d).where("status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL").select("synthetic_id", F.lower("conversation_fingerprint").alias("fingerprint")).distinct()
-    have = table(spark, d, "refined_rows").select(F.lower("refined_conversation_fingerprint").alias("fingerprint")).where("substring(fingerprint, 1, 1) < '8'")
+    have = table(spark, d, "refined_rows").where("refinement_index = 0").select(F.lower("refined_conversation_fingerprint").alias("fingerprint"))
     return dedup.collision_winners(rows, have, "fingerprint", "synthetic_id")
 
 
@@ -158,7 +158,7 @@ SQL = {
     "attempts_safe_errors": f"WITH {_ATT} SELECT left(trim(regexp_replace(error, '{Q._WS}+', ' ', 'g')), 60) AS message, count(*) AS n FROM a WHERE error IS NOT NULL GROUP BY 1",
     "attempts_hourly": f"WITH {_ATT} SELECT strftime(date_trunc('hour', logged_at), '%Y-%m-%d %H:%M:%S') AS hour, status, count(*) AS n FROM a WHERE logged_at IS NOT NULL GROUP BY 1, 2",
     "dedup_keep_first_documents": "SELECT doc_id, source, sha256(coalesce(text, '')) AS text_hash FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1",
-    "dedup_collision_winner": f"WITH {_ATT}, c AS (SELECT DISTINCT synthetic_id, lower(conversation_fingerprint) AS fingerprint FROM a WHERE status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL), h AS (SELECT DISTINCT lower(refined_conversation_fingerprint) AS f FROM refined_rows WHERE substr(lower(refined_conversation_fingerprint), 1, 1) < '8') SELECT synthetic_id, fingerprint, (h.f IS NULL AND synthetic_id = min(synthetic_id) OVER (PARTITION BY fingerprint)) AS won FROM c LEFT JOIN h ON h.f = c.fingerprint",
+    "dedup_collision_winner": f"WITH {_ATT}, c AS (SELECT DISTINCT synthetic_id, lower(conversation_fingerprint) AS fingerprint FROM a WHERE status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL), h AS (SELECT DISTINCT lower(refined_conversation_fingerprint) AS f FROM refined_rows WHERE refinement_index = 0) SELECT synthetic_id, fingerprint, (h.f IS NULL AND synthetic_id = min(synthetic_id) OVER (PARTITION BY fingerprint)) AS won FROM c LEFT JOIN h ON h.f = c.fingerprint",
     "uniqueness_violations": f"SELECT 'run_id' AS reason, run_id AS value, count(*) AS n FROM {_REF} WHERE run_id IS NOT NULL GROUP BY run_id HAVING count(*) > 1 UNION ALL SELECT 'fingerprint', fingerprint, count(*) FROM {_REF} WHERE fingerprint IS NOT NULL GROUP BY fingerprint HAVING count(*) > 1 UNION ALL SELECT 'source_run_id', run_id, count(*) FROM (SELECT DISTINCT run_id, source_file, source_row_index FROM source_trajectories) WHERE run_id IS NOT NULL GROUP BY run_id HAVING count(*) > 1",
     "expected_versus_accepted": "SELECT DISTINCT synthetic_id, 'missing' AS side FROM refinement_slots WHERE synthetic_id NOT IN (SELECT run_id FROM refined_rows) UNION ALL SELECT DISTINCT run_id, 'unknown' FROM refined_rows WHERE run_id NOT IN (SELECT synthetic_id FROM refinement_slots)",
     "publish_union_counts": "SELECT false AS is_synthetic_augmentation, count(*) AS n, 0::BIGINT AS n_lineage, sum(len(conversations))::BIGINT AS n_turns FROM (SELECT DISTINCT source_file, source_row_index, conversations FROM source_trajectories) UNION ALL SELECT is_synthetic_augmentation, count(*), count(source_record_id), sum(len(conversations))::BIGINT FROM (SELECT DISTINCT run_id, is_synthetic_augmentation, source_record_id, conversations FROM refined_rows) GROUP BY is_synthetic_augmentation",
