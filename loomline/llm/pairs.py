@@ -390,11 +390,9 @@ def broken_pairs(rows: DataFrame, sample_size: int = 3000) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["table_name", "record_id", "turn_index", "other", "other_score", "cut_score"])
 
     found = cut(rows.select("table_name", "record_id", "turns").mapInArrow(score, "table_name string, record_id string, turn_index int, other string, other_score double, cut_score double")).distinct()
-    # only turns of pairs are looked at; the others keep their places
-    role = lambda k: F.coalesce(F.get("turns", k)["role"], F.lit(""))
-    of_pair = lambda x, k: ((x["role"] == "assistant") & (role(k - 1) == "user")) | ((x["role"] == "user") & (role(k + 1) == "assistant"))
-    paired = F.transform("turns", lambda x, k: F.when(of_pair(x, k), x))
-    ends = rows.select(F.concat_ws("\x00", "table_name", "record_id").alias("key"), F.concat_ws("\x00", "table_name", F.coalesce("source", F.lit(""))).alias("source"), paired.alias("turns"))
+    # statistics, limits and longer copies are those of all turns; the join keeps the answers of pairs
+    source = F.when(F.col("source").isNotNull(), F.concat_ws("\x00", "table_name", "source"))
+    ends = rows.select(F.concat_ws("\x00", "table_name", "record_id").alias("key"), source.alias("source"), "turns")
     cuts = truncation.truncated_turns(ends, "key", "turns", "source").where("reason IS NOT NULL")
     weight = F.create_map(*[F.lit(x) for pair in EVIDENCE.items() for x in pair])
     cuts = cuts.select("id", "turn_index", weight[F.col("reason")].alias("evidence")).distinct()

@@ -19,7 +19,7 @@ def conversation_text(conversations: str = "conversations"):
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     refined = pairs.records(table(spark, d, "refined_rows"), "refined_rows", F.col("run_id"), "conversations", F.col("trace_source"))
-    mitre = pairs.records(table(spark, d, "mitre_sft"), "mitre_sft", F.col("sample_id"), "messages", F.lit(None))
+    mitre = pairs.records(table(spark, d, "mitre_sft"), "mitre_sft", F.col("sample_id"), "messages", F.lit(""))  # one source
     return pairs.broken_pairs(refined.unionByName(mitre))
 
 

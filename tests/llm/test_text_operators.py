@@ -347,6 +347,18 @@ def test_broken_pairs(spark):
     assert pairs.broken_pairs(recs.limit(0)).count() == 0
 
 
+def test_answers_are_held_against_all_turns(spark, monkeypatch):
+    whole = "Kappa lambda omicron sigma upsilon rhomboid zetetic quorum vellum parsec."
+    rows = [("long", "a", [(whole, "tool")]), ("cut", "a", talk("What is it?", whole[:52])), *[(f"s{k}", "b", [(f"{k:03d} stops at wor", "system")]) for k in range(6)], *[(f"p{k}", "b", talk("Go on?", f"{k:03d} ends at wor")) for k in range(5)], ("null", None, talk("And?", "xyz begins a wo"))]
+    df = spark.createDataFrame(rows, "run_id string, src string, conversations array<struct<content:string,role:string>>")
+    seen, run = [], truncation.truncated_turns
+    monkeypatch.setattr(truncation, "truncated_turns", lambda *a: seen.append(run(*a)) or seen[0])
+    got = pairs.broken_pairs(pairs.records(df, "t", F.col("run_id"), "conversations", F.col("src"))).collect()
+    why = {(x.id.split("\x00")[1], x.turn_index, x.source is None): x.reason for x in seen[0].collect()}
+    assert why["cut", 1, False] == "longer_copy" and ("s0", 0, False) in why and ("null", 1, True) in why
+    assert not {"long", "s0"} & {x.record_id for x in got}
+
+
 def test_held_out_accuracy():
     r = random.Random(12)
     nouns = ["cache", "queue", "socket", "marker", "ledger", "runner"]
