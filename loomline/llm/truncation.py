@@ -31,7 +31,7 @@ import xxhash
 STOPS = ".!?…。"
 _CLOSERS = "\"'`)]}*_»”’"
 _BREAK, _STOP = "\x00", "\x01"
-COMMON = 5  # times in a few megabytes of text
+COMMON = 5  # times in all texts
 BROADCAST_PREFIXES = 2_000_000
 PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up
 _PATH = re.compile(r"^[~.]?(?:/[\w.\-~]*)+$")
@@ -91,8 +91,8 @@ def _hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, times at an end, times inside) of all phrases of one to three tokens, and of what follows a token.
+def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(key, times at an end, times inside) of all phrases of one to three tokens, and of what follows a token; plain words and their keys.
 
     A text's own last token counts only if it has a stop: whether it is an end is in question.
     """
@@ -111,10 +111,8 @@ def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     inverse, uniq = pd.factorize(all_keys)
     n_end = np.bincount(inverse, weights=ends, minlength=len(uniq)).astype(np.int64)
     n_all = np.bincount(inverse, minlength=len(uniq))
-    own = list(set(found))
-    at = pd.Index(uniq).get_indexer(mix(_hashed(own)[0] + _ODD))
-    common = (at >= 0) & (n_all[at] >= COMMON) if len(uniq) else at > 0
-    return uniq, n_end, n_all - n_end, word_starts({t for t, c in zip(own, common) if c})
+    own = [t for t in set(found) if len(t) > 3 and t.isalpha() and t.islower()]
+    return uniq, n_end, n_all - n_end, own, mix(_hashed(own)[0] + _ODD)
 
 
 def phrase_keys(h: np.ndarray, final: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -168,8 +166,8 @@ def tail(text: str) -> tuple[int, int, int, int, int, bool]:
 
 
 def word_starts(found: set[str]) -> np.ndarray:
-    """Hashes of all proper starts of plain words."""
-    starts = {w[:k] for w in found if len(w) > 3 and w.isalpha() and w.islower() for k in range(1, len(w))}
+    """Hashes of all proper starts of words."""
+    starts = {w[:k] for w in found for k in range(1, len(w))}
     return np.fromiter((text_hash("start " + x) for x in starts), np.uint64, len(starts))
 
 
@@ -180,7 +178,7 @@ def _signed(x: list[int]) -> np.ndarray:
 def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame:
     """One pass over conversations: phrase counts and turns that need a look.
 
-    kind 0: key1 with n_end and n_mid. kind 2: key1 of a start of a common word. kind 1: a turn that isn't done: id, turn_index, role, source, length,
+    kind 0: key1 with n_end and n_mid. kind 2: word, a plain word, and its key1. kind 1: a turn that isn't done: id, turn_index, role, source, length,
     state, key1..key5 (its last phrases and word), path, style, prefix and whole (hashes of its fixed-length
     prefix and of itself).
     """
@@ -188,7 +186,7 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
     texts = F.transform(F.col(conversations), lambda t: t["content"])
     rows = rows.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), texts.alias("texts"))
     kind_ = rows.schema["id"].dataType.simpleString()
-    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, n_end bigint, n_mid bigint"
+    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, n_end bigint, n_mid bigint, word string"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
@@ -209,25 +207,38 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                             continue
                         uni, bi, tri, after, start, path = tail(t)
                         at = next((p for p in reversed(PREFIXES) if p <= len(t)), 0)
-                        values = (1, i, k, src, len(t), how, uni, bi, tri, after, start, path, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0)
+                        values = (1, i, k, src, len(t), how, uni, bi, tri, after, start, path, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0, None)
                         for n, v in zip(names, values):
                             out[n].append(v)
                 m = len(out["kind"])
-                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "state": pa.string(), "style": pa.string(), "path": pa.bool_(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in names if n not in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole", "n_end", "n_mid")}
+                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "word": pa.string(), "state": pa.string(), "style": pa.string(), "path": pa.bool_(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in names if n not in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole", "n_end", "n_mid")}
                 cols |= {n: pa.array(_signed(out[n])) for n in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole")}
                 cols |= {n: pa.array(out[n], pa.int64()) for n in ("n_end", "n_mid")}
                 if m:
                     yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
                 for a, b in chunks(flat):
-                    keys, ends, mids, starts = phrase_counts(flat[a:b])
-                    z, none = len(keys) + len(starts), np.zeros(len(starts), np.int64)
-                    kinds = np.concatenate((np.zeros(len(keys), np.int32), np.full(len(starts), 2, np.int32)))
-                    fixed = {"kind": pa.array(kinds), "key1": pa.array(np.concatenate((keys, starts)).view(np.int64)), "n_end": pa.array(np.concatenate((ends, none))), "n_mid": pa.array(np.concatenate((mids, none)))}
+                    keys, ends, mids, own, own_keys = phrase_counts(flat[a:b])
+                    z, none = len(keys) + len(own), np.zeros(len(own), np.int64)
+                    kinds = np.concatenate((np.zeros(len(keys), np.int32), np.full(len(own), 2, np.int32)))
+                    fixed = {"kind": pa.array(kinds), "key1": pa.array(np.concatenate((keys, own_keys)).view(np.int64)), "n_end": pa.array(np.concatenate((ends, none))), "n_mid": pa.array(np.concatenate((mids, none)))}
+                    fixed["word"] = pa.concat_arrays([pa.nulls(len(keys), pa.string()), pa.array(own, pa.string())])
                     yield pa.RecordBatch.from_arrays([fixed[n] if n in fixed else pa.nulls(z, cols[n].type) for n in names], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
+def common_starts(scanned: DataFrame, stats: DataFrame) -> DataFrame:
+    """(key5) hashes of the starts of words that all texts together hold ``COMMON`` times."""
+    common = scanned.where("kind = 2").select(F.col("key1").alias("k"), "word").distinct().join(stats.where(F.col("e") + F.col("m") >= COMMON), "k", "left_semi")
+
+    def starts(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(word_starts(set(batch.column(0).to_pylist())).view(np.int64))], names=["key5"])
+
+    return common.select("word").mapInArrow(starts, "key5 bigint").distinct()
+
+
 def field_limits(suspects: DataFrame, reach: int = 6, sigmas: float = 6.0, least: int = 6) -> DataFrame:
     """(source, length) at which unfinished values pile up.
 
@@ -301,9 +312,9 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
     result. A null source shares the limits of all sources. An empty table gives no rows.
     """
     scanned = cut(turns(df, key, conversations, source))
-    suspects = scanned.where("kind = 1").drop("kind", "n_end", "n_mid").distinct()
+    suspects = scanned.where("kind = 1").drop("kind", "n_end", "n_mid", "word").distinct()
     stats = scanned.where("kind = 0").groupBy(F.col("key1").alias("k")).agg(F.sum("n_end").alias("e"), F.sum("n_mid").alias("m"))
-    wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).distinct()
+    wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).union(scanned.where("kind = 2").select("key1")).distinct()
     stats = cut(stats.join(wanted, "k", "left_semi"))
     copies = longer_copies(suspects, df, conversations).withColumn("longer", F.lit(True))
     rows = suspects.join(copies, "whole", "left")
@@ -313,7 +324,7 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
     p = F.lit(0.05)
     for i in (4, 1, 2, 3):  # each is backed by the one before
         p = (F.col(f"e{i}") + _WEIGHT * p) / (F.col(f"n{i}") + _WEIGHT)
-    starts = scanned.where("kind = 2").select(F.col("key1").alias("key5")).distinct().join(suspects.select("key5").distinct(), "key5", "left_semi")
+    starts = common_starts(scanned, stats).join(suspects.select("key5").distinct(), "key5", "left_semi")
     rows = rows.withColumn("chance", p).join(starts.withColumn("start", F.lit(True)), "key5", "left")
     rows = cut(rows.select("id", "turn_index", "source", "length", "state", "style", "path", "key5", "n1", "chance", "start", "longer"))
     # limits show in values that look cut; at a limit, all without a stop were

@@ -305,6 +305,15 @@ def test_longer_copy(spark):
     assert got == {("b", "longer_copy")}
 
 
+def test_common_words_are_those_of_all_files(spark):
+    rows = [(f"r{k}", "s", talk("Go on.", f"It is kept in the place{k}.")) for k in range(60)] + [(f"q{k}", "s", talk("Go on.", f"It is in the quorumwise store {k}.")) for k in range(6)]
+    rows.append(("cut", "s", talk("Go on.", "All of it is kept in the quorumwi")))
+    df = spark.createDataFrame(rows, "run_id string, trace_source string, conversations array<struct<content:string,role:string>>")
+    for parts in (1, 7):
+        got = truncation.truncated_turns(df.repartition(parts, F.col("run_id")), "run_id", "conversations", "trace_source").where("id = 'cut' AND turn_index = 1").collect()
+        assert [x.reason for x in got] == ["phrase"] and got[0].chance > 0.25
+
+
 # pairs
 
 
