@@ -3,8 +3,9 @@
 Evidence, all of it gathered over whole tables:
 
 * A value that is a strict prefix of a longer copy elsewhere and stops inside a sentence of it. Values
-  are found by the hash of a fixed-length prefix (the largest power of two not over their length) and
-  verified by the hash of the whole value.
+  are found by the hash of a fixed-length prefix (the largest power of two not over their length; below the
+  least of these, their whole length) and verified by the hash of the whole value. A value without a
+  letter or digit stands for nothing and begins no sentence.
 * A last phrase that elsewhere occurs only as a strict prefix of longer sentences, never (or hardly ever)
   at an end. Phrases of one to three tokens are hashed and counted over all values.
 * A value exactly as long as a field limit of its source, where ends without a stop pile up.
@@ -33,11 +34,12 @@ _CLOSERS = "\"'`)]}*_»”’"
 _BREAK, _STOP = "\x00", "\x01"
 COMMON = 5  # times in all texts
 BROADCAST_PREFIXES = 2_000_000
-PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up
+PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up; shorter values at their own length
 _PATH = re.compile(r"^[~.]?(?:/[\w.\-~]*)+$")
 _EXT = re.compile(r"\.([a-z][a-z0-9]{0,7})$")
 _LABEL = re.compile(r"\W{0,4}[^\W\d][\w() /-]{1,40}:")
 _NEW = re.compile(r"\s*(?:[.!?]|\n|$)|\s+[\"'`(]?[A-ZÀ-Þ/]")
+_WORDLY = re.compile(r"[^\W_]")
 _HEX = re.compile(r"^(?=.*\d)[0-9a-f]+$")
 
 
@@ -206,7 +208,7 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                         if how == "done":
                             continue
                         uni, bi, tri, after, start, path = tail(t)
-                        at = next((p for p in reversed(PREFIXES) if p <= len(t)), 0)
+                        at = next((p for p in reversed(PREFIXES) if p <= len(t)), len(t) if _WORDLY.search(t) else 0)
                         values = (1, i, k, src, len(t), how, uni, bi, tri, after, start, path, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0, None)
                         for n, v in zip(names, values):
                             out[n].append(v)
@@ -257,6 +259,7 @@ def longer_copies(suspects: DataFrame, df: DataFrame, conversations: str) -> Dat
     spark, few = df.sparkSession, wanted.count() <= BROADCAST_PREFIXES
     # while they are few, values without a wanted prefix are not handed on at all
     known = spark.sparkContext.broadcast(np.unique(wanted.select("prefix").toPandas()["prefix"].to_numpy(np.int64))) if few else None
+    short = sorted(r["at"] for r in wanted.where(F.col("at") < PREFIXES[0]).select("at").distinct().collect())  # one row per length under 32
     texts = F.transform(F.col(conversations), lambda t: t["content"])
     rows = df.where(F.col(conversations).isNotNull()).select(texts.alias("texts"))
 
@@ -264,29 +267,40 @@ def longer_copies(suspects: DataFrame, df: DataFrame, conversations: str) -> Dat
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 at, h, text = [], [], []
+                brief: dict[tuple[int, str], bool] = {}  # whether some value goes on after such a start
                 for contents in batch.column(0).slice(lo, 1024).to_pylist():
                     for t in contents:
                         if t:
+                            for p in short:
+                                if p >= len(t):
+                                    break
+                                if not brief.get(start := (p, t[:p])):
+                                    brief[start] = not _NEW.match(t, p)
                             for p in PREFIXES:
                                 if p >= len(t):
                                     break
                                 at.append(p), h.append(text_hash(t[:p])), text.append(t)
+                # at their own length the hash of the prefix is that of the whole, so the value itself isn't needed
+                for (p, start), goes_on in brief.items():
+                    if goes_on:
+                        at.append(p), h.append(text_hash(start)), text.append(None)
                 keep = np.arange(len(at))
                 if known is not None:
                     keep = np.flatnonzero(np.isin(_signed(h), known.value))
                 if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(at, np.int32)[keep]), pa.array(_signed(h)[keep]), pa.array([text[k] for k in keep])], names=["at", "prefix", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(at, np.int32)[keep]), pa.array(_signed(h)[keep]), pa.array([text[k] for k in keep], pa.string())], names=["at", "prefix", "value"])
 
     values = rows.mapInArrow(prefixes, "at int, prefix bigint, value string")
-    hit = values.join(F.broadcast(wanted) if few else wanted, ["at", "prefix"]).where(F.length("value") > F.col("length")).select("whole", "length", "value")
+    hit = values.join(F.broadcast(wanted) if few else wanted, ["at", "prefix"]).where(F.col("value").isNull() | (F.length("value") > F.col("length"))).select("whole", "length", "value")
 
     def verify(batches):
         for batch in batches:
             ok = []
             for whole, n, value in zip(*(c.to_pylist() for c in batch.columns)):
                 # what follows must go on with the sentence: not a stop, a new line or a new sentence
-                goes_on = not _NEW.match(value[n:])
-                if goes_on and text_hash(value[:n]) == whole & (2**64 - 1):
+                if value is None:
+                    ok.append(whole)
+                elif not _NEW.match(value[n:]) and text_hash(value[:n]) == whole & (2**64 - 1):
                     ok.append(whole)
             if ok:
                 yield pa.RecordBatch.from_arrays([pa.array(ok, pa.int64())], names=["whole"])

@@ -305,6 +305,13 @@ def test_longer_copy(spark):
     assert got == {("b", "longer_copy")}
 
 
+def test_longer_copy_of_a_short_value(spark):
+    rows = [("a", "s", talk("x.", "Can you check whether events zeta hold?")), ("cut", "s", talk("x.", "Can you check whether eve")), ("whole", "s", talk("x.", "Can you check whether events zeta hold")), ("dash", "s", talk("- a thing", "-")), ("next", "s", talk("Ready Steady.", "Ready"))]
+    df = spark.createDataFrame(rows, "run_id string, trace_source string, conversations array<struct<content:string,role:string>>")
+    got = {x.id for x in truncation.truncated_turns(df, "run_id", "conversations", "trace_source").where("reason = 'longer_copy'").collect()}
+    assert got == {"cut"}
+
+
 def test_common_words_are_those_of_all_files(spark):
     rows = [(f"r{k}", "s", talk("Go on.", f"It is kept in the place{k}.")) for k in range(60)] + [(f"q{k}", "s", talk("Go on.", f"It is in the quorumwise store {k}.")) for k in range(6)]
     rows.append(("cut", "s", talk("Go on.", "All of it is kept in the quorumwi")))
