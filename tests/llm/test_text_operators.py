@@ -437,3 +437,23 @@ def test_residue_spreads_to_copies(spark):
     assert got[1] == ("placeholder", "rule") and got[3] == ("placeholder", "copy") and got[6][0] == got[7][0] == "filler"
     assert 4 not in got and 5 not in got and not {8, 9, 10} & set(got)
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_long_pages_are_judged_by_their_words():
+    page = "502 Bad Gateway. " + "The upstream server sent an invalid response. Please try again in a minute. " * 20
+    assert len(page) > 1000 and residue.rule_label(page) == "error_page"
+    assert residue.rule_label(page + "The worker read every row of the table and wrote the report to disk. " * 20) is None
+
+
+def test_residue_reaches_edited_copies(spark):
+    r = random.Random(31)
+    rows, want = [], set()
+    for k in range(60):
+        slot = text(r, 150) + " Owner: {{ team }} and {{ contact }}."
+        near = edited(r, slot.replace("{{ ", "{ ").replace(" }}", " }"), 3)
+        a, b = (set(neardup.shingles(x, 5).tolist()) for x in (slot, near))
+        rows += [(2 * k, slot), (2 * k + 1, near)]
+        if len(a & b) >= 0.8 * len(a | b) and residue._WEAK.search(near):
+            want.add(2 * k + 1)
+    got = {x.doc_id: (x.residue_kind, x.how) for x in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want) > 30 and all(got.get(k) == ("placeholder", "near_copy") for k in want)
