@@ -64,13 +64,22 @@ def dedup_keep_first_documents(spark, d):
     return dedup.keep_first(rows, ["text_hash"], ["doc_id"])
 
 
-def dedup_collision_winner(spark, d):
-    """Accepted attempts, resolved against the fingerprints of published first slots."""
+def _collision_winner(spark, d, published):
     rows = _attempts(spark, d).where("status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL").select("synthetic_id", F.lower("conversation_fingerprint").alias("fingerprint")).distinct()
-    have = table(spark, d, "refined_rows").where("refinement_index = 0").select(F.lower("refined_conversation_fingerprint").alias("fingerprint"))
+    have = published.select(F.lower("refined_conversation_fingerprint").alias("fingerprint"))
     return dedup.collision_winners(rows, have, "fingerprint", "synthetic_id")
 
 
+def dedup_collision_winner(spark, d):
+    """Accepted attempts, resolved against the fingerprints of published first slots, as in its SQL."""
+    return _collision_winner(spark, d, table(spark, d, "refined_rows").where("refinement_index = 0"))
+
+
+def dedup_collision_winner_full(spark, d):
+    """Accepted attempts, resolved against all published fingerprints."""
+    return _collision_winner(spark, d, table(spark, d, "refined_rows"))
+
+
 def uniqueness_violations(spark, d):
     ref = table(spark, d, "refined_rows").select("run_id", F.lower("refined_conversation_fingerprint").alias("fingerprint")).distinct()
     src = table(spark, d, "source_trajectories").select("run_id", "source_file", "source_row_index").distinct()
@@ -145,7 +154,7 @@ _CHECKS = {
     "flag": "NOT coalesce(r.is_synthetic_augmentation, false)",
     "fingerprint": "lower(r.refined_conversation_fingerprint) IS DISTINCT FROM " + Q.FP.replace("conversations", "r.conversations"),
 }
-QUERIES = {f.__name__: f for f in (attempts_per_slot, attempts_error_histogram, attempts_rejection_histogram, attempts_first_success, attempts_report, attempts_totals_by_task, attempts_stop_rule, attempts_safe_errors, attempts_hourly, dedup_keep_first_documents, dedup_collision_winner, uniqueness_violations, expected_versus_accepted, publish_union_counts, publish_exact_shards, publish_shard_sizes, publish_lineage_violations, publish_identity_drift, checkpoint_thresholds, run_progress)}
+QUERIES = {f.__name__: f for f in (attempts_per_slot, attempts_error_histogram, attempts_rejection_histogram, attempts_first_success, attempts_report, attempts_totals_by_task, attempts_stop_rule, attempts_safe_errors, attempts_hourly, dedup_keep_first_documents, dedup_collision_winner, dedup_collision_winner_full, uniqueness_violations, expected_versus_accepted, publish_union_counts, publish_exact_shards, publish_shard_sizes, publish_lineage_violations, publish_identity_drift, checkpoint_thresholds, run_progress)}
 _FATAL = "error_code IN (400, 401, 403, 404)"
 SQL = {
     "attempts_per_slot": f"WITH {_ATT} SELECT synthetic_id, count(*) AS n_attempts, max(attempt_number)::BIGINT AS last_attempt FROM a WHERE synthetic_id IS NOT NULL GROUP BY synthetic_id",
