@@ -110,8 +110,17 @@ def quality_codes_full(spark, d):
     return _codes(spark, d, quality.codes)
 
 
+def _histogram(codes):
+    return codes.select(F.explode(F.split("codes", ",")).alias("code")).where("code != ''").groupBy("code").agg(F.count("*").alias("n"))
+
+
 def quality_code_histogram(spark, d):
-    return quality_codes(spark, d).select(F.explode(F.split("codes", ",")).alias("code")).where("code != ''").groupBy("code").agg(F.count("*").alias("n"))
+    """Codes without the loss of every anchor, as in its SQL."""
+    return _histogram(quality_codes(spark, d))
+
+
+def quality_code_histogram_full(spark, d):
+    return _histogram(quality_codes_full(spark, d))
 
 
 def policy_secondary_codes(spark, d):
@@ -172,7 +181,7 @@ _SECONDARY = _LIST(
     ("vague_completion", f"regexp_matches(final, '{_RE(X.VAGUE)}') AND NOT regexp_matches(final, '{_RE(X.CONCRETE)}')"),
 )
 
-QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_full, quality_code_histogram, policy_secondary_codes, token_retention)}
+QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_full, quality_code_histogram, quality_code_histogram_full, policy_secondary_codes, token_retention)}
 _PENDING = f"SELECT synthetic_id, source_task_id FROM ({_SL}) s WHERE NOT EXISTS (SELECT 1 FROM refined_rows r WHERE r.run_id = s.synthetic_id)"
 SQL = {
     "slot_secondary_choice": f"WITH {_IDS}, {_SECOND} SELECT source_record_id FROM second",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomline.plans import attempt_queries as A
+from loomline.plans import slot_queries as S
 
 D = "/root/testdata/sf0.001"
 
@@ -12,3 +13,9 @@ def test_no_published_fingerprint_is_won(spark):
     won = A.dedup_collision_winner_full(spark, D).where("won")
     assert won.join(have, "fingerprint", "left_semi").count() == 0
     assert A.dedup_collision_winner(spark, D).where("won").join(have, "fingerprint", "left_semi").count() > 0
+
+
+def test_histogram_counts_lost_anchors(spark):
+    n, brief = ({x.code: x.n for x in f(spark, D).collect()} for f in (S.quality_code_histogram_full, S.quality_code_histogram))
+    codes = [c for x in S.quality_codes_full(spark, D).collect() for c in x.codes.split(",") if c]
+    assert n == {c: codes.count(c) for c in codes} and n["task_drift"] > brief["task_drift"]
