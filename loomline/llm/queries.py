@@ -40,10 +40,14 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_shares(rows, "run_id", conversation_text(), {"trace_source": F.col("trace_source")}).distinct()
 
 
-def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    shares = cut(p3_shares(spark, d))
-    labelled = shares.withColumn("bad", F.col("n_repeated") * 5 >= F.col("n_words") * 2)
-    return shares, repetition.risk_cutoffs(labelled, "trace_source", "share", "bad")
+def _p3(spark: SparkSession, d: str, ceiling: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Shares of the conversations, and cutoffs from trials generated from all of them; no cutoff looks at a conversation's own share."""
+    rows, source = table(spark, d, "refined_rows"), F.coalesce("trace_source", F.lit("(null)"))
+    per = repetition.trials_per_row(rows, source, 8, 0.01, 0.05, ceiling)
+    rows = rows.join(per.withColumnRenamed("stratum", "__stratum"), source == F.col("__stratum"))
+    shares = cut(repetition.repetition_shares(rows, "run_id", conversation_text(), {"trace_source": F.col("trace_source")}, trials=F.col("trials")))
+    labelled = shares.select("trace_source", F.explode("trials").alias("t")).select("trace_source", "t.*")
+    return shares.drop("trials"), repetition.risk_cutoffs(labelled, "trace_source", "share", "bad", ceiling=ceiling)
 
 
 def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
@@ -52,8 +56,7 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     shares, cutoffs = _p3(spark, d)
-    flagged = repetition.flag_repetitive(shares, cutoffs, "trace_source").where("flagged")
-    return flagged.where("n_words > 0 AND n_repeated * 5 >= n_words * 2").select("run_id").distinct()
+    return repetition.flag_repetitive(shares, cutoffs, "trace_source").where("flagged").select("run_id").distinct()
 
 
 # 4: text cut off

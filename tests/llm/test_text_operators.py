@@ -71,12 +71,37 @@ def test_cutoffs_are_safe(spark):
     r = random.Random(5)
     rows = [("big", r.random() * 0.2, False) for _ in range(5000)] + [("big", 0.5 + r.random() / 2, True) for _ in range(100)] + [("small", 0.1, False)] * 5 + [(None, 0.3, False)] * 3 + [("big", None, False), ("big", 0.1, None)]
     df = spark.createDataFrame(rows, "stratum string, share double, bad boolean")
-    got = {x.stratum: x for x in repetition.risk_cutoffs(df, "stratum", "share", "bad").collect()}
-    assert got["small"].cutoff == got["(null)"].cutoff == 0.4
+    cutoffs = repetition.risk_cutoffs(df, "stratum", "share", "bad")
+    got = {x.stratum: x for x in cutoffs.collect()}
+    assert got["small"].cutoff is got["(null)"].cutoff is None and got["small"].bound == 1
     assert 0.19 <= got["big"].cutoff <= 0.21 and got["big"].bound <= 0.01 and got["big"].missed == 0 and got["big"].n_good == 5000
+    assert got["(all)"].n_good == 5008 and got["(all)"].cutoff == got["big"].cutoff
     assert repetition.risk_cutoffs(df.limit(0), "stratum", "share", "bad").count() == 0
-    flagged = repetition.flag_repetitive(df, repetition.risk_cutoffs(df, "stratum", "share", "bad"), "stratum")
+    flagged = repetition.flag_repetitive(df, cutoffs, "stratum")
     assert flagged.where("bad AND flagged").count() == 100
+    assert {x.cutoff for x in flagged.where("stratum = 'small'").collect()} == {got["(all)"].cutoff}
+    assert repetition.flag_repetitive(df, cutoffs.limit(0), "stratum").where("flagged").count() == 0
+    # the cutoffs decide
+    assert repetition.flag_repetitive(df, cutoffs.withColumn("cutoff", F.lit(0.75)), "stratum").where("flagged").count() < 100
+
+
+def test_trials_have_the_share_they_were_made_with(spark):
+    r = random.Random(8)
+    for k in range(300):
+        h = np.array([r.getrandbits(64) for _ in range(r.randrange(16, 200))], np.uint64)
+        doc, bad = repetition.trial(h, 4, 0.4, r)
+        inside = repetition.repeated(doc, np.array([len(doc)]), 4)
+        assert (5 * int(inside.sum()) >= 2 * len(doc)) == bad
+    assert repetition.trial(h[:15], 4, 0.4, r) is None
+    rows = [(i, "s" if i % 2 else None, t) for i, t in enumerate([None, "", "a b a b a b a b", *[text(r, 60) + " " + text(random.Random(1), k) * 2 for k in range(40)]])]
+    df = spark.createDataFrame(rows, "id int, s string, t string")
+    per = {x.stratum: x.trials for x in repetition.trials_per_row(df, F.col("s"), 8, 0.01, 0.05, 0.6).collect()}
+    assert set(per) == {"s", "(null)"} and per["s"] > 50
+    got = repetition.repetition_shares(df, "id", F.col("t"), {"s": F.col("s")}, trials=F.lit(100)).collect()
+    assert all(x.trials == [] for x in got if x.id < 3) and all(len(x.trials) == 100 and all((y.share >= 0.4) == y.bad for y in x.trials) for x in got if x.id >= 3)
+    assert {x.id: (x.n_words, x.n_repeated) for x in got} == {i: brute_share(t) for i, _, t in rows}
+    labelled = spark.createDataFrame([(x.s, y.share, y.bad) for x in got for y in x.trials], "s string, share double, bad boolean")
+    assert {x.cutoff for x in repetition.risk_cutoffs(labelled, "s", "share", "bad").collect()} == {0.4}
 
 
 # packing
