@@ -44,7 +44,8 @@ def _p3(spark: SparkSession, d: str, ceiling: float = 0.6) -> tuple[DataFrame, D
     """Shares of the conversations, and cutoffs from trials generated from all of them; no cutoff looks at a conversation's own share."""
     rows, source = table(spark, d, "refined_rows"), F.coalesce("trace_source", F.lit("(null)"))
     per = repetition.trials_per_row(rows, source, 8, 0.01, 0.05, ceiling)
-    rows = rows.join(per.withColumnRenamed("stratum", "__stratum"), source == F.col("__stratum"))
+    per = cut(per.withColumnRenamed("stratum", "__stratum"))  # a row a source
+    rows = rows.join(F.broadcast(per) if per.count() <= 10_000 else per, source == F.col("__stratum"))
     shares = cut(repetition.repetition_shares(rows, "run_id", conversation_text(), {"trace_source": F.col("trace_source")}, trials=F.col("trials")))
     labelled = shares.select("trace_source", F.explode("trials").alias("t")).select("trace_source", "t.*")
     return shares.drop("trials"), repetition.risk_cutoffs(labelled, "trace_source", "share", "bad", ceiling=ceiling)
