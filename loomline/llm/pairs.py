@@ -1,11 +1,11 @@
 """Broken prompt and answer pairs, by a multi-label linear classifier.
 
-Pairs become hashed n-grams of the answer plus features of the pair (overlap with the prompt, languages, form of
-the end). A logistic model per defect is trained on the driver from a bounded sample of pairs:
-sound ones as they are, and the same ones truncated, refused, copied, emptied or swapped with an answer in another
-language. Thresholds are calibrated on held-out synthetic pairs. Every pair is then scored; for truncation the evidence
-gathered over the whole tables (``truncation``) is one more feature with a fixed weight. Exact checks confirm
-what can be checked exactly.
+Pairs become hashed n-grams of the whole answer plus features of the pair (overlap with the prompt, languages, form of
+the end, stand-ins for nothing, words of declining, evidence of a cut). One logistic model with an output per defect is trained on the driver
+from a bounded sample of pairs: sound ones as they are, and the same ones truncated, refused, copied, emptied or swapped
+with an answer in another language. Thresholds are calibrated on held-out synthetic pairs. Every pair is then
+scored, and the scores alone decide. Evidence of cuts is gathered over the whole tables (``truncation``); the synthetic cuts are
+judged by the same statistics, so that its weight is learned as well.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from loomline.functions.session import cut
 from loomline.llm import truncation
-from loomline.llm.words import WORD
+from loomline.llm.words import WORD, mix
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
-PAIR, SPACE = 1 << 12, 1 << 16  # slots of pair features, and of these and n-grams together
-GRAMS = ("F:", "FB:", "W:", "B:", "E1:", "E2:", "E3:")
-BY_PAIR = (0, 3, 4)  # emptiness, copying and language show in the pair alone: these models see no n-grams
-EVIDENCE = {"form": 20.0, "limit": 20.0, "longer_copy": 20.0, "phrase": 18.0}  # log-odds that evidence of a cut adds
+FORM, PAIR, SPACE = 1 << 11, 1 << 12, 1 << 17  # slots of features of form, of these and those of the pair, of both and n-grams together
+# Refusals show in the wording too; cuts show in form and in the statistics of all texts, not in length or what the pair shares.
+SEES = np.zeros((SPACE, len(DEFECTS)), bool)
+SEES[:PAIR], SEES[FORM:PAIR, 1], SEES[PAIR:, 2] = True, False, True
+EVIDENCE = "evidence"  # the feature of a pair whose answer ``truncation`` takes for cut
 
 # Frequent function words (fixed values) that tell the languages apart.
 _COMMON = {
@@ -78,24 +80,25 @@ def language(found: list[str]) -> tuple[str, int, int]:
     return (first[0] if first[1] >= 1 and first[1] > second[1] + 0.5 else ""), int(first[1]), int(second[1])
 
 
-def gives_back(prompt: list[str], answer: list[str], intro: int = 14) -> bool:
-    """Whether the answer is an introduction of at most ``intro`` words and then the prompt, at most one word short."""
+def gives_back(prompt: list[str], answer: list[str]) -> int:
+    """How many words stand before the prompt if the answer ends with it, at most one word short; else -1."""
     n, m = len(prompt), len(answer)
-    if n < 3 or m < n - 1 or m > n + intro:
-        return False
+    if n < 3 or m < n - 1:
+        return -1
     if answer[m - n :] == prompt and m >= n:
-        return True
+        return m - n
     short = answer[m - n + 1 :]
     k = next((i for i in range(n - 1) if short[i] != prompt[i]), n - 1)
-    return short[k:] == prompt[k + 1 :]
+    return m - n + 1 if short[k:] == prompt[k + 1 :] else -1
 
 
-def copies(q: str, a: str, wq: list[str], wa: list[str]) -> bool:
+def copies(q: str, a: str, wq: list[str], wa: list[str]) -> int:
     """``gives_back``, also if the missing word is a path or composed of several."""
-    if len(wa) > len(wq) + 14:
-        return False
-    tokens = [[w for w in (t.strip(_MARKS) for t in x.lower().split()) if w] for x in (q, a)]
-    return gives_back(wq, wa) or gives_back(*tokens)
+    if not wa or wa[-1] not in wq:
+        return -1
+    if (k := gives_back(wq, wa)) >= 0:
+        return k
+    return gives_back(*([w for w in (t.strip(_MARKS) for t in x.lower().split()) if w] for x in (q, a)))
 
 
 def _bucket(n: int) -> str:
@@ -114,67 +117,69 @@ class Pair:
         self.copied, self.state = copies(self.q, self.a, self.wq, self.wa), truncation.state(self.a)
 
 
-class _Normal(dict):
-    def __missing__(self, token: str) -> str:
-        if len(self) > 150_000:
-            self.clear()
-        value = self[token] = truncation.normal(token)
-        return value
-
-
-_normal = _Normal()
-
-
-def features(pair: Pair) -> list[str]:
-    a, q, wa, wq = pair.a, pair.q, pair.wa, pair.wq
+def pair_features(pair: Pair) -> list[str]:
+    """Names of what the pair shows apart from the n-grams of its answer."""
+    a, wa, wq = pair.a, pair.wa, pair.wq
     out = ["bias", f"words={_bucket(len(wa))}"]
     if is_nothing(a):
         out.append("nothing")
     how = pair.state
-    kind = truncation.style(a) if how != "empty" else "none"
-    out += [f"state={how}", f"state={how}/{kind}"]
-    toks = [_normal[t] for t in a.split(None, 48)[:48]]
-    for i, t in enumerate(toks[:6]):
-        out.append(f"F:{t}")
-        out.append(f"FB:{t} {toks[i + 1] if i + 1 < len(toks) else ''}")
-    if len(toks) < 48:
-        for x, y in zip(toks, [*toks[1:], ""]):
-            out += [f"W:{x}", f"B:{x} {y}"]
-        short = "s" if len(toks) < 24 else "m"
-        out.append(f"short={short}")
-    if how in ("open", "broken") and toks:
-        end = [_normal[t] for t in a.rstrip().rsplit("\n", 1)[-1].split()[-3:]]
-        out += [f"E1:{kind}:{end[-1]}", f"E2:{kind}:{' '.join(end[-2:])}", f"E3:{kind}:{' '.join(end)}"]
+    out += [f"state={how}", f"state={how}/{truncation.style(a) if how != 'empty' else 'none'}"]
     seen, times = set(wq), Counter(wa)
     extra = len(wa) - sum(times[w] for w in seen & times.keys())
     back = len(seen & times.keys()) / len(seen) if seen else 0.0
     out += [f"back={int(back * 10)}", f"extra={_bucket(extra)}", f"back/extra={int(back * 10)}/{_bucket(extra)}"]
-    if pair.copied:
-        out.append("gives_back")
+    if pair.copied >= 0:
+        out += ["gives_back", f"gives_back after {_bucket(pair.copied)}"]
     (lq, nq, sq), (la, na, sa) = pair.lq, pair.la
     if lq and la:
         sure = f"{min(nq - sq, 4)}{min(na - sa, 6)}"
         out += [f"lang={'same' if lq == la else 'other'}", f"lang={'same' if lq == la else 'other'}/{sure}"]
         if lq != la and na >= 2 and sa <= 0.6 * na and sq <= 0.6 * nq:
             out.append("lang_other_sure")
+    if _DECLINING.search(a):
+        out += ["declines", f"declines/words={_bucket(len(wa))}", f"declines/back={int(back * 4)}"]
     return out
 
 
+_FORMS = ("bias", "state", "nothing", EVIDENCE)
+
+
 class _Slot(dict):
     def __missing__(self, name: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(name)
-        value = self[name] = PAIR + h % (SPACE - PAIR) if name.startswith(GRAMS) else h % PAIR
+        value = self[name] = xxhash.xxh3_64_intdigest(name) % FORM + (0 if name.startswith(_FORMS) else FORM)
         return value
 
 
 _slot = _Slot()
-
-
-def _slots(names: list[str]) -> np.ndarray:
-    found = {_slot[n] for n in names}
-    return np.fromiter(found, np.int64, len(found))
+_LETTERS = np.array([xxhash.xxh3_64_intdigest(x) | 1 for x in ("one", "two", "first", "first two")], np.uint64)
+
+
+def _gram_slots(answers: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, slot) of all n-grams of the answers: each token and pair of tokens, the first six once more by themselves."""
+    found = [a.split() for a in answers]
+    sizes = np.array([len(t) for t in found], np.int64)
+    h = truncation.token_hashes(list(chain.from_iterable(found)))
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    owner, at, edge = np.repeat(np.arange(len(found)), sizes), np.arange(len(h)), np.uint64(3)
+    two = mix(h * _LETTERS[1] + mix(np.where(at > first, np.roll(h, 1), edge)))
+    head = np.flatnonzero(at < first + 6)
+    keys = np.concatenate((mix(h * _LETTERS[0]), two, mix(h[head] * _LETTERS[2]), mix(two[head] * _LETTERS[3])))
+    return np.concatenate((owner, owner, owner[head], owner[head])), PAIR + (keys % np.uint64(SPACE - PAIR)).astype(np.int64)
+
+
+def slots_of(some: list[Pair], more: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(pair number, slot) of all features, each once a pair, by pair; ``more``: further features."""
+    names = [pair_features(p) for p in some]
+    for own, extra in zip(names, more or ()):
+        own += extra
+    owner, grams_ = _gram_slots([p.a for p in some])
+    sizes = [len(x) for x in names]
+    own = np.fromiter((_slot[x] for x in chain.from_iterable(names)), np.int64, sum(sizes))
+    both = np.unique(np.concatenate((np.repeat(np.arange(len(some)), sizes) * SPACE + own, owner * SPACE + grams_)))
+    return both // SPACE, both % SPACE
 
 
 # Parts of declining answers, made up for training.
@@ -214,50 +219,76 @@ def _copy(r: random.Random, q: str) -> str:
         del t[r.randrange(len(t))]
     s = " ".join(t) if r.random() < 0.5 or len(t) != len(q.split()) else q.strip()
     s = r.choice([s, s, s.rstrip("?.!"), s.rstrip("?.!") + ":", f'"{s}"', f"> {s}", s.upper(), s.lower(), f"**{s}**"])
-    return f"{r.choice(_INTRO)} {s}".strip()
+    first = " ".join(r.choice(_INTRO) for _ in range(r.choice((1, 1, 1, 2, 3))))
+    return f"{first} {s}".strip()
 
 
-def synthetic(sample: list[tuple[str, str]], seed: int = 11) -> list[tuple[list[str], int]]:
-    """(features, defect number or -1) of sound pairs and of pairs broken on purpose."""
-    r = random.Random(seed)
-    sound = []
-    for q, a in sample:
-        wq, wa = WORD.findall((q or "").lower()), WORD.findall((a or "").lower())
-        lq, la = language(wq)[0], language(wa)[0]
-        odd = is_nothing(a) or gives_back(wq, wa) or (lq and la and lq != la) or truncation.state(a) == "broken" or not wq
-        if not odd and truncation.state(a) == "open" and truncation.style(a) != "line":
+# Sound pairs that training always has, made up.
+_BASE = [
+    ("Which port does the service use?", "It uses port 8080 unless the configuration names another one."), ("How do I list the open files of a process?", "Run lsof with the id of the process and read the last column."),
+    ("Pourquoi la tâche a-t-elle échoué ?", "La tâche a échoué parce que le disque était plein et que le journal ne pouvait pas être écrit."), ("Wie starte ich den Dienst neu?", "Der Dienst wird mit dem Befehl restart neu gestartet, sobald die Sperre frei ist."),
+    ("¿Dónde se guarda el registro?", "El registro se guarda en la carpeta del servicio y se rota cada noche por la tarea programada."), ("Is the cache shared between hosts?", "No."), ("Does the build need the network?", "Yes, but only for the first run of the day."),
+]
+
+
+def sound_pairs(sample: list[tuple], evident: set) -> list[tuple]:
+    """Of (id, prompt, answer) those without a sign of a defect, with the language: (id, prompt, answer, language)."""
+    out = []
+    for i, q, a in [*((None, *x) for x in _BASE), *sample]:
+        pair = Pair(q, a)
+        lq, la = pair.lq[0], pair.la[0]
+        odd = i in evident or is_nothing(a) or pair.copied >= 0 or (lq and la and lq != la) or pair.state == "broken" or not pair.wq
+        if not odd and pair.state == "open" and truncation.style(a) != "line":
             odd = True
-        if not odd and _DECLINING.search(a) and len(wa) < 40:
+        if not odd and _DECLINING.search(a) and len(pair.wa) < 40:
             odd = True
         if not odd:
-            sound.append((q, a, lq or la))
+            out.append((i, q, a, lq or la))
+    return out
+
+
+def cuts_of(sound: list[tuple], seed: int = 5) -> list[tuple[str, str]]:
+    """(prompt, answer cut at a random place) of sound pairs."""
+    r = random.Random(seed)
+    out = []
+    for _, q, a, _ in sound:
+        if len(a) > 30:
+            out += [(q, c) for c in (a[: r.randrange(12, len(a) - 1)] for _ in range(2)) if truncation.state(c) in ("open", "broken")]
+    return out
+
+
+def synthetic(sound: list[tuple], cuts: list[tuple[str, str, bool]], seed: int = 11) -> list[tuple[str, str, bool, int]]:
+    """(prompt, answer, evidence of a cut, defect number or -1) of sound pairs and of pairs broken on purpose."""
+    r = random.Random(seed)
     by_lang: dict[str, list[str]] = {}
-    for q, a, lang in sound:
+    for _, q, a, lang in sound:
         if language(WORD.findall(a.lower()))[1] >= 3:
             by_lang.setdefault(lang, []).append(a)
-    out: list[tuple[list[str], int]] = []
-    for q, a, lang in sound:
-        out.append((features(Pair(q, a)), -1))
+    out = [(q, a, evident, 1) for q, a, evident in cuts]
+    for _, q, a, lang in sound:
+        out.append((q, a, False, -1))
         roll = r.random()
-        if roll < 0.12:  # the prompt as a heading of a real answer is sound
-            out.append((features(Pair(q, f"{q.strip().rstrip('?.!')}: {a}")), -1))
-        if len(a) > 30:
-            for _ in range(2):
-                c = a[: r.randrange(12, len(a) - 1)]
-                if truncation.state(c) in ("open", "broken"):
-                    out.append((features(Pair(q, c)), 1))
+        if roll < 0.12:  # the prompt as a heading of a real answer is sound, and so is an answer that names it last
+            out.append((q, f"{q.strip().rstrip('?.!')}: {a}", False, -1))
+        elif roll < 0.2 and len(WORD.findall(a)) >= 20:
+            out.append((q, f"{a} {q.strip()}", False, -1))
+        if 0.3 < roll < 0.6:  # words never seen before are no sign of a defect
+            out.append((q, re.sub(r"[^\W\d]{3,}", lambda m: "".join(r.choice("abdefghiklmnoprstuvz") for _ in m[0]), a), False, -1))
         if roll < 0.5:
-            out.append((features(Pair(q, _refuse(r, lang))), 2))
+            out.append((q, _refuse(r, lang), False, 2))
+        if roll < 0.06:  # refusals may be long and name what was asked
+            words_ = " ".join(_refuse(r, lang) for _ in range(r.randrange(3, 9)))
+            out.append((q, f"{words_} {r.choice(('This is about', 'See', 'You named'))} {r.choice(q.split() or ['/'])} and/or /a/b.", False, 2))
         if len(WORD.findall(q)) >= 3 and r.random() < 0.5:
-            out.append((features(Pair(q, _copy(r, q))), 3))
+            out.append((q, _copy(r, q), False, 3))
         others = [x for x in by_lang if x and x != lang]
         if lang and others and r.random() < 0.5:
-            out.append((features(Pair(q, r.choice(by_lang[r.choice(others)]))), 4))
+            out.append((q, r.choice(by_lang[r.choice(others)]), False, 4))
         if r.random() < 0.15:
-            out.append((features(Pair(q, r.choice(["", " ", "\n", "​", *sorted(STAND_INS)]))), 0))
+            out.append((q, r.choice(["", " ", "\n", "\u200b", "...", *sorted(STAND_INS)]), False, 0))
     for s in ("Yes.", "No.", "Unknown.", "In most cases, yes.", "Only on some hosts.", "Not yet.", "Sí.", "Oui.", "Nein.", "No, not by policy alone.", "Yes, but only on older builds.", "42", "Done."):
-        for q, _, _ in sound[:40]:
-            out.append((features(Pair(q, s)), -1))
+        for _, q, _, _ in sound[:40]:
+            out.append((q, s, False, -1))
     r.shuffle(out)
     return out
 
@@ -277,12 +308,11 @@ class PairModel:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def train(cls, sample: list[tuple[str, str]], epochs: int = 6, precision: float = 0.95) -> PairModel:
-        data = synthetic(sample)
-        if not data:
-            return cls(np.zeros((SPACE, len(DEFECTS)), np.float32), np.full(len(DEFECTS), np.inf))
-        slots = [_slots(f) for f, _ in data]
-        labels = np.array([y for _, y in data])
+    def train(cls, data: list[tuple[str, str, bool, int]], epochs: int = 6, precision: float = 0.95) -> PairModel:
+        """From ``synthetic``."""
+        owner, slot = slots_of([Pair(q, a) for q, a, _, _ in data], [[EVIDENCE] if x else [] for _, _, x, _ in data])
+        slots = np.split(slot, np.searchsorted(owner, np.arange(1, len(data))))
+        labels = np.array([y for *_, y in data])
         held = np.arange(len(data)) % 5 == 0
         w = np.zeros((SPACE, len(DEFECTS)))
         g = np.full((SPACE, len(DEFECTS)), 1e-3)
@@ -293,24 +323,30 @@ class PairModel:
             for at in range(0, len(train), 64):
                 rows = train[at : at + 64]
                 idx = np.concatenate([slots[i] for i in rows])
-                owner = np.repeat(np.arange(len(rows)), [len(slots[i]) for i in rows])
-                z = np.zeros((len(rows), len(DEFECTS)))
-                np.add.at(z, owner, w[idx])
+                starts = np.cumsum([0, *[len(slots[i]) for i in rows[:-1]]])
+                z = np.add.reduceat(w[idx], starts, axis=0)
                 err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (labels[rows][:, None] == np.arange(len(DEFECTS)))
-                u, inv = np.unique(idx, return_inverse=True)
-                grad = np.zeros((len(u), len(DEFECTS)))
-                np.add.at(grad, inv, err[owner])
-                grad[np.ix_(u >= PAIR, BY_PAIR)] = 0
+                order = np.argsort(idx, kind="stable")
+                u, first = np.unique(idx[order], return_index=True)
+                grad = np.add.reduceat(np.repeat(err, [len(slots[i]) for i in rows], axis=0)[order], first, axis=0) * SEES[u]
                 g[u] += grad**2
                 w[u] -= 0.25 * grad / np.sqrt(g[u])
         z = np.array([w[slots[i]].sum(axis=0) for i in np.flatnonzero(held)])
         return cls(w.astype(np.float32), np.array([_threshold(z[:, k], labels[held], k, precision) for k in range(len(DEFECTS))]))
 
-    def scores(self, pair: Pair) -> np.ndarray:
-        return self.weights[_slots(features(pair))].sum(axis=0) - self.thresholds
+    @property
+    def evidence(self) -> float:
+        """What evidence adds to the score of truncation."""
+        return float(self.weights[_slot[EVIDENCE], 1])
+
+    def scores(self, some: list[Pair]) -> np.ndarray:
+        """Scores over the thresholds, a row a pair, without evidence."""
+        owner, slot = slots_of(some)
+        starts = np.searchsorted(owner, np.arange(len(some)))  # every pair has a feature
+        return np.add.reduceat(self.weights[slot], starts, axis=0) - self.thresholds
 
 
-def _threshold(z: np.ndarray, labels: np.ndarray, k: int, precision: float, rarity: float = 25.0) -> float:
+def _threshold(z: np.ndarray, labels: np.ndarray, k: int, precision: float, rarity: float = 100.0) -> float:
     """The lowest score from which on at least ``precision`` of the held-out pairs have the defect.
 
     Synthetic defects are far more common than real ones, so a sound pair counts ``rarity`` times.
@@ -327,77 +363,72 @@ def _threshold(z: np.ndarray, labels: np.ndarray, k: int, precision: float, rari
     return float((here + below) / 2)
 
 
-def confirm(defect: str, pair: Pair) -> bool:
-    """What can be checked exactly about a defect the model sees."""
-    if defect == "empty":
-        return is_nothing(pair.a)
-    if defect == "copied_question":
-        return pair.copied
-    if defect == "other_language":
-        return bool(pair.lq[0] and pair.la[0] and pair.lq[0] != pair.la[0] and pair.la[1] >= 2 and pair.la[2] <= 0.7 * pair.la[1])
-    if defect == "truncated":
-        return pair.state in ("open", "broken")
-    return len(pair.wa) <= 60 and "/" not in pair.a.replace("n/a", "") and _DECLINING.search(pair.a) is not None
-
-
 def records(df: DataFrame, name: str, key: Column, turns: str, source: Column) -> DataFrame:
     """Rows of one table as (table_name, record_id, source, turns)."""
     t = F.transform(F.col(turns), lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
     return df.select(F.lit(name).alias("table_name"), key.cast("string").alias("record_id"), source.cast("string").alias("source"), t.alias("turns")).where("record_id IS NOT NULL AND turns IS NOT NULL")
 
 
-def sample_pairs(rows: DataFrame, most: int) -> list[tuple[str, str]]:
-    """At most ``most`` pairs for training: of the records with the smallest hashes."""
-    some = rows.select("turns", F.xxhash64("table_name", "record_id").alias("h")).orderBy("h").limit(most)
+def sample_pairs(rows: DataFrame, most: int) -> list[tuple[tuple, str, str]]:
+    """((id, turn), prompt, answer) of the pairs of about ``most`` records, taken by their hashes; at most 4 * ``most`` pairs."""
+    share = min(1.0, most / max(rows.count(), 1))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("id", "turns").limit(2 * most)
     out = []
     for r in some.toLocalIterator():
-        for a, b in zip(r.turns, r.turns[1:]):
-            if a.role == "user" and b.role == "assistant" and a.content and b.content:
-                out.append((a.content, b.content))
-    return out[: 2 * most]
+        for k, (a, b) in enumerate(zip(r.turns, r.turns[1:]), 1):
+            if a and b and a.role == "user" and b.role == "assistant" and a.content and b.content:
+                out.append(((r.id, k), a.content, b.content))
+    return sorted(out)[: 4 * most]
 
 
 def broken_pairs(rows: DataFrame, sample_size: int = 3000) -> DataFrame:
     """Defective pairs: table_name, record_id, turn_index (of the answer), defect, score.
 
     ``rows``: from ``records``. A pair is a user turn directly followed by an assistant turn. It has at
-    most one defect: the confirmed one with the highest score. Null answers are empty; null prompts can be neither
+    most one defect: that with the highest score over its threshold. Null answers are empty; null prompts can be neither
     copied nor in a language; null turns and roles make no pairs; repeated rows count once; an empty table gives no
-    rows. Training reads at most ``sample_size`` records; all else covers every pair.
+    rows. Training reads about ``sample_size`` records; all else covers every pair.
     """
-    model = rows.sparkSession.sparkContext.broadcast(PairModel.train(sample_pairs(rows, sample_size)))
+    spark = rows.sparkSession
+    rows = rows.withColumn("id", F.concat_ws("\x00", "table_name", "record_id"))
+    sample = sample_pairs(rows, sample_size)
+    cuts_made = cuts_of(sound_pairs(sample, set()))
+    probes = spark.createDataFrame([(f"probe {k}", None, [(a,)]) for k, (_, a) in enumerate(cuts_made)], "id string, source string, turns array<struct<content:string>>")
+    # statistics, limits and longer copies are those of all turns; the join keeps the answers of pairs
+    source = F.when(F.col("source").isNotNull(), F.concat_ws("\x00", "table_name", "source"))
+    ends = rows.select("id", source.alias("source"), "turns")
+    cuts = cut(truncation.truncated_turns(ends, "id", "turns", "source", probes).where("reason IS NOT NULL").select("id", "turn_index").distinct())
+    known = spark.createDataFrame([*{i for (i, _), _, _ in sample}, *[f"probe {k}" for k in range(len(cuts_made))]] or [""], "string").withColumnRenamed("value", "id")
+    evident = {(r.id, r.turn_index) for r in cuts.join(F.broadcast(known), "id", "left_semi").toLocalIterator()}  # of the sample and the probes
+    sound = sound_pairs(sample, evident)
+    model = spark.sparkContext.broadcast(PairModel.train(synthetic(sound, [(q, a, (f"probe {k}", 0) in evident) for k, (q, a) in enumerate(cuts_made)])))
 
     def score(batches):
+        most = max(model.value.evidence, 0.0)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                out: list[tuple] = []
-                for name, rec, turns in zip(*(batch.column(i).slice(lo, 1024).to_pylist() for i in range(3))):
+            for lo in range(0, batch.num_rows, 512):
+                keys, some = [], []
+                for name, rec, turns in zip(*(batch.column(i).slice(lo, 512).to_pylist() for i in range(3))):
                     for k in range(1, len(turns)):
                         q, a = turns[k - 1], turns[k]
-                        if not q or not a or q["role"] != "user" or a["role"] != "assistant":
-                            continue
-                        pair = Pair(q["content"], a["content"])
-                        ok = [confirm(d, pair) for d in DEFECTS]
-                        if not any(ok):
-                            continue  # no score could matter
-                        s = model.value.scores(pair)
-                        best = max((i for i in range(len(DEFECTS)) if ok[i] and i != 1), key=lambda i: s[i], default=None)
-                        other = float(s[best]) if best is not None else -np.inf
-                        if other >= 0 or ok[1]:
-                            out.append((name, rec, k, DEFECTS[best] if other >= 0 else None, max(other, -99.0), float(s[1]) if ok[1] else None))
-                if out:
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["table_name", "record_id", "turn_index", "other", "other_score", "cut_score"])
+                        if q and a and q["role"] == "user" and a["role"] == "assistant":
+                            keys.append((name, rec, k)), some.append(Pair(q["content"], a["content"]))
+                if not some:
+                    continue
+                z = model.value.scores(some).astype(np.float64)
+                z[~np.isfinite(z)] = -99.0  # a defect that training never saw
+                rest = z.copy()
+                rest[:, 1] = -99.0
+                best, top = rest.argmax(axis=1), rest.max(axis=1)
+                at = np.flatnonzero((top >= 0) | (z[:, 1] + most >= 0))
+                if len(at):
+                    cols = [pa.array([keys[i][j] for i in at], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+                    cols += [pa.array([DEFECTS[best[i]] for i in at]), pa.array(top[at]), pa.array(z[at, 1])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["table_name", "record_id", "turn_index", "other", "other_score", "cut_score"])
 
     found = cut(rows.select("table_name", "record_id", "turns").mapInArrow(score, "table_name string, record_id string, turn_index int, other string, other_score double, cut_score double")).distinct()
-    # statistics, limits and longer copies are those of all turns; the join keeps the answers of pairs
-    source = F.when(F.col("source").isNotNull(), F.concat_ws("\x00", "table_name", "source"))
-    ends = rows.select(F.concat_ws("\x00", "table_name", "record_id").alias("key"), source.alias("source"), "turns")
-    cuts = truncation.truncated_turns(ends, "key", "turns", "source").where("reason IS NOT NULL")
-    weight = F.create_map(*[F.lit(x) for pair in EVIDENCE.items() for x in pair])
-    cuts = cuts.select("id", "turn_index", weight[F.col("reason")].alias("evidence")).distinct()
-    out = found.withColumn("id", F.concat_ws("\x00", "table_name", "record_id")).join(cuts, ["id", "turn_index"], "left")
-    cut_score = F.col("cut_score") + F.coalesce("evidence", F.lit(0.0))
-    defect = F.when(F.col("other_score") >= 0, F.col("other")).when(cut_score >= 0, F.lit("truncated"))
-    out = out.select("table_name", "record_id", "turn_index", defect.alias("defect"), F.when(F.col("other_score") >= 0, F.col("other_score")).otherwise(cut_score).alias("score"))
-    return out.where("defect IS NOT NULL")
+    out = found.withColumn("id", F.concat_ws("\x00", "table_name", "record_id")).join(cuts.withColumn("evident", F.lit(model.value.evidence)), ["id", "turn_index"], "left")
+    cut_score = F.col("cut_score") + F.coalesce("evident", F.lit(0.0))
+    score_ = F.greatest("other_score", cut_score)
+    defect = F.when(cut_score > F.col("other_score"), F.lit("truncated")).otherwise(F.col("other"))
+    return out.select("table_name", "record_id", "turn_index", defect.alias("defect"), score_.alias("score")).where("score >= 0")

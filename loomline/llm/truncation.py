@@ -90,6 +90,11 @@ def _hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return v & ~_ONE, (v & _ONE).astype(bool)
 
 
+def token_hashes(found: list[str]) -> np.ndarray:
+    """Hashes of the tokens' classes, with stops told apart."""
+    return np.fromiter(map(_tokens.__getitem__, found), np.uint64, len(found))
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,7 +142,7 @@ def state(text: str | None) -> str:
     head = s.lstrip()
     if head[0] == "{" and len(head) > 2 and head[1] in "\"' \n" and not s.endswith("}"):
         return "broken"
-    if s.endswith("```") or s.rstrip(_CLOSERS)[-1:] == "$" or (s[-1] in "}]" and head[0] in "{["):
+    if s.endswith("```") or s.rstrip(_CLOSERS)[-1:] == "$" or (s[-1] in "}]" and s.count("{") == s.count("}") and s.count("[") == s.count("]")):
         return "done"
     if s.rstrip(_CLOSERS)[-1:] in ("", *STOPS):
         return "done"
@@ -317,16 +322,20 @@ LIKELY_START, LIKELY_PATH = {"prose": 0.9, "single": 0.9, "line": 0.15}, {"prose
 _WEIGHT, LOOKS_CUT = 20.0, 0.15
 
 
-def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame:
+def truncated_turns(df: DataFrame, key: str, conversations: str, source: str, probes: DataFrame | None = None) -> DataFrame:
     """Turns without a proper end: id, turn_index, source, length, style, chance, reason; reason is null if it wasn't cut.
 
     reason: ``form``, ``limit``, ``longer_copy`` or ``phrase``. chance: how often the last phrase is an end elsewhere,
     from three tokens backed by two, one and the token before. Turns are numbered from 0. Null and
     blank contents are not cut; null keys and conversations are left out; repeated rows count once in the
-    result. A null source shares the limits of all sources. An empty table gives no rows.
+    result. A null source shares the limits of all sources. An empty table gives no rows. ``probes`` (same columns,
+    ids of their own) are judged by the form and last phrases of their turns too, but counted nowhere: neither as phrases nor for limits or copies.
     """
     scanned = cut(turns(df, key, conversations, source))
     suspects = scanned.where("kind = 1").drop("kind", "n_end", "n_mid", "word").distinct()
+    if probes is not None:
+        more = turns(probes, key, conversations, source).where("kind = 1").drop("kind", "n_end", "n_mid", "word")
+        suspects = suspects.unionByName(cut(more).withColumns({"length": F.lit(-1), "at": F.lit(0), "whole": F.lit(None).cast("bigint")}))
     stats = scanned.where("kind = 0").groupBy(F.col("key1").alias("k")).agg(F.sum("n_end").alias("e"), F.sum("n_mid").alias("m"))
     wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).union(scanned.where("kind = 2").select("key1")).distinct()
     stats = cut(stats.join(wanted, "k", "left_semi"))
@@ -338,9 +347,11 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
     p = F.lit(0.05)
     for i in (4, 1, 2, 3):  # each is backed by the one before
         p = (F.col(f"e{i}") + _WEIGHT * p) / (F.col(f"n{i}") + _WEIGHT)
-    starts = common_starts(scanned, stats).join(suspects.select("key5").distinct(), "key5", "left_semi")
-    rows = rows.withColumn("chance", p).join(starts.withColumn("start", F.lit(True)), "key5", "left")
-    rows = cut(rows.select("id", "turn_index", "source", "length", "state", "style", "path", "key5", "n1", "chance", "start", "longer"))
+    # without a plain word the key is one of the row's own that matches nothing: a shared one would be a hot key
+    rows = rows.withColumns({"chance": p, "worded": F.col("key5") != 0}).withColumn("key5", F.when(F.col("worded"), F.col("key5")).otherwise(F.xxhash64("id", "turn_index", "key3")))
+    starts = common_starts(scanned, stats).join(suspects.where("key5 != 0").select("key5").distinct(), "key5", "left_semi")
+    rows = rows.join(starts.withColumn("start", F.lit(True)), "key5", "left")
+    rows = cut(rows.select("id", "turn_index", "source", "length", "state", "style", "path", "worded", "n1", "chance", F.coalesce(F.col("start") & F.col("worded"), F.lit(False)).alias("start"), "longer"))
     # limits show in values that look cut; at a limit, all without a stop were
     limits = cut(field_limits(rows.where(F.col("chance") < LOOKS_CUT)))
     rows = rows.join(limits.select("source", "length", F.lit(True).alias("limit")), ["source", "length"], "left")
@@ -349,7 +360,7 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str) ->
     likely = F.lit(0.0)
     for name in LIKELY:
         rare = F.when((F.col("n1") < RARE) & F.col("start"), LIKELY_START[name]).when(F.col("path"), LIKELY_PATH[name])
-        rare = rare.when((F.col("n1") < RARE) & (F.lit(name != "line") | (F.col("key5") != 0)), LIKELY_RARE[name])
+        rare = rare.when((F.col("n1") < RARE) & (F.lit(name != "line") | F.col("worded")), LIKELY_RARE[name])
         likely = F.when(F.col("style") == name, rare.otherwise(LIKELY[name])).otherwise(likely)
     reason = F.when(F.col("state") == "broken", "form").when(limit, "limit").when(F.col("longer"), "longer_copy").when(F.col("chance") < likely, "phrase")
     return rows.select("id", "turn_index", "source", "length", "state", "style", "chance", reason.alias("reason"))

@@ -352,9 +352,11 @@ def test_common_words_are_those_of_all_files(spark):
 def test_copies():
     q = "Which tool turns does anchor-corgal still need?"
     for a in (q, f'"{q}"', "You asked: " + q, q.upper(), "Which tool turns does still need?", "Which tool turns does anchor-corgal need?"):
-        assert pairs.Pair(q, a).copied, a
+        assert pairs.Pair(q, a).copied >= 0, a
+    long = "You have asked me the following, and before anything else I would like to state it once more as it came in: "
+    assert pairs.Pair(q, long + q).copied == 22
     for a in ("", "It needs three of them.", q + " It needs three of them, the first and the last.", "Which tool does need?"):
-        assert not pairs.Pair(q, a).copied, a
+        assert pairs.Pair(q, a).copied < 0, a
 
 
 def test_nothing_and_languages():
@@ -395,26 +397,54 @@ def test_answers_are_held_against_all_turns(spark, monkeypatch):
     seen, run = [], truncation.truncated_turns
     monkeypatch.setattr(truncation, "truncated_turns", lambda *a: seen.append(run(*a)) or seen[0])
     got = pairs.broken_pairs(pairs.records(df, "t", F.col("run_id"), "conversations", F.col("src"))).collect()
-    why = {(x.id.split("\x00")[1], x.turn_index, x.source is None): x.reason for x in seen[0].collect()}
+    why = {(x.id.split("\x00")[1], x.turn_index, x.source is None): x.reason for x in seen[0].where("NOT startswith(id, 'probe ')").collect()}
     assert why["cut", 1, False] == "longer_copy" and ("s0", 0, False) in why and ("null", 1, True) in why
     assert not {"long", "s0"} & {x.record_id for x in got}
 
 
-def test_held_out_accuracy():
+def made_model(n=300):
     r = random.Random(12)
     nouns = ["cache", "queue", "socket", "marker", "ledger", "runner"]
     say = lambda: f"The {r.choice(nouns)} checks the {r.choice(nouns)} and writes line {r.randrange(900)} of the {r.choice(nouns)}."
-    sample = [(f"How does the {r.choice(nouns)} {k} work with the {r.choice(nouns)}?", " ".join(say() for _ in range(r.randrange(1, 5)))) for k in range(400)]
-    model = pairs.PairModel.train(sample[:300])
-    held = pairs.synthetic(sample[300:], seed=99)
+    sample = [(("x", k), f"How does the {r.choice(nouns)} {k} work with the {r.choice(nouns)}?", " ".join(say() for _ in range(r.randrange(1, 5)))) for k in range(n + 100)]
+    data = []
+    for part in (sample[:n], sample[n:]):
+        sound = pairs.sound_pairs(part, set())
+        data.append(pairs.synthetic(sound, [(q, a, r.random() < 0.8) for q, a in pairs.cuts_of(sound)], seed=len(part)))
+    return pairs.PairModel.train(data[0]), data[1]
+
+
+def test_held_out_accuracy():
+    model, held = made_model()
     hits = wrong = 0
-    for names, label in held:
-        z = model.weights[pairs._slots(names)].sum(axis=0) - model.thresholds
-        best = int(np.argmax(z)) if z.max() >= 0 else -1
-        hits += best == label
+    z = model.scores([pairs.Pair(q, a) for q, a, _, _ in held])
+    for (_, _, evident, label), s in zip(held, z):
+        s[1] += model.evidence * evident
+        best = int(np.argmax(s)) if s.max() >= 0 else -1
+        hits += best == label or (label == 1 and not evident and best == -1)  # without evidence a cut may look sound
         wrong += label < 0 <= best
     assert hits >= 0.85 * len(held) and wrong <= 0.02 * len(held)
-    assert np.isinf(pairs.PairModel.train([]).thresholds).all()
+
+
+def test_refusals_of_any_length_and_with_paths():
+    model, _ = made_model()
+    long = "I'm sorry, but I can't help with that. Please understand that I am not permitted to answer this, and that I must decline to go into this any further. " * 4
+    refusals = ["I'm sorry, but I can't help with that and/or share details on it.", long, "Unfortunately, I am unable to assist with this request. Please see https://help.example/policy/page for more.", "word " * 3 + "I'm sorry, but I can't help with that."]
+    z = model.scores([pairs.Pair("How does the cache 5 work with the queue?", a) for a in refusals])
+    assert [int(x.argmax()) for x in z] == [2] * 4 and (z.max(axis=1) >= 0).all()
+    # words never seen are no sign of a defect, nor is a sound answer that names what cannot be done
+    sound = ["Zorbel vantri melgor, quinsal hevtor as well. Talvor mirren dalsel.", "The runner cannot write line 5 of the ledger while the marker checks the queue. The cache checks the socket and writes line 7 of the queue."]
+    assert (model.scores([pairs.Pair("How does the cache 5 work with the queue?", a) for a in sound]) < 0).all()
+
+
+def test_slots_are_unique_and_cover_all_tokens():
+    a, b = pairs.Pair("Why?", "one two three"), pairs.Pair(None, None)
+    owner, slot = pairs.slots_of([b, a, b])
+    assert set(owner.tolist()) == {0, 1, 2} and len(set(zip(owner.tolist(), slot.tolist()))) == len(slot)
+    alone = pairs.slots_of([a])[1]
+    assert alone.tolist() == slot[owner == 1].tolist()
+    far = [pairs.slots_of([pairs.Pair("Why?", "word " * 200 + last)])[1] for last in ("alpha", "beta")]
+    assert set(far[0].tolist()) != set(far[1].tolist())
 
 
 # residue
