@@ -2,35 +2,46 @@
 
 Every run of ``n`` words of the held-out items goes into one hash set that is broadcast to the
 tasks scanning the corpus. A document's words are first mapped to the items' vocabulary; only runs
-of at least ``n`` known words are hashed, and each hit is verified word by word. If the items are
-beyond ``max_item_chars``, the set is not broadcast: runs are then joined by a shuffle on
-their hash and verified by comparing the words themselves.
+of at least ``n`` known words are hashed, and each hit is verified word by word. The set is a sorted array of
+hashes beside the items' words, some 24 bytes a word; items whose set would be beyond ``most_bytes`` are split into
+blocks within it, and the corpus is scanned once a block. The corpus is never shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.words import WORD, arrow_map, grams, hash_words, words
+from loomline.llm.words import WORD, arrow_map, words
 
 SPANS = "item_id bigint, first_word bigint, last_word bigint"
+BYTES_A_WORD, BYTES_A_NAME = 24, 160  # of the index: a word of an item, a different word
 
 
 class ItemIndex:
     """Windows of ``n`` words of all items; ``spans`` gives a text's verified matches."""
 
     def __init__(self, items: list[tuple[int, str | None]], n: int):
-        self.n, self.vocab, self.windows = n, {}, {}
-        for item, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)], np.int64)
-            for k in range(len(ids) - n + 1):
-                self.windows.setdefault(ids[k : k + n].tobytes(), set()).add(item)
+        self.n, self.vocab = n, {}
         rng = np.random.default_rng(7)
         self.factors = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.hashes = np.unique(np.array([int(self._hash(np.frombuffer(w, np.int64))[0]) for w in self.windows], np.uint64))
+        all_ids, owners, starts, at = [], [], [], 0
+        for item, text in items:
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)], np.int32)
+            if len(ids) >= n:
+                all_ids.append(ids), starts.append(np.arange(at, at + len(ids) - n + 1, dtype=np.int64))
+                owners.append(np.full(len(ids) - n + 1, item, np.int64))
+                at += len(ids)
+        self.ids = np.concatenate(all_ids) if all_ids else np.empty(0, np.int32)
+        start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        h = self._hash(self.ids)[start] if len(start) else np.empty(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.starts, self.owners = h[order], start[order].astype(np.int32 if at < 2**31 else np.int64), owner[order]
 
     def _hash(self, ids: np.ndarray) -> np.ndarray:
         m = len(ids) - self.n + 1
@@ -45,19 +56,19 @@ class ItemIndex:
         n = self.n
         if len(found) < n or not len(self.hashes):
             return []
-        ids = np.fromiter((self.vocab.get(w, 0) for w in found), np.int64, len(found))
-        gaps = np.flatnonzero(ids == 0)
-        edges = np.concatenate(([-1], gaps, [len(ids)]))
-        wide = np.flatnonzero(np.diff(edges) > n)
+        ids = np.fromiter((self.vocab.get(w, 0) for w in found), np.int32, len(found))
+        edges = np.concatenate(([-1], np.flatnonzero(ids == 0), [len(ids)]))
         hits: dict[int, list[list[int]]] = {}
-        for r in wide:
+        for r in np.flatnonzero(np.diff(edges) > n):
             a, b = edges[r] + 1, edges[r + 1]
             h = self._hash(ids[a:b])
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            for k in np.flatnonzero(self.hashes[at] == h):
-                for item in self.windows.get(ids[a + k : a + k + n].tobytes(), ()):
-                    runs = hits.setdefault(item, [])
+            lo, hi = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
+            for k in np.flatnonzero(hi > lo):
+                window = ids[a + k : a + k + n]
+                for e in range(lo[k], hi[k]):
+                    if (self.ids[self.starts[e] : self.starts[e] + n] != window).any():
+                        continue
+                    runs = hits.setdefault(int(self.owners[e]), [])
                     if runs and a + k <= runs[-1][1] + 1:
                         runs[-1][1] = int(a + k + n - 1)
                     else:
@@ -65,49 +76,38 @@ class ItemIndex:
         return [(item, f, last) for item, runs in sorted(hits.items()) for f, last in runs]
 
 
-def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, max_item_chars: int = 50_000_000) -> DataFrame:
+def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, most_bytes: int = 64 << 20) -> DataFrame:
     """Verified passages: ``doc_id``, item_id, first_word, last_word (0-based word positions of the document).
 
     Null or empty texts on either side match nothing; items of fewer than ``n`` words match
     nothing. Rows with a null id are left out. Repeated rows give repeated spans. Only the named
-    columns are read. Either table may be empty.
+    columns are read. Either table may be empty. ``most_bytes``: of the index that is broadcast; beyond it there are
+    as many scans as blocks of items.
     """
-    size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     corpus = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tests = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
-    if size > max_item_chars:
-        return _by_shuffle(corpus, tests, n)
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in tests.collect()], n))
-
-    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, find = [], index.value.spans
-        for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows += [(doc, *span) for span in find(WORD.findall(t.lower()))]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "first_word", "last_word"])
-
-    return corpus.mapInArrow(arrow_map(scan), f"doc_id bigint, {SPANS}")
-
-
-def _by_shuffle(corpus: DataFrame, tests: DataFrame, n: int) -> DataFrame:
-    """The same rows without a broadcast: one row per window, joined on its hash and its words."""
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[int, int, int, str]] = []
-        for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = words(t)
-            g = grams(hash_words(w), n).astype(np.int64)
-            out += [(key, k, int(g[k]), " ".join(w[k : k + n])) for k in range(len(g))]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "at", "h", "w"])
-
-    kind = "id bigint, at bigint, h bigint, w string"
-    left = corpus.mapInArrow(arrow_map(windows, 256), kind)
-    right = tests.mapInArrow(arrow_map(windows, 256), kind).select(F.col("id").alias("item_id"), "h", "w").distinct()
-    hit = left.join(right, ["h", "w"]).select(F.col("id").alias("doc_id"), "item_id", "at").distinct()
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("doc_id", "item_id").orderBy("at")
-    run = hit.withColumn("new", (F.col("at") > F.lag("at", 1, -(n + 2)).over(order) + n).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return run.groupBy("doc_id", "item_id", "run").agg(F.min("at").alias("first_word"), (F.max("at") + n - 1).alias("last_word")).drop("run")
+    found = tests.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w"))
+    size = found.agg(F.count("*").alias("n"), F.approx_count_distinct("w").alias("d")).first()
+    blocks = math.ceil((BYTES_A_WORD * size.n + BYTES_A_NAME * size.d) / most_bytes) or 1
+    if blocks > 1:
+        blocks *= 2  # blocks by hash are not equally large
+
+    def scan_for(block: int) -> DataFrame:
+        some = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in some.toLocalIterator()], n))
+
+        def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, find = [], index.value.spans
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(doc, *span) for span in find(WORD.findall(t.lower()))]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "first_word", "last_word"])
+
+        return corpus.mapInArrow(arrow_map(scan), f"doc_id bigint, {SPANS}")
+
+    out = scan_for(0)
+    for block in range(1, blocks):
+        out = out.union(scan_for(block))
+    return out
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_share: float = 0.5) -> DataFrame:

@@ -188,15 +188,25 @@ def leak_tables(spark):
     return docs, items, spark.createDataFrame(docs + docs[:3], "doc_id bigint, text string").withColumn("item_id", F.lit("clash")), spark.createDataFrame(items, "item_id bigint, text string")
 
 
-@pytest.mark.parametrize("most", [10**9, 0])
+@pytest.mark.parametrize("most", [10**9, 20_000])
 def test_leaks_equal_brute_force(spark, most):
     docs, items, d, i = leak_tables(spark)
-    spans = leakage.leaked_spans(d, i, max_item_chars=most)
+    spans = leakage.leaked_spans(d, i, most_bytes=most)
     assert {(x.doc_id, x.item_id) for x in spans.collect()} == brute_leaks(docs, items)
     twice = sorted((x.first_word, x.last_word) for x in spans.where("doc_id = 103 AND item_id = 0").distinct().collect())
     assert twice == [(0, 39)]  # spans that touch are one
-    assert leakage.leaked_spans(d.limit(0), i, max_item_chars=most).count() == 0
-    assert leakage.leaked_spans(d, i.limit(0), max_item_chars=most).count() == 0
+    assert leakage.leaked_spans(d.limit(0), i, most_bytes=most).count() == 0
+    if most < 10**6:  # several blocks
+        assert "Union" in spans._jdf.queryExecution().toString()
+    assert leakage.leaked_spans(d, i.limit(0), most_bytes=most).count() == 0
+
+
+def test_item_index_is_small():
+    import pickle
+
+    r = random.Random(4)
+    index = leakage.ItemIndex([(k, text(r, 500)) for k in range(200)], 13)
+    assert len(pickle.dumps(index)) < leakage.BYTES_A_WORD * 100_000 + leakage.BYTES_A_NAME * len(VOCAB)
 
 
 def test_spans_are_removed(spark):
