@@ -33,7 +33,7 @@ STOPS = ".!?…。"
 _CLOSERS = "\"'`)]}*_»”’"
 _BREAK, _STOP = "\x00", "\x01"
 COMMON = 5  # times in all texts
-BROADCAST_PREFIXES = 2_000_000
+BROADCAST_PREFIXES = 500_000  # 14 MB
 PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up; shorter values at their own length
 _PATH = re.compile(r"^[~.]?(?:/[\w.\-~]*)+$")
 _EXT = re.compile(r"\.([a-z][a-z0-9]{0,7})$")
@@ -258,55 +258,91 @@ def field_limits(suspects: DataFrame, reach: int = 6, sigmas: float = 6.0, least
     return joined.where(F.col("n") >= F.col("mean") + sigmas * F.sqrt("mean") + least).select("source", "length", F.col("n").alias("n_at_limit"))
 
 
-def longer_copies(suspects: DataFrame, df: DataFrame, conversations: str) -> DataFrame:
-    """(whole) hashes of suspects that are strict prefixes of a longer value and stop inside a sentence of it."""
+class Starts:
+    """Suspects by the hash of their fixed-length prefix: 28 bytes each."""
+
+    def __init__(self, wanted: pa.Table):
+        at, prefix, whole, length = (wanted.column(c).to_numpy() for c in ("at", "prefix", "whole", "length"))
+        order = np.lexsort((whole, length, prefix))
+        self.prefix, self.length, self.whole = prefix[order], length[order], whole[order]
+        self.at = [int(x) for x in np.unique(at)]  # no more than PREFIXES and the lengths below
+
+    def found(self, texts: list[str]) -> set[int]:
+        """Hashes of the suspects that some text goes on after, in the same sentence."""
+        owner, h = [], []
+        for k, t in enumerate(texts):
+            for p in self.at:
+                if p >= len(t):
+                    break
+                owner.append(k), h.append(text_hash(t[:p]))
+        keys = _signed(h)
+        lo, hi = np.searchsorted(self.prefix, keys), np.searchsorted(self.prefix, keys, "right")
+        out: set[int] = set()
+        for i in np.flatnonzero(hi > lo):
+            t, r = texts[owner[i]], slice(lo[i], hi[i])
+            for n in np.unique(self.length[r]):  # under twice the prefix
+                if n < len(t) and not _NEW.match(t, n):
+                    w = _signed([text_hash(t[:n])])[0]
+                    same = self.whole[r][self.length[r] == n]
+                    if same[min(np.searchsorted(same, w), len(same) - 1)] == w:
+                        out.add(int(w))
+        return out
+
+
+def longer_copies(suspects: DataFrame, df: DataFrame, key: str, conversations: str) -> DataFrame:
+    """(whole) hashes of suspects that are strict prefixes of a longer value and stop inside a sentence of it.
+
+    While there are at most ``BROADCAST_PREFIXES`` of them (28 bytes each) they are held against the values where these lie. Else
+    hashes of prefixes are joined first, and only values that begin like a suspect are moved.
+    """
     wanted = cut(suspects.where("at > 0").select("at", "prefix", "whole", "length").distinct())
     spark, few = df.sparkSession, wanted.count() <= BROADCAST_PREFIXES
-    # while they are few, values without a wanted prefix are not handed on at all
-    known = spark.sparkContext.broadcast(np.unique(wanted.select("prefix").toPandas()["prefix"].to_numpy(np.int64))) if few else None
-    short = sorted(r["at"] for r in wanted.where(F.col("at") < PREFIXES[0]).select("at").distinct().collect())  # one row per length under 32
     texts = F.transform(F.col(conversations), lambda t: t["content"])
-    rows = df.where(F.col(conversations).isNotNull()).select(texts.alias("texts"))
+    rows = df.where(F.col(conversations).isNotNull()).select(F.col(key).alias("id"), texts.alias("texts"))
 
-    def prefixes(batches):
+    def slices(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                at, h, text = [], [], []
-                brief: dict[tuple[int, str], bool] = {}  # whether some value goes on after such a start
-                for contents in batch.column(0).slice(lo, 1024).to_pylist():
-                    for t in contents:
-                        if t:
-                            for p in short:
-                                if p >= len(t):
-                                    break
-                                if not brief.get(start := (p, t[:p])):
-                                    brief[start] = not _NEW.match(t, p)
-                            for p in PREFIXES:
-                                if p >= len(t):
-                                    break
-                                at.append(p), h.append(text_hash(t[:p])), text.append(t)
-                # at their own length the hash of the prefix is that of the whole, so the value itself isn't needed
-                for (p, start), goes_on in brief.items():
-                    if goes_on:
-                        at.append(p), h.append(text_hash(start)), text.append(None)
-                keep = np.arange(len(at))
-                if known is not None:
-                    keep = np.flatnonzero(np.isin(_signed(h), known.value))
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(at, np.int32)[keep]), pa.array(_signed(h)[keep]), pa.array([text[k] for k in keep], pa.string())], names=["at", "prefix", "value"])
-
-    values = rows.mapInArrow(prefixes, "at int, prefix bigint, value string")
-    hit = values.join(F.broadcast(wanted) if few else wanted, ["at", "prefix"]).where(F.col("value").isNull() | (F.length("value") > F.col("length"))).select("whole", "length", "value")
+                part = batch.slice(lo, 1024)
+                yield part, [[t for t in x if t] for x in part.column("texts").to_pylist()]
+
+    if few:
+        starts = spark.sparkContext.broadcast(Starts(wanted.toArrow()))
+
+        def check(batches):
+            for _, lists in slices(batches):
+                out = starts.value.found([t for x in lists for t in x])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64())], names=["whole"])
+
+        return rows.select("texts").mapInArrow(check, "whole bigint").distinct()
+
+    lengths = sorted({*PREFIXES, *(r["at"] for r in wanted.where(F.col("at") < PREFIXES[0]).select("at").distinct().collect())})  # one row per length under 32
+
+    def prefixes(with_text: bool):
+        def run(batches):
+            for part, lists in slices(batches):
+                owner, at, h, text = [], [], [], []
+                for k, x in enumerate(lists):
+                    for t in x:
+                        for p in lengths:
+                            if p >= len(t):
+                                break
+                            owner.append(k), at.append(p), h.append(text_hash(t[:p])), text.append(t)
+                first = pa.array(text, pa.string()) if with_text else part.column("id").take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays([first, pa.array(at, pa.int32()), pa.array(_signed(h))], names=["value" if with_text else "id", "at", "prefix"])
+
+        return run
+
+    kind = rows.schema["id"].dataType.simpleString()
+    alike = rows.where("id IS NOT NULL").mapInArrow(prefixes(False), f"id {kind}, at int, prefix bigint").join(wanted.select("at", "prefix").distinct(), ["at", "prefix"], "left_semi").select("id").distinct()
+    values = rows.join(alike, "id", "left_semi").mapInArrow(prefixes(True), "value string, at int, prefix bigint").distinct()
+    hit = values.join(wanted, ["at", "prefix"]).where(F.length("value") > F.col("length")).select("whole", "length", "value")
 
     def verify(batches):
         for batch in batches:
-            ok = []
-            for whole, n, value in zip(*(c.to_pylist() for c in batch.columns)):
-                # what follows must go on with the sentence: not a stop, a new line or a new sentence
-                if value is None:
-                    ok.append(whole)
-                elif not _NEW.match(value[n:]) and text_hash(value[:n]) == whole & (2**64 - 1):
-                    ok.append(whole)
+            # what follows must go on with the sentence: not a stop, a new line or a new sentence
+            ok = [w for w, n, v in zip(*(c.to_pylist() for c in batch.columns)) if not _NEW.match(v, n) and text_hash(v[:n]) == w & (2**64 - 1)]
             if ok:
                 yield pa.RecordBatch.from_arrays([pa.array(ok, pa.int64())], names=["whole"])
 
@@ -339,7 +375,7 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str, pr
     stats = scanned.where("kind = 0").groupBy(F.col("key1").alias("k")).agg(F.sum("n_end").alias("e"), F.sum("n_mid").alias("m"))
     wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).union(scanned.where("kind = 2").select("key1")).distinct()
     stats = cut(stats.join(wanted, "k", "left_semi"))
-    copies = longer_copies(suspects, df, conversations).withColumn("longer", F.lit(True))
+    copies = longer_copies(suspects, df, key, conversations).withColumn("longer", F.lit(True))
     rows = suspects.join(copies, "whole", "left")
     for i in (1, 2, 3, 4):
         rows = rows.join(stats.select(F.col("k").alias(f"key{i}"), F.col("e").alias(f"e{i}"), (F.col("e") + F.col("m")).alias(f"n{i}")), f"key{i}", "left")

@@ -332,7 +332,9 @@ def test_cut_turns(spark):
     assert truncation.truncated_turns(df.limit(0), "run_id", "conversations", "trace_source").count() == 0
 
 
-def test_longer_copy(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_longer_copy(spark, monkeypatch, most):
+    monkeypatch.setattr(truncation, "BROADCAST_PREFIXES", most)
     whole = "Kappa lambda omicron sigma upsilon rhomboid zetetic quorum vellum parsec."
     rows = [("a", "s", talk("x.", whole)), ("b", "s", talk("x.", whole[:52])), ("c", "s", talk("x.", whole[:-1]))]
     df = spark.createDataFrame(rows, "run_id string, trace_source string, conversations array<struct<content:string,role:string>>")
@@ -340,7 +342,9 @@ def test_longer_copy(spark):
     assert got == {("b", "longer_copy")}
 
 
-def test_longer_copy_of_a_short_value(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_longer_copy_of_a_short_value(spark, monkeypatch, most):
+    monkeypatch.setattr(truncation, "BROADCAST_PREFIXES", most)
     rows = [("a", "s", talk("x.", "Can you check whether events zeta hold?")), ("cut", "s", talk("x.", "Can you check whether eve")), ("whole", "s", talk("x.", "Can you check whether events zeta hold")), ("dash", "s", talk("- a thing", "-")), ("next", "s", talk("Ready Steady.", "Ready"))]
     df = spark.createDataFrame(rows, "run_id string, trace_source string, conversations array<struct<content:string,role:string>>")
     got = {x.id for x in truncation.truncated_turns(df, "run_id", "conversations", "trace_source").where("reason = 'longer_copy'").collect()}
