@@ -64,14 +64,14 @@ def is_nothing(answer: str | None) -> bool:
     return not s or s.lower() in STAND_INS or s.lower().strip("\"'`*.") in STAND_INS or not any(c.isalnum() for c in s)
 
 
-def language(found: list[str]) -> tuple[str, int, int]:
-    """(language or "", hits of it, hits of the next) by script and function words."""
+def language(times: Counter, ascii_only: bool = False) -> tuple[str, int, int]:
+    """(language or "", hits of it, hits of the next) of counted words by script and function words."""
     hits = dict.fromkeys(_COMMON, 0.0)
-    times = Counter(found)
     for w in times.keys() & _LANG.keys():
-        for lang in _LANG[w]:
-            hits[lang] += times[w] / len(_LANG[w])  # words of several languages tell less
-    if found and max(map(max, times)) > "\u036f":
+        of = _LANG[w]
+        for lang in of:
+            hits[lang] += times[w] / len(of)  # words of several languages tell less
+    if not ascii_only and times and max(map(max, times)) > "\u036f":
         for w, k in times.items():
             name = next((n for n, a, b in _SCRIPTS if a <= ord(w[0]) <= b), "")
             if name:
@@ -108,12 +108,13 @@ def _bucket(n: int) -> str:
 class Pair:
     """A prompt and its answer with what features and checks share."""
 
-    __slots__ = ("q", "a", "wq", "wa", "lq", "la", "copied", "state")
+    __slots__ = ("q", "a", "wq", "wa", "tq", "ta", "lq", "la", "copied", "state")
 
     def __init__(self, prompt: str | None, answer: str | None):
         self.q, self.a = prompt or "", answer or ""
         self.wq, self.wa = WORD.findall(self.q.lower()), WORD.findall(self.a.lower())
-        self.lq, self.la = language(self.wq), language(self.wa)
+        self.tq, self.ta = Counter(self.wq), Counter(self.wa)
+        self.lq, self.la = language(self.tq, self.q.isascii()), language(self.ta, self.a.isascii())
         self.copied, self.state = copies(self.q, self.a, self.wq, self.wa), truncation.state(self.a)
 
 
@@ -124,10 +125,12 @@ def pair_features(pair: Pair) -> list[str]:
     if is_nothing(a):
         out.append("nothing")
     how = pair.state
-    out += [f"state={how}", f"state={how}/{truncation.style(a) if how != 'empty' else 'none'}"]
-    seen, times = set(wq), Counter(wa)
-    extra = len(wa) - sum(times[w] for w in seen & times.keys())
-    back = len(seen & times.keys()) / len(seen) if seen else 0.0
+    out.append(f"state={how}")
+    if how in ("open", "broken"):
+        out.append(f"state={how}/{truncation.style(a)}")
+    times, common = pair.ta, pair.tq.keys() & pair.ta.keys()
+    extra = len(wa) - sum(times[w] for w in common)
+    back = len(common) / len(pair.tq) if wq else 0.0
     out += [f"back={int(back * 10)}", f"extra={_bucket(extra)}", f"back/extra={int(back * 10)}/{_bucket(extra)}"]
     if pair.copied >= 0:
         out += ["gives_back", f"gives_back after {_bucket(pair.copied)}"]
@@ -137,7 +140,7 @@ def pair_features(pair: Pair) -> list[str]:
         out += [f"lang={'same' if lq == la else 'other'}", f"lang={'same' if lq == la else 'other'}/{sure}"]
         if lq != la and na >= 2 and sa <= 0.6 * na and sq <= 0.6 * nq:
             out.append("lang_other_sure")
-    if _DECLINING.search(a):
+    if declines(a, times):
         out += ["declines", f"declines/words={_bucket(len(wa))}", f"declines/back={int(back * 4)}"]
     return out
 
@@ -240,7 +243,7 @@ def sound_pairs(sample: list[tuple], evident: set) -> list[tuple]:
         odd = i in evident or is_nothing(a) or pair.copied >= 0 or (lq and la and lq != la) or pair.state == "broken" or not pair.wq
         if not odd and pair.state == "open" and truncation.style(a) != "line":
             odd = True
-        if not odd and _DECLINING.search(a) and len(pair.wa) < 40:
+        if not odd and declines(a, pair.ta) and len(pair.wa) < 40:
             odd = True
         if not odd:
             out.append((i, q, a, lq or la))
@@ -262,7 +265,7 @@ def synthetic(sound: list[tuple], cuts: list[tuple[str, str, bool]], seed: int =
     r = random.Random(seed)
     by_lang: dict[str, list[str]] = {}
     for _, q, a, lang in sound:
-        if language(WORD.findall(a.lower()))[1] >= 3:
+        if language(Counter(WORD.findall(a.lower())))[1] >= 3:
             by_lang.setdefault(lang, []).append(a)
     out = [(q, a, evident, 1) for q, a, evident in cuts]
     for _, q, a, lang in sound:
@@ -301,6 +304,24 @@ _DECLINING = re.compile(
 )
 
 
+# Words one of which every match has, or both of a pair, or the start of one.
+_DECLINE_SIGNS = frozenset(
+    "cannot unable rather authorized comfortable appropriate guidelines policy outside préfère impossible regrette leid helfen beantworten ablehnen ablehne auskunft passen übernehme befugt darf"
+    " siento disculpe puedo estoy prefiero negarme sinto posso dispiace helaas kan".split()
+)
+_DECLINE_PAIRS = (("t", "can"), ("t", "won"), ("not", "will"), ("not", "able"), ("not", "prefer"), ("not", "allowed"), ("not", "permitted"), ("no", "comment"), ("no", "can"), ("on", "pass"), ("on", "take"), ("ne", "peux"), ("ne", "suis"), ("mon", "sort"), ("mi", "fuera"), ("me", "posible"))
+_DECLINE_STEMS = ("declin", "refus", "rechaz", "désolé")
+
+
+def declines(text: str, times: Counter) -> bool:
+    """Whether a text has words of declining; ``times``: its counted words in lower case."""
+    if times.keys().isdisjoint(_DECLINE_SIGNS) and not any(x in times and y in times for x, y in _DECLINE_PAIRS):
+        low = text.lower()
+        if not any(x in low for x in _DECLINE_STEMS):
+            return False
+    return _DECLINING.search(text) is not None
+
+
 class PairModel:
     """One logistic model per defect over hashed features, with calibrated thresholds."""
 

@@ -161,15 +161,18 @@ def style(text: str) -> str:
     return "prose" if lines[-2].rstrip().rstrip(_CLOSERS)[-1:] in tuple(STOPS) else "line"
 
 
-def tail(text: str) -> tuple[int, int, int, int, int, bool]:
-    """Keys of the last token, of the last two, of the last three, of what follows the one before, of the last as the start of a word (0 if it is none), whether it is a path without an extension."""
-    last = text.rstrip().split("\n")[-1].split()[-8:]
-    h, final = _hashed(last)
-    final[-1:] = True
-    uni, bi, tri, after = phrase_keys(h, final, np.zeros(len(h), bool))
-    word = last[-1].strip("\"'`(*")
-    start = text_hash("start " + word) if word.isalpha() and word.islower() else 0
-    return int(uni[-1]), int(bi[-1]), int(tri[-1]), int(after[-1]), start, normal(last[-1]) == "<path>"
+def tails(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text with content: keys of the last token, of the last two, of the last three, of what follows the one before, of the last as the start of a word (0 if it is none), whether it is a path without an extension."""
+    lasts = [t.rstrip().rsplit("\n", 1)[-1].split()[-8:] for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in lasts], dtype=np.int64) - 1 if lasts else np.empty(0, np.int64)
+    h, final = _hashed([t for x in lasts for t in (*x, _BREAK)])
+    gap = np.zeros(len(h), bool)
+    gap[ends] = True
+    uni, bi, tri, after = phrase_keys(h, final, gap)
+    words_ = [x[-1].strip("\"'`(*") for x in lasts]
+    start = np.array([text_hash("start " + w) if w.isalpha() and w.islower() else 0 for w in words_], np.uint64)
+    last = ends - 1
+    return uni[last], bi[last], tri[last], after[last], start, np.array(["/" in x[-1] and normal(x[-1]) == "<path>" for x in lasts], bool)
 
 
 def word_starts(found: set[str]) -> np.ndarray:
@@ -195,6 +198,7 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
     kind_ = rows.schema["id"].dataType.simpleString()
     schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, n_end bigint, n_mid bigint, word string"
     names = [f.split()[0] for f in schema.split(", ")]
+    own_names = [n for n in names if n != "path" and not n.startswith("key")]
 
     def run(batches):
         for batch in batches:
@@ -202,8 +206,9 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 ids, sources, lists = (part.column(i).to_pylist() for i in range(3))
-                out: dict[str, list] = {n: [] for n in names}
+                out: dict[str, list] = {n: [] for n in own_names}
                 flat: list[str] = []
+                held: list[str] = []
                 for i, src, contents in zip(ids, sources, lists):
                     for k, t in enumerate(contents):
                         if not t or not t.strip():
@@ -212,14 +217,16 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                         how = state(t)
                         if how == "done":
                             continue
-                        uni, bi, tri, after, start, path = tail(t)
+                        held.append(t)
                         at = next((p for p in reversed(PREFIXES) if p <= len(t)), len(t) if _WORDLY.search(t) else 0)
-                        values = (1, i, k, src, len(t), how, uni, bi, tri, after, start, path, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0, None)
-                        for n, v in zip(names, values):
+                        values = (1, i, k, src, len(t), how, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0, None)
+                        for n, v in zip(own_names, values):
                             out[n].append(v)
-                m = len(out["kind"])
-                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "word": pa.string(), "state": pa.string(), "style": pa.string(), "path": pa.bool_(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in names if n not in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole", "n_end", "n_mid")}
-                cols |= {n: pa.array(_signed(out[n])) for n in ("key1", "key2", "key3", "key4", "key5", "prefix", "whole")}
+                m = len(held)
+                *keys_, path = tails(held)
+                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "word": pa.string(), "state": pa.string(), "style": pa.string(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in own_names if n not in ("prefix", "whole", "n_end", "n_mid")}
+                cols |= {f"key{k}": pa.array(x.view(np.int64)) for k, x in enumerate(keys_, 1)} | {"path": pa.array(path)}
+                cols |= {n: pa.array(_signed(out[n])) for n in ("prefix", "whole")}
                 cols |= {n: pa.array(out[n], pa.int64()) for n in ("n_end", "n_mid")}
                 if m:
                     yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -376,7 +377,7 @@ def test_copies():
 def test_nothing_and_languages():
     assert all(pairs.is_nothing(x) for x in (None, "", " \n", "​", "N/A", "null", "(no answer)", "...", "—", "{}", '""'))
     assert not any(pairs.is_nothing(x) for x in ("No.", "Yes.", "42", "Unknown.", "nullify it"))
-    lang = lambda s: pairs.language(WORD.findall(s.lower()))[0]
+    lang = lambda s: pairs.language(Counter(WORD.findall(s.lower())))[0]
     assert [lang(s) for s in ("The agent reads the file and stops.", "Le module lit le fichier et la ligne.", "Der Dienst liest die Datei und das Blatt.", "El módulo lee el archivo y la línea.", "O leitor não move o arquivo na linha.", "Модуль читает файл.", "xyz")] == ["en", "fr", "de", "es", "pt", "cyrillic", ""]
 
 
@@ -451,6 +452,13 @@ def test_refusals_of_any_length_and_with_paths():
     assert (model.scores([pairs.Pair("How does the cache 5 work with the queue?", a) for a in sound]) < 0).all()
 
 
+def test_declining_is_never_overlooked():
+    r = random.Random(2)
+    some = [pairs._refuse(r, lang) for lang in ("en", "fr", "de", "es") for _ in range(400)] + ["I won’t do it", "Je refuse.", "Me rechazan", "sinto muito", "helaas kan ik niet", "It CANNOT be", "fine", ""]
+    for s in some:
+        assert pairs.declines(s, Counter(WORD.findall(s.lower()))) == (pairs._DECLINING.search(s) is not None), s
+
+
 def test_slots_are_unique_and_cover_all_tokens():
     a, b = pairs.Pair("Why?", "one two three"), pairs.Pair(None, None)
     owner, slot = pairs.slots_of([b, a, b])
@@ -464,65 +472,93 @@ def test_slots_are_unique_and_cover_all_tokens():
 # residue
 
 
-@pytest.mark.parametrize(
-    "t, want",
-    [
-        ("Notes on {{ model }}\n\nThe cache holds ${run_id} rows.", "placeholder"),
-        ("Owner: <TEAM>, see [Project Name].", "placeholder"),
-        ("Replace this paragraph with the summary.", "placeholder"),
-        ("The prompt template uses one variable, written as `{{ task }}`, which the builder fills.", None),
-        ("Die Vorlage `{{ name }}` wird vor jedem Aufruf durch Ilmar ersetzt.", None),
-        ("Unfilled slots such as `[Your Name]` or `<DATE>` are rejected by the check.", None),
-        ("Title\n\nLorem ipsum dolor sit amet velit. Culpa magna tempor nulla lacus porta risus erit.", "filler"),
-        ("Sample text goes here. Text to be supplied later. Sample text goes here.", "filler"),
-        ("The layout test still prints lorem ipsum words into /tmp/x.md; the real copy was checked in.", None),
-        ("Home | Datasets | Models | Docs | Sign in\n404 - Page not found. Check the address and reload.\nRequest id a1b2c3d", "error_page"),
-        ("RUN REPORT X\n\nACCESS DENIED. YOUR SESSION HAS EXPIRED.", "error_page"),
-        ('{"error": {"code": 503, "message": "Service unavailable.", "request_id": "a1"}}', "error_page"),
-        ("Your browser has JavaScript disabled, so the chart cannot be shown. Contact support", "script_notice"),
-        ("Aktivieren Sie JavaScript, um fortzufahren.", "script_notice"),
-        ("The dashboard needs JavaScript, so the agent fetched the raw rows through the API and never opened the page.", None),
-        ("Twice the gateway answered 502 Bad Gateway, and the worker simply retried. The run then read all of its rows and ended well.", None),
-        ("", None),
-        (None, None),
-        ("plain words " * 20_000, None),
-    ],
-)
-def test_rules(t, want):
-    assert residue.rule_label(t) == want
+CASES = [
+    ("Notes on {{ model }}\n\nThe cache holds ${run_id} rows.", "placeholder"),
+    ("Owner: <TEAM>, see [Project Name].", "placeholder"),
+    ("Replace this paragraph with the summary.", "placeholder"),
+    ("The prompt template uses one variable, written as `{{ task }}`, which the builder fills.", None),
+    ("Die Vorlage `{{ name }}` wird vor jedem Aufruf durch Ilmar ersetzt.", None),
+    ("Unfilled slots such as `[Your Name]` or `<DATE>` are rejected by the check.", None),
+    ("Title\n\nLorem ipsum dolor sit amet velit. Culpa magna tempor nulla lacus porta risus erit.", "filler"),
+    ("Sample text goes here. Text to be supplied later. Sample text goes here.", "filler"),
+    ("The layout test still prints lorem ipsum words into /tmp/x.md; the real copy was checked in.", None),
+    ("Home | Datasets | Models | Docs | Sign in\n404 - Page not found. Check the address and reload.\nRequest id a1b2c3d", "error_page"),
+    ("RUN REPORT X\n\nACCESS DENIED. YOUR SESSION HAS EXPIRED.", "error_page"),
+    ('{"error": {"code": 503, "message": "Service unavailable.", "request_id": "a1"}}', "error_page"),
+    ("Your browser has JavaScript disabled, so the chart cannot be shown. Contact support", "script_notice"),
+    ("Aktivieren Sie JavaScript, um fortzufahren.", "script_notice"),
+    ("The dashboard needs JavaScript, so the agent fetched the raw rows through the API and never opened the page.", None),
+    ("Twice the gateway answered 502 Bad Gateway, and the worker simply retried. The run then read all of its rows and ended well.", None),
+    ("", None),
+    (None, None),
+    ("plain words " * 20_000, None),
+]
+LONG = "502 Bad Gateway. " + "The upstream server sent an invalid response. Please try again in a minute. " * 20
+UNSEEN = [
+    ("Hmm. We're having trouble finding that site.", "error_page"),
+    ("Proxy failure: the origin returned an invalid reply.", "error_page"),
+    ("Dear #FIRSTNAME#, welcome to ~~company~~", "placeholder"),
+    ("This site needs ECMAScript. Allow scripting in settings.", "script_notice"),
+    ("Handover notes\nYou need to enable Java Script to see this chart.", "script_notice"),
+    ("The requested document was not found on this host.", "error_page"),
+    ("We could not find the notebook that you were looking for.", "error_page"),
+    (LONG, "error_page"),
+    (LONG + "The worker read every row of the table and wrote the report to disk. " * 20, None),
+]
+
+
+def test_kinds_of_residue(spark):
+    cases = CASES + UNSEEN
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {x.doc_id: x.residue_kind for x in residue.residue(df).collect()}
+    wrong = [(t[:80] if t else t, want, got.get(k)) for k, (t, want) in enumerate(cases) if got.get(k) != want]
+    assert not wrong
 
 
 def test_residue_spreads_to_copies(spark):
     r = random.Random(3)
-    base = text(r, 150)
-    slot = base + " Owner: {{ team }} and {{ contact }}."
-    near = edited(r, slot, 2)
+    slot = text(r, 150) + " Owner: {{ team }} and {{ contact }}."
     bare = slot.replace("{{ ", "").replace(" }}", "")
     filled = slot.replace("{{ team }}", "Ana").replace("{{ contact }}", "Ben")
     filler = " ".join(["Sample text goes here."] * 30)
-    rows = [(1, slot), (2, near.replace("{{ team }}", "{ team }")), (3, bare), (4, filled), (5, text(r, 150)), (6, filler), (7, filler.upper()), (8, None), (9, ""), (10, "???")]
-    df = spark.createDataFrame(rows + rows[:2] + [(None, slot)], "doc_id bigint, text string").withColumn("label", F.lit("clash"))
-    got = {x.doc_id: (x.residue_kind, x.how) for x in residue.residue(df).collect()}
-    assert got[1] == ("placeholder", "rule") and got[3] == ("placeholder", "copy") and got[6][0] == got[7][0] == "filler"
-    assert 4 not in got and 5 not in got and not {8, 9, 10} & set(got)
+    rows = [(1, slot), (2, "The pages were checked. Access denied."), (3, bare), (4, filled), (5, text(r, 150)), (6, filler), (7, filler.upper()), (8, None), (9, ""), (10, "???"), (11, "Access denied for this preview.\nAccess denied.\nGo back."), (12, "Access was denied for this preview. Access denied."), (13, "\ud83d\ude00 " * 5 + "x" * 100_000)]
+    df = spark.createDataFrame(rows + rows[:2] + [(None, slot)], "doc_id bigint, text string").withColumn("label", F.lit("clash")).withColumn("id", F.lit(1))
+    found = residue.residue(df).collect()
+    got = {x.doc_id: (x.residue_kind, x.how) for x in found}
+    assert len(got) == len(found)
+    assert got[1] == ("placeholder", "rule") and got[3] == ("placeholder", "copy") and got[6] == got[7] == ("filler", "seed")
+    assert not {4, 5, 8, 9, 10, 13} & set(got)
     assert residue.residue(df.limit(0)).count() == 0
 
 
-def test_long_pages_are_judged_by_their_words():
-    page = "502 Bad Gateway. " + "The upstream server sent an invalid response. Please try again in a minute. " * 20
-    assert len(page) > 1000 and residue.rule_label(page) == "error_page"
-    assert residue.rule_label(page + "The worker read every row of the table and wrote the report to disk. " * 20) is None
+def test_labels_spread_over_sentences_of_no_seed(spark):
+    # the second sentence is unlike the seed, but like one that is like it
+    seeds = [("error_page", "alpha beta gamma delta epsilon zeta eta theta iota kappa"), ("furniture", "go back")]
+    a = "alpha beta gamma delta epsilon zeta eta one two three"
+    b = "alpha beta gamma delta one two three zeta four five"
+    df = spark.createDataFrame([(1, f"Title. {a}. {b}."), (2, f"Title. {b}."), (3, f"Title. {a}. Some other words that were never seen before, and more of them.")], "doc_id bigint, text string")
+    got = {x.doc_id: x.how for x in residue.residue(df, seeds=seeds).collect()}
+    assert got == {1: "near_copy"}
 
 
-def test_residue_reaches_edited_copies(spark):
+def test_simhash_tables_find_edited_sentences(spark):
     r = random.Random(31)
-    rows, want = [], set()
-    for k in range(60):
-        slot = text(r, 150) + " Owner: {{ team }} and {{ contact }}."
-        near = edited(r, slot.replace("{{ ", "{ ").replace(" }}", " }"), 3)
-        a, b = (set(neardup.shingles(x, 5).tolist()) for x in (slot, near))
-        rows += [(2 * k, slot), (2 * k + 1, near)]
-        if len(a & b) >= 0.8 * len(a | b) and residue._WEAK.search(near):
-            want.add(2 * k + 1)
-    got = {x.doc_id: (x.residue_kind, x.how) for x in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert len(want) > 30 and all(got.get(k) == ("placeholder", "near_copy") for k in want)
+    rows, of = [], {}
+    for k in range(40):
+        base = text(r, 14).split()
+        for v in range(6):
+            w = list(base)
+            if v:
+                w[r.randrange(14)] = f"other{r.randrange(10**6)}"
+            of[len(rows)] = k
+            rows.append((len(rows), " ".join(w)))
+    links = residue._near(spark.createDataFrame(rows, "sentence bigint, words string"), 16).select("a", "b").collect()
+    brute = {(x, y) for x, a in rows for y, b in rows[x + 1 :] if residue.alike(Counter(a.split()), Counter(b.split())) >= residue.ALIKE}
+    assert len({(x.a, x.b) for x in links} & brute) >= 0.9 * len(brute) and len(links) <= len(brute)
+    assert all(of[x.a] == of[x.b] for x in links)
+    groups = components.components(spark.createDataFrame([(x.a, x.b) for x in links], "a bigint, b bigint"), "a", "b").collect()
+    assert len(groups) >= 0.98 * len(rows)
+    per = {}
+    for x in groups:
+        per.setdefault(of[x.id], set()).add(x.component)
+    assert sum(len(v) == 1 for v in per.values()) >= 0.95 * 40
