@@ -4,18 +4,18 @@ Each published target row carries the key and the version of the source record i
 A run anti-joins the source against them, so a record is due exactly while the target
 lacks its current version. The target is a folder of immutable parts plus one pointer per version:
 
-    parts/<token>/*.parquet      rows of one run
-    versions/<number>.json       {"version", "parts": [...]}, created exclusively
+    parts/<token>/rows/*.parquet   rows of one run
+    parts/<token>/seen/*.parquet   keys and versions of the records the run processed, with or without rows
+    versions/<number>.json         {"version", "parts": [...]}, created exclusively
 
 A run writes its part first and then creates the next version file in one atomic step. Before
 that step nothing of it is visible (a retry does the same work again); after it the keys
-are in the target (a retry finds nothing due). Two writers cannot both create a version.
+are in the target (a retry finds nothing due). Two writers cannot both create a version. The folder may lie on any
+storage that Spark reads. ``compact`` folds all parts into one.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline.functions.storage import Storage, document
+
 KEY, VERSION = "_source_key", "_source_version"
 
 
@@ -79,61 +81,76 @@ class VersionedTarget:
     """A target table in a folder that serves as its own state (see the module's text)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.removeprefix("file://").removeprefix("file:")
-        os.makedirs(f"{self.path}/versions", exist_ok=True)
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Storage(spark, path)
+        self.files.make(f"{self.path}/versions")
 
     def current(self) -> dict:
-        names = sorted(n for n in os.listdir(f"{self.path}/versions") if n.endswith(".json"))
-        if not names:
-            return {"version": 0, "parts": []}
-        with open(f"{self.path}/versions/{names[-1]}", encoding="utf-8") as f:
-            return json.load(f)
+        names = [n for n in self.files.names(f"{self.path}/versions") if n.endswith(".json")]
+        return self.files.json(f"{self.path}/versions/{names[-1]}") if names else {"version": 0, "parts": []}
+
+    def _parts(self, what: str, now: dict | None = None) -> DataFrame | None:
+        parts = (now or self.current())["parts"]
+        return self.spark.read.parquet(*[f"{self.path}/parts/{p}/{what}" for p in parts]) if parts else None
 
     def read(self) -> DataFrame | None:
         """All rows of the current version, older versions of a record included; None if none yet."""
-        parts = self.current()["parts"]
-        return self.spark.read.parquet(*[f"{self.path}/parts/{p}" for p in parts]) if parts else None
+        return self._parts("rows")
 
     def rows(self) -> DataFrame | None:
-        """One row set per source key: that of the part published last."""
-        df = self.read()
+        """The rows of each source key as it was processed last; a key whose last processing gave no rows has none."""
+        now = self.current()
+        df, seen = self._parts("rows", now), self._parts("seen", now)
         if df is None:
             return None
-        order = W.partitionBy(KEY)
-        return df.withColumn("_last", F.max("_part").over(order)).where(F.col("_part") == F.col("_last")).drop("_last")
+        last = seen.groupBy(F.col(KEY).alias("_k")).agg(F.max("_part").alias("_last"))
+        return df.join(last, (F.col(KEY) == F.col("_k")) & (F.col("_part") == F.col("_last")), "left_semi")
 
-    def due(self, source: DataFrame, key: Column, version: Column) -> DataFrame:
+    def due(self, source: DataFrame, key: Column, version: Column, now: dict | None = None) -> DataFrame:
         """Source rows whose (key, version) is not what the target holds last. Null keys are errors."""
         src = source.withColumns({KEY: F.coalesce(key.cast("string"), F.raise_error(F.lit("null source key")).cast("string")), VERSION: version.cast("string")})
-        have = self.read()
+        have = self._parts("seen", now)
         if have is None:
             return src
-        held = latest(have, [KEY], F.col("_part"), [VERSION])
-        return changed(src, held, [KEY], VERSION)
+        return changed(src, latest(have, [KEY], F.col("_part"), [VERSION]), [KEY], VERSION)
 
     def run(self, source: DataFrame, key: Column, version: Column, work: Callable[[DataFrame], DataFrame], fail: Callable[[str], None] = lambda step: None) -> int:
         """Process what is due and publish it; gives the version now current.
 
-        ``work`` must hand the two columns of the source key and version on. ``fail`` is called at each
-        step, for tests that break a run.
+        ``work`` must hand the two columns of the source key and version on. A record for which it gives no rows counts as
+        processed all the same. What is due is settled before the work begins, so records that arrive meanwhile wait for the next
+        run. ``fail`` is called at each step, for tests that break a run.
         """
         now = self.current()
-        due = self.due(source, key, version)
         token = f"{now['version'] + 1:012d}-{uuid.uuid4().hex}"
+        part, mark = f"{self.path}/parts/{token}", F.lit(token)
         fail("start")
-        work(due).withColumn("_part", F.lit(token)).write.parquet(f"{self.path}/parts/{token}")
-        fail("written")
-        if not self.spark.read.parquet(f"{self.path}/parts/{token}").limit(1).count():
-            return now["version"]
-        body = {"version": now["version"] + 1, "parts": [*now["parts"], token]}
-        staged = f"{self.path}/versions/.{token}"
-        with open(staged, "w", encoding="utf-8") as f:
-            json.dump(body, f)
-            f.flush()
-            os.fsync(f.fileno())
         try:
-            os.link(staged, f"{self.path}/versions/{body['version']:012d}.json")  # fails if it is there
-        finally:
-            os.unlink(staged)
+            due = self.due(source, key, version, now)
+            due.write.parquet(f"{part}/due")
+            due = self.spark.read.schema(due.schema).parquet(f"{part}/due")
+            if due.isEmpty():
+                self.files.delete(part)
+                return now["version"]
+            work(due).withColumn("_part", mark).write.parquet(f"{part}/rows")
+            due.select(KEY, VERSION).distinct().withColumn("_part", mark).write.parquet(f"{part}/seen")
+            self.files.delete(f"{part}/due")
+            fail("written")
+            body = {"version": now["version"] + 1, "parts": [*now["parts"], token]}
+            self.files.write_new(f"{self.path}/versions/{body['version']:012d}.json", document(body))
+        except BaseException:
+            self.files.delete(part)
+            raise
         fail("published")
         return body["version"]
+
+    def compact(self) -> int:
+        """Fold all parts into one, as a new version; rows, keys and their order of processing stay."""
+        now = self.current()
+        if len(now["parts"]) < 2:
+            return now["version"]
+        token = f"{now['version'] + 1:012d}-{uuid.uuid4().hex}"
+        for what in ("rows", "seen"):
+            self._parts(what, now).write.parquet(f"{self.path}/parts/{token}/{what}")
+        body = {"version": now["version"] + 1, "parts": [token]}
+        self.files.write_new(f"{self.path}/versions/{body['version']:012d}.json", document(body))
+        return body["version"]

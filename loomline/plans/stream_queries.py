@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,7 @@ from loomline.streaming import acceptor, attempts
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ def windowed(attempts: DataFrame, late: str = "1 hour", width: str = "1 hour") -
     return attempts.withWatermark("logged_at", late).groupBy(F.window("logged_at", width), "status").agg(F.count("*").alias("n"))
 
 
-def first_success(attempts: DataFrame, most: int = 1_000_000) -> DataFrame:
+def first_success(attempts: DataFrame) -> DataFrame:
     """Each slot once, when its first accepted attempt arrives: (synthetic_id, attempt_number, seen).
 
     ``seen`` counts the attempts up to then in order of arrival. The state of a slot is two numbers.
@@ -29,11 +29,12 @@ def first_success(attempts: DataFrame, most: int = 1_000_000) -> DataFrame:
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, done = state.get if state.exists else (0, 0)
         for pdf in batches:
-            for status, number in zip(pdf.status, pdf.attempt_number):
-                seen = min(seen + 1, most)
-                if status == "accepted" and not done:
-                    done = 1
-                    yield pd.DataFrame({"synthetic_id": [key[0]], "attempt_number": [int(number)], "seen": [seen]})
+            won = (pdf.status == "accepted").to_numpy()
+            if not done and won.any():
+                at = int(won.argmax())
+                done = 1
+                yield pd.DataFrame({"synthetic_id": [key[0]], "attempt_number": [pdf.attempt_number.iloc[at]], "seen": [seen + at + 1]})
+            seen += len(pdf)
         state.update((seen, done))
 
     rows = attempts.where("synthetic_id IS NOT NULL").select("synthetic_id", "status", "attempt_number")
