@@ -89,6 +89,11 @@ class Storage:
         """Write or replace in one step; readers see the old or the new document."""
         self.move(self._stage(path, text), path, overwrite=True)
 
+    def copy(self, source: str, target: str) -> None:
+        """Copy one file; the bytes pass through the driver."""
+        a, b = self._path(source), self._path(target)
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(self._conf), a, b.getFileSystem(self._conf), b, False, self._conf)
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

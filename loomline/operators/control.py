@@ -8,10 +8,7 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from loomline.operators.publish import atomic_json, file_sha256
+from loomline.operators.publish import atomic_json, file_sha256, ordered_digest  # noqa: F401
 
 
 def inventory(folder: str, before: dict[str, dict] | None = None) -> dict[str, dict]:
@@ -79,15 +76,6 @@ def snapshot(source: str, target: str) -> dict:
     return body
 
 
-def ordered_digest(df: DataFrame, columns: list[str], order: list[str]) -> str:
-    """A digest over all rows in order, folded on the driver from one small string a row."""
-    line = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    h = hashlib.sha256()
-    for row in df.orderBy(*order).select(F.sha2(line, 256).alias("h")).toLocalIterator():
-        h.update(row.h.encode() + b"\n")
-    return h.hexdigest()
-
-
 class SingleWriter:
     """A lock file: one writer at a time, released at the end of the block."""
 

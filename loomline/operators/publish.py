@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
 import os
-import shutil
 import uuid
 
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions import conv, identity
+from loomline.functions.session import cut
+from loomline.functions.storage import Storage, digests, document, row_counts
+from loomline.operators import dedup, slots
 from loomline.operators.slots import numbered
 
 FLAG = "is_synthetic_augmentation"
@@ -127,77 +127,175 @@ def atomic_json(path: str, body: dict) -> None:
     os.replace(staged, path)
 
 
-def write_publication(df: DataFrame, order: list[str], per_shard: int, target: str, meta: dict | None = None) -> dict:
-    """Write exact shards ``train-NNNNN-of-MMMMM.parquet`` with a manifest and promote the folder in one rename.
+CHUNK = 10_000  # rows whose digests are folded in one task
 
-    An existing valid publication of the same rows is kept. Gives the manifest.
+
+def ordered_digest(df: DataFrame, columns: list[str], order: list[str]) -> str:
+    """A digest over all rows in order: rows are hashed and folded by thousands in the tasks, the driver folds one string a chunk."""
+    line = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = numbered(df.select(*order, F.sha2(line, 256).alias("_h")), order).select(F.floor(F.col("position") / CHUNK).alias("_c"), F.struct("position", "_h").alias("_r"))
+    chunks = rows.groupBy("_c").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["_h"]), "\n"), 256).alias("h"))
+    h = hashlib.sha256()
+    for row in chunks.orderBy("_c").select("h").toLocalIterator():
+        h.update(row.h.encode() + b"\n")
+    return h.hexdigest()
+
+
+def schema_digest(schema: T.StructType) -> str:
+    """Of names, order and types; whether a column may be null does not count."""
+    return hashlib.sha256("\n".join(f"{f.name}\0{f.dataType.simpleString()}" for f in schema.fields).encode()).hexdigest()
+
+
+def content_digest(files: DataFrame) -> str:
+    """Of (name, bytes, sha256) of all files, by name."""
+    return ordered_digest(files, ["name", "bytes", "sha256"], ["name"])
+
+
+def publication_id(sources: DataFrame, accepted: DataFrame, shards: DataFrame, total_rows: int, digests_: dict[str, str], run_instance_id: str, policy: str) -> str:
+    """The name of a publication: equal if and only if it would hold the same rows of the same run and sources.
+
+    ``sources``: source_record_id, source_run_id, source_task_id; ``accepted``: run_id; ``shards``: name, bytes, sha256 of the accepted
+    shards; ``digests_``: those of the source's identities, schema and content.
     """
-    spark, staging = df.sparkSession, f"{target}.staging-{uuid.uuid4().hex}"
-    sharded = with_shards(df, order, per_shard)
-    sharded.repartition("shard").sortWithinPartitions("shard", *order).write.partitionBy("shard").parquet(f"{staging}/parts")
-    found = sorted((int(d.rsplit("=", 1)[1]), d) for d in glob.glob(f"{staging}/parts/shard=*"))
-    names = []
-    for k, folder in found:
-        files = glob.glob(f"{folder}/*.parquet")
-        if len(files) != 1:
-            raise RuntimeError(f"shard {k} has {len(files)} files")
-        name = f"train-{k:05d}-of-{len(found):05d}.parquet"
-        os.rename(files[0], f"{staging}/{name}")
-        names.append(name)
-    shutil.rmtree(f"{staging}/parts")
-    entries = [{"path": n, "rows": pq.ParquetFile(f"{staging}/{n}").metadata.num_rows, "bytes": os.path.getsize(f"{staging}/{n}"), "sha256": file_sha256(f"{staging}/{n}")} for n in names]
-    for k, e in enumerate(entries):
-        if e["rows"] != per_shard and k < len(entries) - 1 or e["rows"] > per_shard:
-            raise RuntimeError(f"{e['path']} has {e['rows']} rows")
-    manifest = {"rows": sum(e["rows"] for e in entries), "rows_per_shard": per_shard, "shards": entries, **(meta or {})}
-    atomic_json(f"{staging}/manifest.json", manifest)
-    if os.path.exists(target):
-        try:
-            old = verify_publication(spark, target)
-        except ValueError:
-            old = None
-        shutil.rmtree(staging)
-        if old is None or old["rows"] != manifest["rows"]:
+    parts = {**digests_, "total": str(total_rows), "run": run_instance_id, "policy": policy}
+    parts["sources"] = ordered_digest(sources, ["source_record_id", "source_run_id", "source_task_id"], ["source_record_id"])
+    parts["accepted"] = ordered_digest(accepted, ["run_id"], ["run_id"])
+    parts["shards"] = content_digest(shards)
+    return "publication-" + hashlib.sha256(document(parts).encode()).hexdigest()[:20]
+
+
+def preflight(sources: DataFrame, accepted: DataFrame, new_rows: int, total_rows: int | None = None, policy: str | None = None, facts: dict[str, tuple[object, object]] | None = None) -> DataFrame:
+    """What stands against a publication: (check, n) of every check that fails; no rows, no objection.
+
+    ``sources``: source_record_id and the six lineage columns of every original, one row each; ``accepted``: the refined rows. ``facts``: name ->
+    (expected, found), for the digests, names and numbers of the manifests. Counts, repeated ids and fingerprints, slots that were not
+    assigned or are missing, the policy and each lineage rule are checked on the tables. The number of new rows must lie
+    between the originals and twice as many, else the check ``target`` fails and slots are not compared.
+    """
+    spark = sources.sparkSession
+    n, rows = sources.count(), accepted.count()
+    out = [(name, 1) for name, (want, found) in sorted((facts or {}).items()) if want != found]
+    out += [("synthetic_rows", abs(rows - new_rows))] if rows != new_rows else []
+    want_total = n + new_rows if total_rows is None else total_rows
+    out += [("total_rows", abs(n + rows - want_total))] if n + rows != want_total else []
+    in_range = n <= new_rows <= 2 * n
+    out += [] if in_range else [("target", 1)]
+    found = spark.createDataFrame(out, "check string, n bigint")
+    tables = [
+        lineage_violations(accepted, sources).groupBy(F.concat(F.lit("lineage:"), F.col("reason")).alias("check")).agg(F.count("*").alias("n")),
+        dedup.repeated(accepted, F.col("run_id"), "repeated_id").groupBy(F.col("reason").alias("check")).agg(F.count("*").alias("n")),
+        dedup.repeated(accepted, F.lower("refined_conversation_fingerprint"), "repeated_fingerprint").groupBy(F.col("reason").alias("check")).agg(F.count("*").alias("n")),
+    ]
+    if policy is not None:
+        tables.append(accepted.where(~F.col("refinement_validation_policy").eqNullSafe(F.lit(policy))).groupBy(F.lit("policy").alias("check")).agg(F.count("*").alias("n")))
+    if in_range:
+        want = slots.assign(sources.select("source_record_id"), "source_record_id", new_rows).select("synthetic_id")
+        both = dedup.differences(want, accepted.select(F.col("run_id").alias("synthetic_id")), "synthetic_id")
+        tables.append(both.groupBy(F.concat(F.col("side"), F.lit("_slots")).alias("check")).agg(F.count("*").alias("n")))
+    for t in tables:
+        found = found.union(t)
+    return found
+
+
+def write_publication(df: DataFrame, order: list[str], per_shard: int, root: str, name: str, meta: dict | None = None, unchanged=lambda: True) -> dict:
+    """Write exact shards ``train-NNNNN-of-MMMMM.parquet`` and promote them in one rename to ``root/publications/name``; gives the manifest.
+
+    ``name`` is the publication's id. An existing folder of that name is kept if it is valid in every byte and its manifest says the same,
+    else ValueError. ``unchanged`` is asked after the rows were written: if the sources are no longer those of the preflight, nothing
+    is promoted. ``root/current.json`` names the publication promoted last. The order of steps: shards, manifest, complete
+    mark, rename, pointer. Files are hashed in the tasks.
+    """
+    spark = df.sparkSession
+    files, final = Storage(spark, root), f"{root}/publications/{name}"
+    meta = {**(meta or {}), "publication_id": name, "rows_per_shard": per_shard}
+    if files.exists(final):
+        manifest = verify_publication(spark, final)
+        if any(manifest.get(k) != v for k, v in meta.items()) or manifest["rows"] != df.count():
             raise ValueError("another publication is in the way")
-        return old
-    os.rename(staging, target)
+    else:
+        work = f"{root}/.work/{name}-{uuid.uuid4().hex}"
+        with_shards(df, order, per_shard).repartition("shard").sortWithinPartitions("shard", *order).write.partitionBy("shard").parquet(f"{work}/parts")
+        found = sorted((int(n.rsplit("=", 1)[1]), n) for n in files.names(f"{work}/parts"))
+        files.make(f"{work}/data")
+        for k, folder in found:
+            parts = files.names(f"{work}/parts/{folder}")
+            if len(parts) != 1:
+                raise RuntimeError(f"shard {k} has {len(parts)} files")
+            files.move(f"{work}/parts/{folder}/{parts[0]}", f"{work}/data/train-{k:05d}-of-{len(found):05d}.parquet")
+        files.delete(f"{work}/parts")
+        shards = _entries(spark, f"{work}/data") if found else []
+        for k, e in enumerate(shards):
+            if e["rows"] != per_shard and k < len(shards) - 1 or e["rows"] > per_shard:
+                raise RuntimeError(f"{e['path']} has {e['rows']} rows")
+        if not unchanged():
+            raise ValueError("the source changed between the preflight and the end of writing")
+        manifest = {**meta, "rows": sum(e["rows"] for e in shards), "shards": shards}
+        text = document(manifest)
+        files.write_new(f"{work}/manifest.json", text)
+        files.write_new(f"{work}/complete.json", document({"publication_id": name, "manifest_sha256": hashlib.sha256(text.encode()).hexdigest(), "file_count": len(shards)}))
+        files.make(f"{root}/publications")
+        files.move(work, final)
+    files.write(f"{root}/current.json", document({"publication_id": name, "path": f"publications/{name}"}))
     return manifest
 
 
-def verify_publication(spark, target: str) -> dict:
-    """The manifest, after every listed file was compared with it and no other was found."""
-    path = f"{target}/manifest.json"
-    if not os.path.exists(path):
-        raise ValueError("no manifest")
-    with open(path, encoding="utf-8") as f:
-        manifest = json.load(f)
-    there = {os.path.basename(p) for p in glob.glob(f"{target}/*.parquet")}
-    if there != {e["path"] for e in manifest["shards"]}:
+def _entries(spark: SparkSession, folder: str) -> list[dict]:
+    """One small row a shard: path, rows, bytes, sha256."""
+    found = digests(spark, folder).join(row_counts(spark, folder), "name", "left").orderBy("name")
+    return [{"path": r.name, "rows": r.rows or 0, "bytes": r.bytes, "sha256": r.sha256} for r in found.collect()]
+
+
+def verify_publication(spark: SparkSession, target: str) -> dict:
+    """The manifest, after its mark and every listed file were compared with it and no other was found."""
+    files = Storage(spark, target)
+    try:
+        text = files.read(f"{target}/manifest.json")
+        manifest, mark = json.loads(text), files.json(f"{target}/complete.json")
+        if mark["publication_id"] != manifest["publication_id"] or mark["manifest_sha256"] != hashlib.sha256(text.encode()).hexdigest() or mark["file_count"] != len(manifest["shards"]):
+            raise ValueError("the complete mark does not fit the manifest")
+        listed = {e["path"]: e for e in manifest["shards"]}
+    except ValueError:
+        raise
+    except Exception as e:
+        raise ValueError("no valid manifest and complete mark") from e
+    if set(files.names(f"{target}/data")) != set(listed):
         raise ValueError("files differ from the manifest")
-    for e in manifest["shards"]:
-        p = f"{target}/{e['path']}"
-        if os.path.getsize(p) != e["bytes"] or file_sha256(p) != e["sha256"] or pq.ParquetFile(p).metadata.num_rows != e["rows"]:
-            raise ValueError(f"{e['path']} differs from the manifest")
+    if listed:
+        try:
+            found = digests(spark, f"{target}/data").collect()  # one small row a shard
+        except Exception as e:
+            raise ValueError("a shard cannot be read") from e
+        for r in found:
+            if (r.bytes, r.sha256) != (listed[r.name]["bytes"], listed[r.name]["sha256"]):
+                raise ValueError(f"{r.name} differs from the manifest")
+        counted = {r.name: r.rows for r in row_counts(spark, f"{target}/data").collect()}
+        for name, e in listed.items():
+            if counted.get(name, 0) != e["rows"]:
+                raise ValueError(f"{name} has {counted.get(name, 0)} rows")
     return manifest
 
 
 def write_shard(df: DataFrame, key: str, folder: str) -> str | None:
-    """One immutable shard named by the hash of its sorted keys; the same rows again change nothing, other bytes under the name are an error.
+    """One immutable shard named by the hash of its sorted keys; the same rows again change nothing, other rows under the name are an error.
 
     For the bounded batches of accepted rows; an empty batch writes nothing.
     """
-    keys = df.select(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n")).first()
+    spark = df.sparkSession
+    files, rows = Storage(spark, folder), cut(df)
+    keys = rows.select(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n")).first()
     if not keys.n:
         return None
     name = f"accepted-{keys.h[:20]}.parquet"
-    target = f"{folder}/{name}"
-    if os.path.exists(target):
-        if pq.ParquetFile(target).metadata.num_rows != keys.n:
+    target, staging = f"{folder}/{name}", f"{folder}/.staging-{uuid.uuid4().hex}"
+    if files.exists(target):
+        have = spark.read.parquet(target)
+        if have.columns != rows.columns or not have.exceptAll(rows).isEmpty() or not rows.exceptAll(have).isEmpty():
             raise ValueError(f"{name} exists with other rows")
         return target
-    staging = f"{folder}/.staging-{uuid.uuid4().hex}"
-    df.coalesce(1).sortWithinPartitions(key).write.parquet(staging)
-    (part,) = glob.glob(f"{staging}/*.parquet")
-    os.replace(part, target)
-    shutil.rmtree(staging)
+    rows.coalesce(1).sortWithinPartitions(key).write.parquet(staging)
+    (part,) = files.names(staging)
+    try:
+        files.move(f"{staging}/{part}", target)
+    finally:
+        files.delete(staging)
     return target

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import conv
-from loomline.operators import attempts, control, dedup, graph, publish, retrieval, reward, slots
+from loomline.operators import attempts, control, dedup, graph, manifests, publish, retrieval, reward, slots
 from loomline.sources import fixture, jsonl, parquet
 
 
@@ -76,19 +76,109 @@ def test_publication(spark, tmp_path):
     assert {r.reason for r in publish.lineage_violations(refined.withColumn("source_record_id", F.lit("no")), known).collect()} >= {"unknown_source"}
     out = publish.union_published(src, refined)
     assert publish.same_schema(out.schema, publish.augmented_schema(src.schema))
-    target = str(tmp_path / "pub")
-    m = publish.write_publication(out, ["run_id"], 4, target)
-    assert [e["rows"] for e in m["shards"]] == [4, 4, 2] and os.path.exists(f"{target}/train-00002-of-00003.parquet")
-    assert publish.write_publication(out, ["run_id"], 4, target)["rows"] == 10
-    assert spark.read.parquet(f"{target}/*.parquet").where("NOT is_synthetic_augmentation").count() == 4
-    with open(f"{target}/train-00000-of-00003.parquet", "ab") as f:
+    root, target = str(tmp_path / "pub"), str(tmp_path / "pub" / "publications" / "one")
+    m = publish.write_publication(out, ["run_id"], 4, root, "one", {"policy": "policy"})
+    assert [e["rows"] for e in m["shards"]] == [4, 4, 2] and os.path.exists(f"{target}/data/train-00002-of-00003.parquet")
+    assert publish.write_publication(out, ["run_id"], 4, root, "one", {"policy": "policy"}) == m
+    assert json.load(open(f"{root}/current.json"))["publication_id"] == "one"
+    assert spark.read.parquet(f"{target}/data").where("NOT is_synthetic_augmentation").count() == 4
+    for other in ({"policy": "another"}, {}):
+        if other:
+            with pytest.raises(ValueError, match="in the way"):
+                publish.write_publication(out, ["run_id"], 4, root, "one", other)
+    with pytest.raises(ValueError, match="changed between"):
+        publish.write_publication(out, ["run_id"], 4, root, "two", unchanged=lambda: False)
+    assert not os.path.exists(f"{root}/publications/two")
+    with open(f"{target}/data/train-00000-of-00003.parquet", "ab") as f:
         f.write(b"x")
     with pytest.raises(ValueError):
         publish.verify_publication(spark, target)
+    with pytest.raises(ValueError):
+        publish.write_publication(out, ["run_id"], 4, root, "one", {"policy": "policy"})
     with pytest.raises(ValueError):
         publish.augmented_schema(out.schema)
 
 
+def lineage_of(ident):
+    return ident.select("source_record_id", "source_file", "source_row_index", F.col("trial_name").alias("source_trial_name"), "source_conversation_fingerprint", F.col("run_id").alias("source_run_id"), F.col("task").alias("source_task_id"))
+
+
+def test_preflight_and_id(spark):
+    src = fixture.conversations(spark, 4)
+    ident = src.withColumns({"source_file": F.lit("f.parquet"), "source_row_index": F.split("run_id", "-")[1].cast("bigint"), "source_conversation_fingerprint": conv.fingerprint(F.col("conversations"))})
+    ident = ident.withColumn("source_record_id", F.concat(F.lit("source-"), "source_row_index"))
+    slot = slots.assign(ident.select("source_record_id"), "source_record_id", 6)
+    turn = F.struct(F.col("synthetic_id").alias("content"), F.lit("user").alias("role"))
+    answers = slot.select("synthetic_id", F.array(turn, F.struct(F.lit("done").alias("content"), F.lit("assistant").alias("role"))).alias("conversations"))
+    refined, known = publish.refined_rows(slot, ident, answers, "m", "p", "v1").cache(), lineage_of(ident)
+    found = lambda df: {r.check: r.n for r in df.collect()}
+    assert found(publish.preflight(known, refined, 6, policy="v1", facts={"schema": ("a", "a")})) == {}
+    assert found(publish.preflight(known, refined, 6, total_rows=11, policy="v2", facts={"schema": ("a", "b")})) == {"schema": 1, "total_rows": 1, "policy": 6}
+    first = refined.where("refinement_index = 0")
+    assert found(publish.preflight(known, first, 6)) == {"synthetic_rows": 2, "total_rows": 2, "missing_slots": 2}
+    assert found(publish.preflight(known, first, 4)) == {}
+    assert found(publish.preflight(known, refined.union(refined.limit(1)), 6)) == {"synthetic_rows": 1, "total_rows": 1, "repeated_id": 1, "repeated_fingerprint": 1}
+    assert found(publish.preflight(known, refined, 9)) == {"synthetic_rows": 3, "total_rows": 3, "target": 1}
+    other = refined.withColumn("run_id", F.concat(F.lit("x"), "run_id"))
+    assert {"missing_slots": 6, "unknown_slots": 6}.items() <= found(publish.preflight(known, other, 6)).items()
+    shards = spark.createDataFrame([("a", 1, "00")], "name string, bytes bigint, sha256 string")
+    name = lambda acc, total=10, run="r", s=shards: publish.publication_id(known, acc, s, total, {"schema": "x"}, run, "v1")
+    one = name(refined)
+    assert one == name(refined.repartition(3)) and one.startswith("publication-") and len(one) == 32
+    assert len({one, name(first), name(refined, 11), name(refined, 10, "q"), name(refined, s=shards.withColumn("sha256", F.lit("01")))}) == 5
+
+
+def test_manifests_and_restore(spark, tmp_path):
+    src = fixture.conversations(spark, 4)
+    ident = lineage_of(src.withColumns({"source_file": F.lit("f"), "source_row_index": F.split("run_id", "-")[1].cast("bigint"), "source_conversation_fingerprint": F.lit("x")}).withColumn("source_record_id", F.concat(F.lit("source-"), "source_row_index")))
+    source, state = str(tmp_path / "src"), str(tmp_path / "state")
+    src.coalesce(1).write.parquet(source)
+    body = manifests.ensure_source(spark, state, manifests.source_manifest(spark, source, ident, "asked"))
+    assert manifests.ensure_source(spark, state, {**body, "requested_source": "otherwise"}) == body and len(body["files"]) == 1
+    with pytest.raises(ValueError, match="rows"):
+        manifests.ensure_source(spark, state, {**body, "rows": 5})
+    run = manifests.ensure_run(spark, state, body, 6, "v1")
+    assert manifests.ensure_run(spark, state, body, 6, "v1") == run
+    with pytest.raises(ValueError, match="target_rows"):
+        manifests.ensure_run(spark, state, body, 7, "v1")
+    with pytest.raises(ValueError, match="twice"):
+        manifests.ensure_run(spark, state, body, 9, "v1")
+    facts = manifests.facts(body, run, 6, "v1", "asked")
+    assert all(a == b for a, b in facts.values())
+    assert {k for k, (a, b) in manifests.facts(body, run, 5, "v2", "no").items() if a != b} == {"source_name", "target_rows", "validation_policy"}
+    manifests.verify_source(spark, body, ident)
+    # state, sealing, restoring
+    publish.write_shard(src.limit(2), "run_id", f"{state}/accepted")
+    manifests.seal_state(spark, state)
+    shard = publish.write_shard(src.orderBy(F.desc("run_id")).limit(1), "run_id", f"{state}/accepted")  # not sealed yet
+    assert manifests.sealed_shards(spark, state)[1].count() == 2
+    with pytest.raises(ValueError, match="unexpected"):
+        manifests.verify_state(spark, state)
+    os.remove(shard)
+    got = manifests.restore(spark, state, str(tmp_path / "again"))
+    assert got == {"run_instance_id": run["run_instance_id"], "accepted_rows": 2, "target_rows": 6, "pending_rows": 4, "shards": 1}
+    with pytest.raises(FileExistsError):
+        manifests.restore(spark, state, str(tmp_path / "again"))
+    os.remove(tmp_path / "state" / "run_manifest.json")
+    with pytest.raises(ValueError, match="run_manifest"):
+        manifests.restore(spark, state, str(tmp_path / "third"))
+    assert not (tmp_path / "third").exists()
+    src.limit(1).write.mode("append").parquet(source)
+    with pytest.raises(ValueError, match="differs from its manifest"):
+        manifests.verify_source(spark, body, ident)
+    calls = []
+
+    def late():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ValueError
+        return "there"
+
+    assert manifests.read_back(late, sleep=lambda s: None) == "there" and len(calls) == 3
+    with pytest.raises(FileNotFoundError):
+        manifests.read_back(lambda: open(tmp_path / "no"), tries=2, sleep=lambda s: None)
+
+
 def test_invalid_answers_are_errors(spark):
     src = fixture.conversations(spark, 1)
     ident = src.withColumns({"source_file": F.lit("f"), "source_row_index": F.lit(0), "source_conversation_fingerprint": F.lit("x"), "source_record_id": F.lit("source-0")})
@@ -101,8 +191,10 @@ def test_invalid_answers_are_errors(spark):
 def test_content_named_shard(spark, tmp_path):
     df = spark.createDataFrame([("b", 1), ("a", 2)], "run_id string, v int")
     path = publish.write_shard(df, "run_id", str(tmp_path))
-    assert publish.write_shard(df, "run_id", str(tmp_path)) == path and len(os.listdir(tmp_path)) == 1
+    assert publish.write_shard(df, "run_id", str(tmp_path)) == path and len([n for n in os.listdir(tmp_path) if n[0] != '.']) == 1
     assert publish.write_shard(df.limit(0), "run_id", str(tmp_path)) is None
+    with pytest.raises(ValueError, match="other rows"):
+        publish.write_shard(df.withColumn("v", F.lit(9)), "run_id", str(tmp_path))
 
 
 def test_control_documents(tmp_path):
