@@ -331,8 +331,11 @@ class PairModel:
     @classmethod
     def train(cls, data: list[tuple[str, str, bool, int]], epochs: int = 6, precision: float = 0.95) -> PairModel:
         """From ``synthetic``."""
-        owner, slot = slots_of([Pair(q, a) for q, a, _, _ in data], [[EVIDENCE] if x else [] for _, _, x, _ in data])
-        slots = np.split(slot, np.searchsorted(owner, np.arange(1, len(data))))
+        slots: list[np.ndarray] = []
+        for lo in range(0, len(data), 1000):  # pairs are much larger than their slots
+            part = data[lo : lo + 1000]
+            owner, slot = slots_of([Pair(q, a) for q, a, _, _ in part], [[EVIDENCE] if x else [] for _, _, x, _ in part])
+            slots += np.split(slot.astype(np.int32), np.searchsorted(owner, np.arange(1, len(part))))
         labels = np.array([y for *_, y in data])
         held = np.arange(len(data)) % 5 == 0
         w = np.zeros((SPACE, len(DEFECTS)))
@@ -387,7 +390,8 @@ def _threshold(z: np.ndarray, labels: np.ndarray, k: int, precision: float, rari
 def records(df: DataFrame, name: str, key: Column, turns: str, source: Column) -> DataFrame:
     """Rows of one table as (table_name, record_id, source, turns)."""
     t = F.transform(F.col(turns), lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
-    return df.select(F.lit(name).alias("table_name"), key.cast("string").alias("record_id"), source.cast("string").alias("source"), t.alias("turns")).where("record_id IS NOT NULL AND turns IS NOT NULL")
+    rows = df.where(key.isNotNull() & F.col(turns).isNotNull())  # on the columns themselves, so that counting needs no texts
+    return rows.select(F.lit(name).alias("table_name"), key.cast("string").alias("record_id"), source.cast("string").alias("source"), t.alias("turns"))
 
 
 def sample_pairs(rows: DataFrame, most: int) -> list[tuple[tuple, str, str]]:
@@ -429,11 +433,14 @@ def broken_pairs(rows: DataFrame, sample_size: int = 3000) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 keys, some = [], []
-                for name, rec, turns in zip(*(batch.column(i).slice(lo, 512).to_pylist() for i in range(3))):
-                    for k in range(1, len(turns)):
-                        q, a = turns[k - 1], turns[k]
-                        if q and a and q["role"] == "user" and a["role"] == "assistant":
-                            keys.append((name, rec, k)), some.append(Pair(q["content"], a["content"]))
+                names, ids, lists = (batch.column(i).slice(lo, 512) for i in range(3))
+                content, role = (x.to_pylist() for x in lists.flatten().flatten())  # null turns have neither
+                at = 0
+                for name, rec, size in zip(names.to_pylist(), ids.to_pylist(), lists.value_lengths().to_pylist()):
+                    for k in range(at + 1, at + (size or 0)):
+                        if role[k - 1] == "user" and role[k] == "assistant":
+                            keys.append((name, rec, k - at)), some.append(Pair(content[k - 1], content[k]))
+                    at += size or 0
                 if not some:
                     continue
                 z = model.value.scores(some).astype(np.float64)
