@@ -16,6 +16,7 @@ BACKTICK = r"`([^`\n]+)`"
 QUOTED = r"(?<![A-Za-z])[\"']([^\"'\n]{2,120})[\"']"
 FLAG = r"(?U)(?<!\w)--[A-Za-z0-9][A-Za-z0-9-]*"
 NUMBER = r"(?U)(?<!\w)\d+(?:\.\d+)*(?!\w)"
+# Patterns of the policy and of errors that pass, and forms of deliverables.
 REFUSAL = (
     r"(?i)\b(?:i(?:['’]m| am) sorry|i apologize|i (?:cannot|can't|won't|am unable to) (?:help|assist|comply|fulfill)|"
     r"(?:cannot|can't|unable to) (?:complete|continue|proceed|perform|fulfill)|request cannot be fulfilled|as an ai|something went wrong|no solution)\b"
@@ -52,9 +53,18 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
+def casefold(c: Column) -> Column:
+    """Text under which strings that differ in case only are equal, by Python's ``str.casefold``: sharp s is ss, all sigmas are one."""
+    # upper case joins the variants of a letter; the dotless i, which it would turn into an i, is set aside
+    # (put back between the two, which also keeps the optimizer from dropping the inner one)
+    apart = F.replace(F.replace(c, F.lit("ı"), F.lit("\ue0f1")), F.lit("ẞ"), F.lit("ss"))
+    folded = F.replace(F.lower(F.replace(F.upper(apart), F.lit("\ue0f1"), F.lit("ı"))), F.lit("ς"), F.lit("σ"))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(c))
+
+
 def content_key(c: Column) -> Column:
     """The key under which contents count as the same: case and white space do not matter."""
-    return squeeze(F.lower(c))
+    return squeeze(casefold(c))
 
 
 def json_escape(c: Column) -> Column:

@@ -52,10 +52,16 @@ def totals(attempts: DataFrame, by: str) -> DataFrame:
     return attempts.groupBy(by).agg(ok.alias("n_ok"), err.alias("n_err"), F.count("*").alias("n"), F.round(err / F.count("*"), 6).alias("error_rate"))
 
 
-def stops(batches: DataFrame, batch: str) -> DataFrame:
-    """Per batch whether the run stops after it: a fatal code, or nothing accepted."""
-    out = batches.groupBy(batch).agg(F.count_if(F.col("status") == "accepted").alias("n_ok"), F.count_if(F.col("error_code").isin(*FATAL)).alias("n_fatal"))
-    return out.withColumn("reason", F.when(F.col("n_fatal") > 0, "fatal").when(F.col("n_ok") == 0, "none_accepted"))
+def stops(batches: DataFrame, batch: str, expected: DataFrame | None = None) -> DataFrame:
+    """Per batch whether the run stops after it: no attempts at all, a fatal code, or nothing accepted.
+
+    ``expected``: the batches that should have attempts, by the same column; without it no batch is found empty.
+    """
+    out = batches.groupBy(batch).agg(F.count_if(F.col("status") == "accepted").alias("n_ok"), F.count_if(F.col("error_code").isin(*FATAL)).alias("n_fatal"), F.lit(True).alias("_any"))
+    if expected is not None:
+        out = expected.select(batch).distinct().join(out, batch, "left").fillna(0, ["n_ok", "n_fatal"])
+    reason = F.when(F.col("_any").isNull(), "empty").when(F.col("n_fatal") > 0, "fatal").when(F.col("n_ok") == 0, "none_accepted")
+    return out.withColumn("reason", reason).drop("_any")
 
 
 def safe_error(message, secret: str = "", most: int = 500):

@@ -18,12 +18,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def collision_winners(candidates: DataFrame, accepted: DataFrame, fingerprint: str, key: str) -> DataFrame:
-    """``won`` per candidate: its fingerprint is not accepted yet and its key is the least of those that share it."""
-    taken = accepted.select(F.col(fingerprint).alias("_f")).where("_f IS NOT NULL").distinct().withColumn("_taken", F.lit(True))
+    """``won`` per candidate: no accepted row of another key has its fingerprint, and its key is the least of the candidates that share it.
+
+    Where ``accepted`` has no column ``key``, any accepted row with the fingerprint stands against it.
+    """
+    held = accepted.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("_f"))
+    taken = held.agg(F.min(key).alias("_low"), F.max(key).alias("_high")) if key in accepted.columns else held.agg(F.lit(None).cast("string").alias("_low"), F.lit(None).cast("string").alias("_high"))
     least = candidates.groupBy(fingerprint).agg(F.min(key).alias("_least"))
-    out = candidates.join(least, fingerprint, "left").join(taken, F.col(fingerprint) == F.col("_f"), "left")
-    won = F.col("_taken").isNull() & (F.col(key) == F.col("_least")) & F.col(fingerprint).isNotNull()
-    return out.withColumn("won", won).drop("_least", "_f", "_taken")
+    out = candidates.join(least, fingerprint, "left").join(taken.withColumn("_taken", F.lit(True)), F.col(fingerprint) == F.col("_f"), "left")
+    other = F.col("_taken") & ~F.coalesce((F.col("_low") == F.col(key)) & (F.col("_high") == F.col(key)), F.lit(False))
+    won = ~F.coalesce(other, F.lit(False)) & (F.col(key) == F.col("_least")) & F.col(fingerprint).isNotNull()
+    return out.withColumn("won", F.coalesce(won, F.lit(False))).drop("_least", "_f", "_taken", "_low", "_high")
 
 
 def repeated(df: DataFrame, value: Column, reason: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,18 +63,36 @@ def attack_id(refs: Column) -> Column:
     return F.get(F.filter(refs, lambda r: r["source_name"] == "mitre-attack"), F.lit(0))["external_id"]
 
 
-def _pretty(name, tid, tactic, sub, platforms, summary, detection, sources, mitigations):
-    """An indented JSON document with keys in the order given."""
-    body = {"tactic": tactic, "technique_id": tid, "technique_name": name, "is_subtechnique": bool(sub), "platforms": platforms or [], "summary": summary, "recommended_detection": detection, "data_sources": sources or [], "recommended_mitigation": mitigations or []}
-    return json.dumps(body, ensure_ascii=False, indent=2)
+def _text(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit('"'), X.json_escape(c), F.lit('"')), F.lit("null"))
+
+
+def _list(c: Column) -> Column:
+    items = F.transform(c, lambda x: F.concat(F.lit("\n    "), _text(x)))
+    return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.concat(F.lit("["), F.array_join(items, ","), F.lit("\n  ]"))).otherwise("[]")
+
+
+def pretty(*fields: tuple[str, Column]) -> Column:
+    """A JSON object indented by two blanks, its fields in the order given: each (name, JSON text)."""
+    lines = [x for k, (name, c) in enumerate(fields) for x in (F.lit(f'{"," if k else ""}\n  "{name}": '), c)]
+    return F.concat(F.lit("{"), *lines, F.lit("\n}"))
+
+
+def subtechniques(objs: DataFrame) -> DataFrame:
+    """One row: techniques and how many of them are sub-techniques."""
+    tech = active(objs).where("type = 'attack-pattern'")
+    return tech.agg(F.count("*").alias("n_techniques"), F.count_if(F.coalesce("x_mitre_is_subtechnique", F.lit(False))).alias("n_subtechniques"))
+
 
+def shuffled(rows: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
+    """Rows with a position drawn by hash: the same order each time, whatever the partitioning."""
+    from loomline.operators.slots import numbered
 
-def pretty(*columns) -> Column:
-    return F.udf(_pretty, T.StringType())(*columns)
+    return numbered(rows.withColumn("_h", F.sha2(F.concat_ws("\x00", F.lit(f"shuffle{seed}"), *key), 256)), ["_h", *key]).drop("_h")
 
 
 def examples(objs: DataFrame, system: str) -> DataFrame:
-    """(id, kind, messages): instruction examples of techniques, groups, software and tactics."""
+    """(id, kind, messages): instruction examples of techniques, groups, software and tactics. Their wording is a fixed value."""
     verts, edges = vertices(objs), objs.where("type = 'relationship'")
     live = active(objs.where("id IS NOT NULL")).withColumn("desc", X.strip(F.coalesce("description", F.lit("")))).where("desc != ''")
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
@@ -90,7 +106,12 @@ def examples(objs: DataFrame, system: str) -> DataFrame:
     plats, tacs = listed(F.col("x_mitre_platforms"), "various platforms"), listed(phases, "unknown tactic")
     detect = X.strip(F.coalesce("x_mitre_detection", F.lit("")))
     note = F.coalesce(F.concat(F.lit("\n**Data sources:** "), F.nullif(F.array_join("x_mitre_data_sources", ", "), F.lit(""))), F.lit(""))
-    doc = pretty(name, tid, tacs, F.coalesce("x_mitre_is_subtechnique", F.lit(False)), "x_mitre_platforms", "desc", detect, "x_mitre_data_sources", "mits")
+    sub = F.when(F.coalesce("x_mitre_is_subtechnique", F.lit(False)), "true").otherwise("false")
+    # fixed values: the keys of the summary and their order
+    doc = pretty(
+        ("tactic", _text(tacs)), ("technique_id", _text(tid)), ("technique_name", _text(name)), ("is_subtechnique", sub), ("platforms", _list(F.col("x_mitre_platforms"))), ("summary", _text(F.col("desc"))),
+        ("recommended_detection", _text(detect)), ("data_sources", _list(F.col("x_mitre_data_sources"))), ("recommended_mitigation", _list(F.col("mits"))),
+    )
     one = lambda kind, ask, answer, when=None: (s if when is None else F.when(when, s)) if (s := F.struct(F.lit(kind).alias("kind"), chat(ask, answer).alias("messages"))) is not None else None
     of_tech = [
         one("explain", fmt("Explain the ATT&CK technique %s (%s).", name, tid), fmt("%s\n\n**Tactic(s):** %s\n**Platforms:** %s", F.col("desc"), tacs, plats)),

@@ -1,4 +1,4 @@
-"""Prompts as column expressions."""
+"""Prompts as column expressions. The texts around the columns are fixed values."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def synthesis(instruction: Column, environment: Column, framing: Column) -> Colu
 def batch_sources(requests: DataFrame) -> DataFrame:
     """Per batch its distinct sources and its requests: one source is sent once however many requests name it.
 
-    ``requests``: batch_id, synthetic_id, source_record_id, refinement_index, fingerprint. A record id with two fingerprints in a batch is an error.
+    ``requests``: batch_id, synthetic_id, source_record_id, refinement_index, fingerprint (null: not known). A record id with two fingerprints in a batch is an error.
     """
     sources = requests.groupBy("batch_id", "source_record_id").agg(F.countDistinct("fingerprint").alias("_n"), F.min("fingerprint").alias("fingerprint"), F.count("*").alias("n_requests"))
     checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("a record has two contents in a batch")).cast("string")).otherwise(F.col("fingerprint"))

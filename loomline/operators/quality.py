@@ -28,19 +28,31 @@ def degenerate(c: Column) -> Column:
     return adjacent | thrice | ((n >= 6) & (F.size(distinct) / n < 0.5)) | few | dull
 
 
+def _words(source: Column, candidate: Column) -> tuple[Column, ...]:
+    """(number of the task's tokens, of those in the candidate's task, share kept by the task, share kept by the execution)."""
+    want, got = X.tokens(conv.joined(source, ("user",))), X.tokens(conv.joined(candidate, ("user",)))
+    done = X.tokens(conv.joined(candidate, ("assistant", "tool")))
+    return F.size(want), F.size(F.array_intersect(want, got)), X.share_kept(want, got), X.share_kept(want, done)
+
+
+def _lost_anchors(source: Column, candidate: Column, kept: Column) -> Column:
+    exact = X.anchors(conv.joined(source, ("user",)))
+    found = X.anchors(F.concat(conv.joined(candidate, ("user",)), F.lit("\n"), conv.joined(candidate, ("assistant", "tool"))))
+    return (F.size(exact) > 0) & (F.size(F.array_intersect(exact, found)) == 0) & ((F.size(exact) >= 2) | (kept < WEAK))
+
+
+def _invalid(source: Column, candidate: Column) -> Column:
+    return conv.problem(source, blank_ok=True, any_final=True, least=1, most=None).isNotNull() | conv.problem(candidate, any_final=True).isNotNull()
+
+
 def codes(source: Column, candidate: Column, with_anchors: bool = True) -> Column:
     """Codes in the order they are raised, each once; ``invalid_conversation`` alone if a side has no valid form."""
     letters = conv.role_letters(candidate)
     final = conv.last_assistant(candidate)
-    want, got = X.tokens(conv.joined(source, ("user",))), X.tokens(conv.joined(candidate, ("user",)))
-    done = X.tokens(conv.joined(candidate, ("assistant", "tool")))
-    n, both = F.size(want), F.size(F.array_intersect(want, got))
-    kept, executed = X.share_kept(want, got), X.share_kept(want, done)
+    n, both, kept, executed = _words(source, candidate)
     drift = ((n > 0) & ((both == 0) | ((n >= 20) & (kept < LEAST_LONG)))) | ((n >= 5) & (executed < LEAST_EXECUTION))
     if with_anchors:
-        exact = X.anchors(conv.joined(source, ("user",)))
-        found = X.anchors(F.concat(conv.joined(candidate, ("user",)), F.lit("\n"), conv.joined(candidate, ("assistant", "tool"))))
-        drift = drift | ((F.size(exact) > 0) & (F.size(F.array_intersect(exact, found)) == 0) & ((F.size(exact) >= 2) | (kept < WEAK)))
+        drift = drift | _lost_anchors(source, candidate, kept)
     out = _list(
         ("missing_participant", ~letters.contains("u") | ~letters.contains("a")),
         ("invalid_turn_order", ~letters.endswith("a")),
@@ -51,8 +63,63 @@ def codes(source: Column, candidate: Column, with_anchors: bool = True) -> Colum
         ("task_drift", drift),
         ("unchanged_conversation", conv.canonical_json(source) == conv.canonical_json(candidate)),
     )
-    bad = conv.problem(source, blank_ok=True, any_final=True, least=1, most=None).isNotNull() | conv.problem(candidate, any_final=True).isNotNull()
-    return F.when(bad, F.array(F.lit("invalid_conversation"))).otherwise(out)
+    return F.when(_invalid(source, candidate), F.array(F.lit("invalid_conversation"))).otherwise(out)
+
+
+def _share(c: Column) -> Column:
+    return F.format_string("%.3f", F.bround(c, 3))
+
+
+def issues(source: Column, candidate: Column) -> Column:
+    """array<struct<code, detail>>: each code once, in order, with all that speaks for it (fixed texts), joined by "; ".
+
+    A side without a valid form gives ``invalid_conversation`` alone.
+    """
+    letters, final = conv.role_letters(candidate), conv.last_assistant(candidate)
+    n, both, kept, executed = _words(source, candidate)
+    keys = F.transform(conv.contents(candidate), X.content_key)
+    size, distinct = F.size(keys), F.array_distinct(keys)
+    text = conv.joined(candidate, ("user", "assistant"))
+    seq = X.token_sequence(text)
+    index = F.filter(F.sequence(F.lit(0), F.length(letters) - 1), lambda i: F.substr(letters, i + 1, F.lit(1)) == "t")
+    before = lambda i: F.substr(letters, F.lit(1), i).rlike("at*$")
+    after = lambda i: F.substr(letters, i + 2).rlike("^t*a")
+    orphans = F.flatten(F.transform(index, lambda i: F.array_compact(F.array(
+        F.when(~before(i), F.concat(F.lit("tool block beginning near turn "), i.cast("string"), F.lit(" has no assistant invocation"))),
+        F.when(~after(i), F.concat(F.lit("tool block ending near turn "), i.cast("string"), F.lit(" has no assistant interpretation"))),
+    ))))
+    adjacent = F.exists(F.zip_with(keys, F.slice(keys, F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+    when = lambda cond, what: F.when(F.coalesce(cond, F.lit(False)), what if isinstance(what, Column) else F.lit(what))
+    found = [
+        ("missing_participant", [when(~letters.contains("u") | ~letters.contains("a"), "candidate must contain at least one user and one assistant turn")]),
+        ("invalid_turn_order", [when(~letters.endswith("a"), "candidate must end with an assistant interpretation or summary")]),
+        ("orphan_tool", orphans),
+        ("refusal_only", [when((F.size(X.token_sequence(final)) <= 80) & final.rlike(X.REFUSAL), "candidate ends in a refusal or generic failure")]),
+        ("degenerate_content", [
+            when(adjacent, "candidate repeats adjacent turn content"),
+            when(F.exists(distinct, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= 3), "candidate repeats the same content three times"),
+            when((size >= 6) & (F.size(distinct) / size < 0.5), "candidate has insufficient turn diversity"),
+            when((F.size(seq) < 4) | (F.length(X.strip(text)) < 24), "candidate contains too little task information"),
+            when((F.size(seq) >= 8) & (F.size(F.array_distinct(seq)) / F.size(seq) < 0.25), "candidate content is excessively repetitive"),
+        ]),
+        ("task_drift", [
+            when((n > 0) & ((both == 0) | ((n >= 20) & (kept < LEAST_LONG))), F.concat(F.lit("source-task token retention "), _share(kept), F.lit(" is below policy"))),
+            when((n >= 5) & (executed < LEAST_EXECUTION), F.concat(F.lit("assistant/tool task-token retention "), _share(executed), F.lit(" is below policy"))),
+            when(_lost_anchors(source, candidate, kept), "candidate loses every required high-signal task anchor"),
+        ]),
+        ("unchanged_conversation", [when(conv.canonical_json(source) == conv.canonical_json(candidate), "refined conversation is identical to the source conversation")]),
+    ]
+    each = []
+    for code, details in found:
+        detail = F.array_join(F.array_distinct(F.array_compact(F.array(*details)) if isinstance(details, list) else details), "; ")
+        each.append(F.when(detail != "", F.struct(F.lit(code).alias("code"), detail.alias("detail"))))
+    bad = F.array(F.struct(F.lit("invalid_conversation").alias("code"), F.lit("").alias("detail")))
+    return F.when(_invalid(source, candidate), bad).otherwise(F.array_compact(F.array(*each)))
+
+
+def error_text(found: Column) -> Column:
+    """Issues as the text of an attempt's error."""
+    return F.array_join(F.transform(found, lambda x: F.concat(x["code"], F.lit(": "), x["detail"])), "; ")
 
 
 def secondary_codes(source: Column, candidate: Column) -> Column:

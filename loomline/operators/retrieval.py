@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,9 @@ def top_k(corpus: DataFrame, queries: DataFrame, doc: str, query: str, vector: s
     blocks = max(1, -(-n * dim * 8 // most_bytes))
     found = None
     for b in range(blocks):
-        rows = qs.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        ids = np.array([r.q for r in rows], np.int64)
-        m = np.array([r.v for r in rows], np.float64)
+        rows = qs.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()  # no Python floats on the way
+        ids = rows.column("q").to_numpy()
+        m = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         share = spark.sparkContext.broadcast((ids, m))
 
@@ -55,6 +57,11 @@ def top_k(corpus: DataFrame, queries: DataFrame, doc: str, query: str, vector: s
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_distractors(corpus: DataFrame, others: DataFrame, order: list[str], most: int = 2000) -> DataFrame:
+    """The corpus and, behind it, the first ``most`` of the other rows as distractors (``is_distractor``)."""
+    return corpus.withColumn("is_distractor", F.lit(False)).unionByName(others.orderBy(*order).limit(most).withColumn("is_distractor", F.lit(True)))
+
+
 def metrics(ranks: DataFrame, rank: str, at: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Means over queries with one relevant document each, from its rank (null: not retrieved)."""
     r = F.col(rank)
@@ -73,7 +80,8 @@ def batches_without_repeats(df: DataFrame, anchor: str, order: str, size: int) -
 
     Rows with the k-th occurrence of their anchor form layer k; each layer is cut into batches.
     """
+    salts = max(1, math.ceil(df.count() / 100_000))
     layer = df.withColumn("layer", F.row_number().over(W.partitionBy(anchor).orderBy(order)))
     at = F.row_number().over(W.partitionBy("layer", "_salt").orderBy(anchor)) - 1
-    salted = layer.withColumn("_salt", F.pmod(F.xxhash64(anchor), F.lit(64)))
+    salted = layer.withColumn("_salt", F.pmod(F.xxhash64(anchor), F.lit(salts)))
     return salted.withColumn("batch", F.concat_ws("-", "layer", "_salt", F.floor(at / size))).drop("_salt")

@@ -45,13 +45,15 @@ def attempts_totals_by_task(spark, d):
 
 
 def attempts_stop_rule(spark, d):
+    """Batches of 16 requests, from the first to the last, empty ones too."""
     rows = _attempts(spark, d).where("provider_request_number IS NOT NULL").withColumn("batch", F.floor(F.col("provider_request_number") / 16).cast("bigint"))
-    return A.stops(rows, "batch")
+    ends = rows.agg(F.min("batch").alias("a"), F.max("batch").alias("b")).where("a IS NOT NULL")
+    return A.stops(rows, "batch", ends.select(F.explode(F.sequence("a", "b")).alias("batch")))
 
 
 def attempts_safe_errors(spark, d):
     rows = _attempts(spark, d).where("error IS NOT NULL")
-    return rows.groupBy(A.safe_error(F.col("error"), most=60).alias("message")).agg(F.count("*").alias("n"))
+    return rows.groupBy(A.safe_error(F.col("error"), secret="upstream").alias("message")).agg(F.count("*").alias("n"))
 
 
 def attempts_hourly(spark, d):
@@ -64,22 +66,13 @@ def dedup_keep_first_documents(spark, d):
     return dedup.keep_first(rows, ["text_hash"], ["doc_id"])
 
 
-def _collision_winner(spark, d, published):
+def dedup_collision_winner(spark, d):
+    """Accepted attempts, resolved against the fingerprints of all published rows of other slots."""
     rows = _attempts(spark, d).where("status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL").select("synthetic_id", F.lower("conversation_fingerprint").alias("fingerprint")).distinct()
-    have = published.select(F.lower("refined_conversation_fingerprint").alias("fingerprint"))
+    have = table(spark, d, "refined_rows").select(F.col("run_id").alias("synthetic_id"), F.lower("refined_conversation_fingerprint").alias("fingerprint"))
     return dedup.collision_winners(rows, have, "fingerprint", "synthetic_id")
 
 
-def dedup_collision_winner(spark, d):
-    """Accepted attempts, resolved against the fingerprints of published first slots, as in its SQL."""
-    return _collision_winner(spark, d, table(spark, d, "refined_rows").where("refinement_index = 0"))
-
-
-def dedup_collision_winner_full(spark, d):
-    """Accepted attempts, resolved against all published fingerprints."""
-    return _collision_winner(spark, d, table(spark, d, "refined_rows"))
-
-
 def uniqueness_violations(spark, d):
     ref = table(spark, d, "refined_rows").select("run_id", F.lower("refined_conversation_fingerprint").alias("fingerprint")).distinct()
     src = table(spark, d, "source_trajectories").select("run_id", "source_file", "source_row_index").distinct()
@@ -107,8 +100,10 @@ def publish_union_counts(spark, d):
 
 
 def publish_exact_shards(spark, d):
-    ids = table(spark, d, "refined_rows").select("run_id").distinct()
-    return publish.with_shards(ids, ["run_id"], 100).select("run_id", F.col("shard").cast("bigint").alias("shard"))
+    """All rows of the union, originals by their place and refined ones by their id, in shards of 100."""
+    src = table(spark, d, "source_trajectories").select(F.concat_ws("#", "source_file", F.lpad(F.col("source_row_index").cast("string"), 12, "0")).alias("row_key"))
+    ids = src.union(table(spark, d, "refined_rows").select("run_id")).distinct()
+    return publish.with_shards(ids, ["row_key"], 100).select("row_key", F.col("shard").cast("bigint").alias("shard"))
 
 
 def publish_shard_sizes(spark, d):
@@ -154,7 +149,7 @@ _CHECKS = {
     "flag": "NOT coalesce(r.is_synthetic_augmentation, false)",
     "fingerprint": "lower(r.refined_conversation_fingerprint) IS DISTINCT FROM " + Q.FP.replace("conversations", "r.conversations"),
 }
-QUERIES = {f.__name__: f for f in (attempts_per_slot, attempts_error_histogram, attempts_rejection_histogram, attempts_first_success, attempts_report, attempts_totals_by_task, attempts_stop_rule, attempts_safe_errors, attempts_hourly, dedup_keep_first_documents, dedup_collision_winner, dedup_collision_winner_full, uniqueness_violations, expected_versus_accepted, publish_union_counts, publish_exact_shards, publish_shard_sizes, publish_lineage_violations, publish_identity_drift, checkpoint_thresholds, run_progress)}
+QUERIES = {f.__name__: f for f in (attempts_per_slot, attempts_error_histogram, attempts_rejection_histogram, attempts_first_success, attempts_report, attempts_totals_by_task, attempts_stop_rule, attempts_safe_errors, attempts_hourly, dedup_keep_first_documents, dedup_collision_winner, uniqueness_violations, expected_versus_accepted, publish_union_counts, publish_exact_shards, publish_shard_sizes, publish_lineage_violations, publish_identity_drift, checkpoint_thresholds, run_progress)}
 _FATAL = "error_code IN (400, 401, 403, 404)"
 SQL = {
     "attempts_per_slot": f"WITH {_ATT} SELECT synthetic_id, count(*) AS n_attempts, max(attempt_number)::BIGINT AS last_attempt FROM a WHERE synthetic_id IS NOT NULL GROUP BY synthetic_id",
@@ -163,16 +158,16 @@ SQL = {
     "attempts_first_success": f"WITH {_ATT} SELECT synthetic_id, min(attempt_number) FILTER (status = 'accepted')::BIGINT AS accepted_attempt, count(*) FILTER (status IS DISTINCT FROM 'accepted') AS n_failed FROM a WHERE synthetic_id IS NOT NULL GROUP BY synthetic_id",
     "attempts_report": f"WITH {_ATT} SELECT count(DISTINCT synthetic_id) FILTER (status = 'accepted') AS accepted_slots, round(count(DISTINCT synthetic_id) FILTER (status = 'accepted') / (SELECT count(DISTINCT synthetic_id) FROM refinement_slots), 6) AS acceptance_rate, count(*) AS n_attempts, count(*) FILTER (list_contains(rejection_codes, 'duplicate_conversation')) AS n_collisions, count(*) FILTER ({_FATAL}) AS n_fatal, count(*) FILTER (regexp_matches(coalesce(error, ''), '(?i)429|500|503|rate_limit|too many|throttling')) AS n_transient FROM a",
     "attempts_totals_by_task": f"WITH {_ATT} SELECT source_task_id, count(*) FILTER (status = 'accepted') AS n_ok, count(*) FILTER (status IN ('provider_error', 'agent_error')) AS n_err, count(*) AS n, round(count(*) FILTER (status IN ('provider_error', 'agent_error')) / count(*), 6) AS error_rate FROM a GROUP BY source_task_id",
-    "attempts_stop_rule": f"WITH {_ATT} SELECT provider_request_number // 16 AS batch, count(*) FILTER (status = 'accepted') AS n_ok, count(*) FILTER ({_FATAL}) AS n_fatal, CASE WHEN count(*) FILTER ({_FATAL}) > 0 THEN 'fatal' WHEN count(*) FILTER (status = 'accepted') = 0 THEN 'none_accepted' END AS reason FROM a WHERE provider_request_number IS NOT NULL GROUP BY 1",
-    "attempts_safe_errors": f"WITH {_ATT} SELECT left(trim(regexp_replace(error, '{Q._WS}+', ' ', 'g')), 60) AS message, count(*) AS n FROM a WHERE error IS NOT NULL GROUP BY 1",
+    "attempts_stop_rule": f"WITH {_ATT}, b AS (SELECT provider_request_number // 16 AS batch, status, error_code FROM a WHERE provider_request_number IS NOT NULL), k AS (SELECT unnest(range((SELECT min(batch) FROM b), (SELECT max(batch) + 1 FROM b))) AS batch) SELECT k.batch, count(*) FILTER (status = 'accepted') AS n_ok, count(*) FILTER ({_FATAL}) AS n_fatal, CASE WHEN count(b.batch) = 0 THEN 'empty' WHEN count(*) FILTER ({_FATAL}) > 0 THEN 'fatal' WHEN count(*) FILTER (status = 'accepted') = 0 THEN 'none_accepted' END AS reason FROM k LEFT JOIN b ON b.batch = k.batch GROUP BY k.batch",
+    "attempts_safe_errors": f"WITH {_ATT} SELECT replace(left(trim(regexp_replace(error, '{Q._WS}+', ' ', 'g')), 500), 'upstream', '[REDACTED]') AS message, count(*) AS n FROM a WHERE error IS NOT NULL GROUP BY 1",
     "attempts_hourly": f"WITH {_ATT} SELECT strftime(date_trunc('hour', logged_at), '%Y-%m-%d %H:%M:%S') AS hour, status, count(*) AS n FROM a WHERE logged_at IS NOT NULL GROUP BY 1, 2",
     "dedup_keep_first_documents": "SELECT doc_id, source, sha256(coalesce(text, '')) AS text_hash FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1",
-    "dedup_collision_winner": f"WITH {_ATT}, c AS (SELECT DISTINCT synthetic_id, lower(conversation_fingerprint) AS fingerprint FROM a WHERE status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL), h AS (SELECT DISTINCT lower(refined_conversation_fingerprint) AS f FROM refined_rows WHERE refinement_index = 0) SELECT synthetic_id, fingerprint, (h.f IS NULL AND synthetic_id = min(synthetic_id) OVER (PARTITION BY fingerprint)) AS won FROM c LEFT JOIN h ON h.f = c.fingerprint",
+    "dedup_collision_winner": f"WITH {_ATT}, c AS (SELECT DISTINCT synthetic_id, lower(conversation_fingerprint) AS fingerprint FROM a WHERE status = 'accepted' AND conversation_fingerprint IS NOT NULL AND synthetic_id IS NOT NULL), h AS (SELECT lower(refined_conversation_fingerprint) AS f, min(run_id) AS low, max(run_id) AS high FROM refined_rows WHERE refined_conversation_fingerprint IS NOT NULL GROUP BY 1) SELECT synthetic_id, fingerprint, ((h.f IS NULL OR (low = synthetic_id AND high = synthetic_id)) AND synthetic_id = min(synthetic_id) OVER (PARTITION BY fingerprint)) AS won FROM c LEFT JOIN h ON h.f = c.fingerprint",
     "uniqueness_violations": f"SELECT 'run_id' AS reason, run_id AS value, count(*) AS n FROM {_REF} WHERE run_id IS NOT NULL GROUP BY run_id HAVING count(*) > 1 UNION ALL SELECT 'fingerprint', fingerprint, count(*) FROM {_REF} WHERE fingerprint IS NOT NULL GROUP BY fingerprint HAVING count(*) > 1 UNION ALL SELECT 'source_run_id', run_id, count(*) FROM (SELECT DISTINCT run_id, source_file, source_row_index FROM source_trajectories) WHERE run_id IS NOT NULL GROUP BY run_id HAVING count(*) > 1",
     "expected_versus_accepted": "SELECT DISTINCT synthetic_id, 'missing' AS side FROM refinement_slots WHERE synthetic_id NOT IN (SELECT run_id FROM refined_rows) UNION ALL SELECT DISTINCT run_id, 'unknown' FROM refined_rows WHERE run_id NOT IN (SELECT synthetic_id FROM refinement_slots)",
     "publish_union_counts": "SELECT false AS is_synthetic_augmentation, count(*) AS n, 0::BIGINT AS n_lineage, sum(len(conversations))::BIGINT AS n_turns FROM (SELECT DISTINCT source_file, source_row_index, conversations FROM source_trajectories) UNION ALL SELECT is_synthetic_augmentation, count(*), count(source_record_id), sum(len(conversations))::BIGINT FROM (SELECT DISTINCT run_id, is_synthetic_augmentation, source_record_id, conversations FROM refined_rows) GROUP BY is_synthetic_augmentation",
-    "publish_exact_shards": "SELECT run_id, (row_number() OVER (ORDER BY run_id) - 1) // 100 AS shard FROM (SELECT DISTINCT run_id FROM refined_rows)",
-    "publish_shard_sizes": "SELECT (k - 1) // 100 AS shard, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY run_id) AS k FROM (SELECT DISTINCT run_id FROM refined_rows)) GROUP BY 1",
+    "publish_exact_shards": "SELECT row_key, (row_number() OVER (ORDER BY row_key) - 1) // 100 AS shard FROM (SELECT source_file || '#' || lpad(source_row_index::VARCHAR, 12, '0') AS row_key FROM source_trajectories UNION SELECT run_id FROM refined_rows)",
+    "publish_shard_sizes": "SELECT (k - 1) // 100 AS shard, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY row_key) AS k FROM (SELECT source_file || '#' || lpad(source_row_index::VARCHAR, 12, '0') AS row_key FROM source_trajectories UNION SELECT run_id FROM refined_rows)) GROUP BY 1",
     "publish_lineage_violations": "WITH s AS (SELECT DISTINCT source_record_id, source_file, source_row_index, source_trial_name, source_conversation_fingerprint, source_run_id, source_task_id FROM refinement_slots QUALIFY row_number() OVER (PARTITION BY source_record_id ORDER BY source_conversation_fingerprint NULLS FIRST, source_file) = 1), r AS (SELECT DISTINCT * FROM refined_rows) "
     + " UNION ALL ".join(f"SELECT DISTINCT r.run_id, '{n}' AS reason FROM r LEFT JOIN s ON s.source_record_id = r.source_record_id WHERE {c}" for n, c in _CHECKS.items()),
     "publish_identity_drift": f"WITH n AS ({Q.SQL['source_identity']}), t AS (SELECT DISTINCT source_file, source_row_index, source_record_id FROM refinement_slots) SELECT *, 'only_source' AS side FROM (SELECT source_file, source_row_index, source_record_id FROM n EXCEPT SELECT * FROM t) UNION ALL SELECT *, 'only_slots' FROM (SELECT * FROM t EXCEPT SELECT source_file, source_row_index, source_record_id FROM n)",

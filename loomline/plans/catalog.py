@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import attempt_queries, conv_queries, incremental_queries, retrieval_queries, slot_queries, stream_queries
+from loomline.plans import attempt_queries, conv_queries, incremental_queries, release_queries, retrieval_queries, slot_queries, stream_queries
 
-MODULES = (incremental_queries, conv_queries, slot_queries, attempt_queries, retrieval_queries, stream_queries)
+MODULES = (incremental_queries, conv_queries, slot_queries, attempt_queries, retrieval_queries, stream_queries, release_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,9 +93,10 @@ def prompt_refinement(spark, d):
 
 
 def prompt_synthesis(spark, d):
-    tasks = task_table(spark, d).select("task", "instruction")
+    tasks = task_table(spark, d).select("task", "instruction", "model_provider", "agent")
     framing = F.when(F.length("task") % 2 == 0, "Solve this task step by step.")
-    text = prompts.synthesis(F.col("instruction"), F.lit(None).cast("string"), framing)
+    place = F.when(F.length("task") % 3 == 0, prompts.first_text(F.lit(" "), F.col("model_provider"), F.col("agent")))
+    text = prompts.synthesis(F.col("instruction"), place, framing)
     return tasks.select("task", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("prompt_hash"))
 
 
@@ -154,6 +155,6 @@ SQL = {
     "doc_degenerate_filter": "SELECT doc_id, " + ", ".join(f"regexp_matches(coalesce(text, ''), '{_RE(p)}') AS {n}" for n, p in (("degenerate", X.DEGENERATE), ("refusal", X.REFUSAL), ("vague", X.VAGUE), ("transient", X.TRANSIENT))) + " FROM documents",
     "doc_tokens": f"SELECT doc_id, len({_TOKENS('text')}) AS n_tokens, len({_SEQ('text')}) AS n_sequence, sha256(array_to_string(list_sort({_TOKENS('text')}), ' ')) AS token_hash FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
     "prompt_refinement": f"SELECT synthetic_id, length(p) AS n_chars, sha256(p) AS prompt_hash FROM (SELECT synthetic_id, 'Task identifier: ' || source_task_id || chr(10) || 'Refinement index: ' || refinement_index || chr(10) || chr(10) || 'Original conversation JSON:' || chr(10) || ('[' || array_to_string(list_transform(conversations, lambda t: {_TURN}), ',') || ']') || chr(10) || chr(10) || 'Return a refined conversation for the same task.' AS p FROM (SELECT DISTINCT synthetic_id, source_file, source_row_index, source_task_id, refinement_index FROM refinement_slots) JOIN (SELECT DISTINCT source_file, source_row_index, conversations FROM source_trajectories) USING (source_file, source_row_index))",
-    "prompt_synthesis": f"SELECT task, length(p) AS n_chars, sha256(p) AS prompt_hash FROM (SELECT task, '## Task' || chr(10) || CASE WHEN length(task) % 2 = 0 THEN 'Solve this task step by step.' || chr(10) || chr(10) ELSE '' END || {_INSTR} || chr(10) || chr(10) || '## Environment' || chr(10) || 'Generic Ubuntu 22.04 container.' || chr(10) || chr(10) || 'Synthesize a complete, realistic agent trajectory that solves this task.' AS p FROM source_trajectories QUALIFY row_number() OVER (PARTITION BY task ORDER BY source_file, source_row_index) = 1)",
+    "prompt_synthesis": f"SELECT task, length(p) AS n_chars, sha256(p) AS prompt_hash FROM (SELECT task, '## Task' || chr(10) || CASE WHEN length(task) % 2 = 0 THEN 'Solve this task step by step.' || chr(10) || chr(10) ELSE '' END || {_INSTR} || chr(10) || chr(10) || '## Environment' || chr(10) || coalesce(CASE WHEN length(task) % 3 = 0 THEN coalesce(nullif(" + _STRIP("model_provider") + ", ''), nullif(" + _STRIP("agent") + f", '')) END, 'Generic Ubuntu 22.04 container.') || chr(10) || chr(10) || 'Synthesize a complete, realistic agent trajectory that solves this task.' AS p FROM source_trajectories QUALIFY row_number() OVER (PARTITION BY task ORDER BY source_file, source_row_index) = 1)",
     "chat_samples": "SELECT DISTINCT sample_id, length(p) AS n_chars, sha256(p) AS text_hash FROM (SELECT sample_id, array_to_string(list_transform(messages, lambda m: '<|' || coalesce(m.role, '') || '|>' || chr(10) || coalesce(m.content, '')), chr(10)) AS p FROM mitre_sft)",
 }

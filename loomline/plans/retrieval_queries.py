@@ -114,7 +114,48 @@ s AS (SELECT o_orderkey, prompt, replace(regexp_extract(completion, 'Answer:\\s*
   CASE WHEN len(list_filter(regexp_split_to_array(string_split(completion, 'Answer:')[1], '\\s+'), lambda w: w != '')) >= 50 THEN 0.1 ELSE 0.0 END::DOUBLE AS reasoning FROM t),
 z AS (SELECT *, CASE WHEN answer = expected THEN 1.0 ELSE 0.0 END::DOUBLE AS correct FROM s)"""
 
-QUERIES = {f.__name__: f for f in (ir_topk_ranking, ir_pairwise_cosine, ir_rank_metrics, retrieval_pairs, pair_batches, reward_scores, reward_group_advantage, graph_supplier_bullets, graph_two_hop_relations, title_names, events_hourly_types)}
+def _bundle(spark, d):
+    """A relationship bundle made from the warehouse tables: parts as techniques, suppliers as groups and software, orders' lines as uses, customers as mitigations."""
+    lit = F.lit
+    objs = lambda df, **cols: df.select(*[(cols[n] if n in cols else lit(None)).cast(t.dataType).alias(n) for n, t in ((f.name, f) for f in graph.OBJECT.fields)], cols["pos"].cast("bigint").alias("pos"))
+    part, supp, cust, line = (table(spark, d, n) for n in ("part", "supplier", "customer", "lineitem"))
+    k = F.col("p_partkey")
+    refs = F.array(F.struct(lit("other").alias("source_name"), lit("x").alias("external_id")), F.struct(lit("mitre-attack").alias("source_name"), F.when(k % 17 != 0, F.concat(lit("T"), k)).alias("external_id")))
+    phase = F.array(F.struct(lit("mitre-attack").alias("kill_chain_name"), F.lower(F.replace("p_brand", lit("#"), lit("-"))).alias("phase_name")), F.struct(lit("none").alias("kill_chain_name"), lit("x").alias("phase_name")))
+    tech = objs(part, pos=k, id=F.concat(lit("attack-pattern--"), k), type=lit("attack-pattern"), name=F.col("p_name"), description=F.concat(lit(" Uses "), F.col("p_type"), lit(' "x".\n')), revoked=k % 11 == 0, external_references=refs, kill_chain_phases=phase, x_mitre_platforms=F.when(k % 3 != 0, F.array(F.col("p_brand"), F.concat(lit("Size "), F.col("p_size")))), x_mitre_data_sources=F.when(k % 4 == 0, F.array(F.concat(lit("Size "), F.col("p_size")))), x_mitre_detection=F.when(k % 5 != 0, F.concat(lit("Watch "), F.col("p_brand"))), x_mitre_is_subtechnique=k % 2 == 0)
+    s_ = F.col("s_suppkey")
+    grp = objs(supp, pos=s_ + 10_000_000, id=F.concat(F.when(s_ % 4 == 0, "malware--").otherwise("intrusion-set--"), s_), type=F.when(s_ % 4 == 0, "malware").otherwise("intrusion-set"), name=F.col("s_name"), description=F.concat(lit("Nation "), F.col("s_nationkey")), x_mitre_deprecated=s_ % 9 == 0, aliases=F.when(s_ % 2 == 0, F.array("s_name", lit("also"))), x_mitre_platforms=F.array(lit("Any")))
+    c_ = F.col("c_custkey")
+    mit = objs(cust, pos=c_ + 20_000_000, id=F.concat(lit("course-of-action--"), c_), type=lit("course-of-action"), name=F.col("c_name"))
+    uses = line.select("l_suppkey", "l_partkey").distinct()
+    rel = objs(uses, pos=F.col("l_suppkey") * 10_000_000 + F.col("l_partkey") + 100_000_000, id=F.concat_ws("--", lit("relationship"), "l_suppkey", "l_partkey"), type=lit("relationship"), relationship_type=lit("uses"), source_ref=F.concat(lit("intrusion-set--"), F.col("l_suppkey")), target_ref=F.concat(lit("attack-pattern--"), F.col("l_partkey")))
+    stop = objs(cust, pos=c_ + 30_000_000, id=F.concat(lit("relationship--m"), c_), type=lit("relationship"), relationship_type=lit("mitigates"), source_ref=F.concat(lit("course-of-action--"), c_), target_ref=F.concat(lit("attack-pattern--"), c_))
+    tac = objs(table(spark, d, "region"), pos=F.col("r_regionkey") + 40_000_000, id=F.concat(lit("x-mitre-tactic--"), F.col("r_regionkey")), type=lit("x-mitre-tactic"), name=F.col("r_name"), description=F.when(F.col("r_regionkey") != 2, F.concat(lit("Of "), F.col("r_name"))))
+    return tech.union(grp).union(mit).union(rel).union(stop).union(tac)
+
+
+def graph_examples(spark, d):
+    """Instruction examples from the bundle: question and answer of each."""
+    rows = graph.examples(_bundle(spark, d), "You know the matrix.")
+    return rows.select("id", "kind", F.get("messages", F.lit(0))["content"].alias("system"), F.get("messages", F.lit(1))["content"].alias("question"), F.get("messages", F.lit(2))["content"].alias("answer"))
+
+
+def graph_subtechniques(spark, d):
+    return graph.subtechniques(_bundle(spark, d))
+
+
+def graph_shuffled_examples(spark, d):
+    """All examples in an order drawn by hash: position, id and kind."""
+    return graph.shuffled(graph.examples(_bundle(spark, d), "x").select("id", "kind"), ["id", "kind"]).select("id", "kind", F.col("position").cast("bigint").alias("position"))
+
+
+def ir_distractors(spark, d):
+    """The corpus of an evaluation: the held-out vectors and, as distractors, the first 2,000 of the others, each once."""
+    vec = _vectors(spark, d)
+    return retrieval.with_distractors(vec.where("vec_id % 20 = 0"), vec.where("vec_id % 20 != 0"), ["vec_id"], 2000).select("vec_id", "is_distractor")
+
+
+QUERIES = {f.__name__: f for f in (graph_examples, graph_subtechniques, graph_shuffled_examples, ir_distractors, ir_topk_ranking, ir_pairwise_cosine, ir_rank_metrics, retrieval_pairs, pair_batches, reward_scores, reward_group_advantage, graph_supplier_bullets, graph_two_hop_relations, title_names, events_hourly_types)}
 SQL = {
     "ir_topk_ranking": f"WITH {_V}, {_NEAR} SELECT query, doc, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
     "ir_pairwise_cosine": f"WITH {_V} SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 5) AS cosine, round(list_dot_product(a.v, b.v), 4) AS dot FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
@@ -130,3 +171,26 @@ SQL = {
     "title_names": "SELECT task, array_to_string(list_transform(string_split(replace(task, '-', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS title FROM (SELECT DISTINCT task FROM source_trajectories WHERE task IS NOT NULL)",
     "events_hourly_types": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+_TECH = """tech AS (SELECT p_partkey AS k, 'attack-pattern--' || p_partkey AS id, p_name AS name, 'T' || p_partkey AS tid, 'Uses ' || p_type || ' "x".' AS descr, p_partkey % 11 = 0 AS gone, p_partkey % 17 != 0 AS known,
+  array_to_string(list_transform(string_split(replace(lower(replace(p_brand, '#', '-')), '-', ' '), ' '), lambda x: upper(x[1]) || substr(x, 2)), ' ') AS tactic, CASE WHEN p_partkey % 3 != 0 THEN p_brand || ', Size ' || p_size ELSE 'various platforms' END AS plats,
+  CASE WHEN p_partkey % 3 != 0 THEN [p_brand, 'Size ' || p_size] ELSE [] END AS plat_list, CASE WHEN p_partkey % 4 = 0 THEN ['Size ' || p_size] ELSE [] END AS data, CASE WHEN p_partkey % 5 != 0 THEN 'Watch ' || p_brand ELSE '' END AS detect, p_partkey % 2 = 0 AS sub FROM part),
+mit AS (SELECT c_custkey AS k, c_name AS mit FROM customer), t AS (SELECT tech.*, mit FROM tech LEFT JOIN mit USING (k) WHERE NOT gone AND known),
+grp AS (SELECT *, s_suppkey % 4 = 0 AS soft FROM supplier WHERE s_suppkey % 9 != 0),
+uses AS (SELECT l_suppkey AS s, list(p_name ORDER BY l_partkey)[:30] AS names FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey),
+ex AS (SELECT id, 'explain' AS kind, 'Explain the ATT&CK technique ' || name || ' (' || tid || ').' AS question, descr || chr(10) || chr(10) || '**Tactic(s):** ' || tactic || chr(10) || '**Platforms:** ' || plats AS answer FROM t
+UNION ALL SELECT id, 'detect', 'How can defenders detect ' || name || ' (' || tid || ')?', detect || CASE WHEN len(data) > 0 THEN chr(10) || '**Data sources:** ' || array_to_string(data, ', ') ELSE '' END FROM t WHERE detect != ''
+UNION ALL SELECT id, 'json', 'Return a structured JSON summary for ATT&CK technique ' || name || ' (' || tid || ').', '{' || chr(10) || '  "tactic": "' || tactic || '",' || chr(10) || '  "technique_id": "' || tid || '",' || chr(10) || '  "technique_name": "' || name || '",' || chr(10) || '  "is_subtechnique": ' || sub || ',' || chr(10) || '  "platforms": ' || JLIST(plat_list) || ',' || chr(10) || '  "summary": "' || replace(descr, '"', chr(92) || '"') || '",' || chr(10) || '  "recommended_detection": "' || detect || '",' || chr(10) || '  "data_sources": ' || JLIST(data) || ',' || chr(10) || '  "recommended_mitigation": ' || JLIST(CASE WHEN mit IS NULL THEN [] ELSE [mit] END) || chr(10) || '}' FROM t
+UNION ALL SELECT id, 'mitigate', 'What mitigations apply to ' || name || ' (' || tid || ')?', '- ' || mit FROM t WHERE mit IS NOT NULL
+UNION ALL SELECT 'intrusion-set--' || s_suppkey, 'group', 'Who is the threat group ' || s_name || '?', 'Nation ' || s_nationkey || chr(10) || chr(10) || '**Also known as:** ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name || ', also' ELSE 'none known' END FROM grp WHERE NOT soft
+UNION ALL SELECT 'intrusion-set--' || s_suppkey, 'uses', 'What ATT&CK techniques does ' || s_name || ' use?', '- ' || array_to_string(names, chr(10) || '- ') FROM grp JOIN uses ON uses.s = s_suppkey WHERE NOT soft
+UNION ALL SELECT 'malware--' || s_suppkey, 'software', 'What is the malware known as ' || s_name || '?', 'Nation ' || s_nationkey || chr(10) || chr(10) || '**Platforms:** Any' FROM grp WHERE soft
+UNION ALL SELECT 'x-mitre-tactic--' || r_regionkey, 'tactic', 'Describe the ATT&CK tactic: ' || r_name || '.', 'Of ' || r_name FROM region WHERE r_regionkey != 2)"""
+for _list in ("plat_list", "data", "CASE WHEN mit IS NULL THEN [] ELSE [mit] END"):
+    _TECH = _TECH.replace(f"JLIST({_list})", f"CASE WHEN len({_list}) = 0 THEN '[]' ELSE '[' || array_to_string(list_transform({_list}, lambda x: chr(10) || '    \"' || x || '\"'), ',') || chr(10) || '  ]' END")
+SQL |= {
+    "graph_examples": f"WITH {_TECH} SELECT id, kind, 'You know the matrix.' AS system, question, answer FROM ex",
+    "graph_subtechniques": f"WITH {_TECH} SELECT count(*) AS n_techniques, count(*) FILTER (sub) AS n_subtechniques FROM tech WHERE NOT gone",
+    "graph_shuffled_examples": f"WITH {_TECH} SELECT id, kind, row_number() OVER (ORDER BY sha256('shuffle42' || chr(0) || id || chr(0) || kind), id, kind) - 1 AS position FROM ex",
+    "ir_distractors": "SELECT vec_id, false AS is_distractor FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT * FROM (SELECT vec_id, true FROM embeddings WHERE vec_id % 20 != 0 ORDER BY vec_id LIMIT 2000)",
+}

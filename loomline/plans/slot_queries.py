@@ -55,9 +55,9 @@ def slot_attempt_seed(spark, d):
 def batch_prompt_sources(spark, d):
     from loomline.operators.prompts import batch_sources
 
-    rows = table(spark, d, "refinement_slots").select("synthetic_id", "source_record_id", "refinement_index", F.lower(F.coalesce("source_conversation_fingerprint", F.lit(""))).alias("fingerprint")).distinct()
-    batches = slots.micro_batches(rows.withColumn("fingerprint", F.lit("same")), ["source_record_id", "synthetic_id"], 4)
-    return batch_sources(batches).select(F.col("batch_id").cast("bigint").alias("batch_id"), "source_record_id", "n_requests")
+    rows = table(spark, d, "refinement_slots").select("synthetic_id", "source_record_id", "refinement_index", F.lower("source_conversation_fingerprint").alias("fingerprint")).distinct()
+    batches = slots.micro_batches(rows, ["source_record_id", "synthetic_id"], 4)
+    return batch_sources(batches).select(F.col("batch_id").cast("bigint").alias("batch_id"), "source_record_id", "fingerprint", "n_requests")
 
 
 def _tasks(spark, d):
@@ -191,7 +191,7 @@ SQL = {
     "slot_microbatches": f"SELECT synthetic_id, (row_number() OVER (ORDER BY synthetic_id) - 1) // 4 AS batch_id FROM ({_SL})",
     "slot_within_budget": _PENDING + " ORDER BY synthetic_id LIMIT 25",
     "slot_attempt_seed": f"SELECT DISTINCT synthetic_id, attempt_number, {_SEED('sha256(synthetic_id || chr(0) || ' + chr(39) + 'attempt' + chr(39) + ' || chr(0) || attempt_number)')} AS seed FROM attempts WHERE synthetic_id IS NOT NULL AND attempt_number IS NOT NULL",
-    "batch_prompt_sources": "SELECT batch_id, source_record_id, count(*) AS n_requests FROM (SELECT source_record_id, (row_number() OVER (ORDER BY source_record_id, synthetic_id) - 1) // 4 AS batch_id FROM (SELECT DISTINCT synthetic_id, source_record_id, refinement_index, lower(coalesce(source_conversation_fingerprint, '')) AS f FROM refinement_slots)) GROUP BY ALL",
+    "batch_prompt_sources": "SELECT batch_id, source_record_id, min(f) AS fingerprint, count(*) AS n_requests FROM (SELECT source_record_id, f, (row_number() OVER (ORDER BY source_record_id, synthetic_id) - 1) // 4 AS batch_id FROM (SELECT DISTINCT synthetic_id, source_record_id, refinement_index, lower(source_conversation_fingerprint) AS f FROM refinement_slots)) GROUP BY batch_id, source_record_id",
     "plan_variant_quota": f"WITH {_QUOTA} SELECT task, n_variants FROM q",
     "plan_variants": f"WITH {_QUOTA}, {_PLAN} SELECT variant_id, temperature, framing, {_SEED('sha256(variant_id)')} AS seed, regexp_extract(variant_id, '^(.*)-v[0-9]+-', 1) AS task FROM plan",
     "plan_temperatures": f"WITH {_QUOTA}, {_PLAN} SELECT temperature, count(*) AS n FROM plan GROUP BY temperature",

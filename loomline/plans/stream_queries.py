@@ -62,13 +62,13 @@ def stream_accept_first_wins(spark, d):
 
 
 def attempts_malformed_counts(spark, d):
-    """The attempts as a JSON log with two bad lines per source file added: lines, malformed lines, ids."""
+    """The attempts as a JSON log with two bad lines per source file added: lines, malformed lines, the largest call number, ids."""
     folder = _folder(spark, "log")
-    good = table(spark, d, "attempts").select(F.to_json(F.struct("synthetic_id", "status", "attempt_number")).alias("value"))
+    good = table(spark, d, "attempts").select(F.to_json(F.struct("synthetic_id", "status", "attempt_number", F.col("provider_request_number").alias("agent_call_number"))).alias("value"))
     bad = spark.createDataFrame([("[]",), ("not-json",)], "value string")
     good.union(bad).write.text(f"{folder}/lines")
     counts, totals = jsonl.id_counts(spark, f"{folder}/lines")
-    return totals.select("n_lines", "n_malformed").crossJoin(F.broadcast(counts.agg(F.count("*").alias("n_ids"))))  # one row each
+    return totals.select("n_lines", "n_malformed", "last_call").crossJoin(F.broadcast(counts.agg(F.count("*").alias("n_ids"))))  # one row each
 
 
 def incremental_target(spark, d):
@@ -86,13 +86,18 @@ def incremental_target(spark, d):
         pass
     target.run(slots.where("refinement_index = 0"), F.col("synthetic_id"), F.col("f"), lambda x: x)
     version = target.run(slots, F.col("synthetic_id"), F.col("f"), lambda x: x)
-    return target.read().agg(F.count("*").alias("n_rows"), F.countDistinct("_source_key").alias("n_keys")).withColumn("version", F.lit(version).cast("bigint"))
+    # new versions of the second slots, then a source that lost the first ones
+    due = target.due(slots.where("refinement_index = 1").withColumn("f", F.concat("f", F.lit("+"))), F.col("synthetic_id"), F.col("f")).count()
+    same = target.run(slots.where("refinement_index = 1"), F.col("synthetic_id"), F.col("f"), lambda x: x) == version
+    compacted = target.compact()
+    out = target.read().agg(F.count("*").alias("n_rows"), F.countDistinct("_source_key").alias("n_keys"))
+    return out.withColumns({"version": F.lit(version).cast("bigint"), "n_due": F.lit(due).cast("bigint"), "idle": F.lit(same), "compacted": F.lit(compacted).cast("bigint")})
 
 
 QUERIES = {f.__name__: f for f in (stream_attempt_counts, stream_first_success, stream_accept_first_wins, attempts_malformed_counts, incremental_target)}
 SQL = {
     "stream_attempt_counts": "SELECT synthetic_id, count(*) AS n_attempts, max(attempt_number)::BIGINT AS last_attempt FROM attempts WHERE synthetic_id IS NOT NULL GROUP BY synthetic_id",
     "stream_first_success": "SELECT DISTINCT synthetic_id FROM attempts WHERE status = 'accepted' AND synthetic_id IS NOT NULL",
-    "attempts_malformed_counts": "SELECT count(*) + 2 AS n_lines, count(*) FILTER (synthetic_id IS NULL OR synthetic_id = '') + 2 AS n_malformed, count(DISTINCT synthetic_id) AS n_ids FROM attempts",
-    "incremental_target": "SELECT count(*) AS n_rows, count(DISTINCT synthetic_id) AS n_keys, 2::BIGINT AS version FROM (SELECT DISTINCT synthetic_id FROM refinement_slots)",
+    "attempts_malformed_counts": "SELECT count(*) + 2 AS n_lines, count(*) FILTER (synthetic_id IS NULL OR synthetic_id = '') + 2 AS n_malformed, max(provider_request_number) AS last_call, count(DISTINCT synthetic_id) AS n_ids FROM attempts",
+    "incremental_target": "SELECT count(*) AS n_rows, count(DISTINCT synthetic_id) AS n_keys, CASE WHEN count(*) FILTER (refinement_index = 1) > 0 THEN 2 ELSE 1 END::BIGINT AS version, count(*) FILTER (refinement_index = 1) AS n_due, true AS idle, CASE WHEN count(*) FILTER (refinement_index = 1) > 0 THEN 3 ELSE 1 END::BIGINT AS compacted FROM (SELECT DISTINCT synthetic_id, refinement_index FROM refinement_slots)",
 }

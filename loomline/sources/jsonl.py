@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,6 +14,20 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select("value", v.alias("v"), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (its number in the file, from 1, blank lines counted), value, v and is_object; blank lines are left out.
+
+    Numbers come from counts per block of a file and the order inside a block, so no task sees a whole file.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("file", "_block").orderBy("_i"))).join(blocks.withColumn("_from", offset).drop("_n"), ["file", "_block"])
+    v = F.try_parse_json("value")
+    out = rows.where(F.trim("value") != "").select("file", (F.col("_from") + F.col("_k")).alias("line"), "value", v.alias("v"))
+    return out.withColumn("is_object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+
+
 def text_field(name: str, kind: str = "string"):
     return F.try_variant_get(F.col("v"), f"$.{name}", kind)
 
@@ -37,11 +52,17 @@ def completed(spark: SparkSession, path: str, key: str = "variant_id") -> DataFr
     return lines(spark, path).where(F.col("is_object") & (text_field("status") == "ok")).select(text_field(key).alias(key)).where(f"{key} IS NOT NULL").distinct()
 
 
+def resume_counts(spark: SparkSession, path: str, key: str = "variant_id") -> DataFrame:
+    """One row: n_records (lines that are objects), n_malformed (others), n_completed (distinct ids of lines whose status is ok)."""
+    ok = F.col("is_object") & (text_field("status") == "ok")
+    return lines(spark, path).agg(F.count_if("is_object").alias("n_records"), F.count_if(~F.col("is_object")).alias("n_malformed"), F.countDistinct(F.when(ok, text_field(key))).alias("n_completed"))
+
+
 def strict(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed lines; a line that is no JSON object raises an error naming it when it is read."""
-    rows = lines(spark, path)
-    bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.left("value", F.lit(80))))
-    return rows.select(F.when(F.col("is_object"), F.col("value")).otherwise(bad.cast("string")).alias("value"), "v")
+    """Parsed lines; one that is no JSON object raises an error with its file and number when it is read."""
+    rows = numbered_lines(spark, path)
+    bad = F.raise_error(F.concat(F.lit("not a JSON object: line "), F.col("line").cast("string"), F.lit(" of "), F.col("file")))
+    return rows.select("line", F.when(F.col("is_object"), F.col("value")).otherwise(bad.cast("string")).alias("value"), "v")
 
 
 def fold_events(events: DataFrame, by: str, order: str) -> DataFrame:

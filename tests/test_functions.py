@@ -88,3 +88,15 @@ def test_assemble(spark):
     df = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 1, "user", "a"), (2, 1, "user", None)], "k int, t int, r string, c string")
     got = {r.k: [(t.content, t.role) for t in r.conversations] for r in conv.assemble(df, "k", "t", "r", "c").collect()}
     assert got == {1: [("a", "user"), ("b", "assistant")], 2: [(None, "user")]}
+
+
+def test_casefold_agrees_with_python(spark):
+    chars = [chr(k) for k in range(1, 0x2FFF) if chr(k).isalpha()]
+    rows = [(c, c.casefold()) for c in chars] + [("Straße ΟΔΟΣ", "strasse οδοσ"), ("İI", "İI".casefold())]
+    got = spark.createDataFrame(rows, "c string, f string").select("c", "f", X.casefold(F.col("c")).alias("k"), X.casefold(F.col("f")).alias("kf")).collect()
+    assert [r.c for r in got if r.k != r.kf and len(r.c) == 1 and not 0x13A0 <= ord(r.c) <= 0x13FF] == []  # folding again changes nothing
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.k, set()).add(r.f)
+    assert {k: v for k, v in by_key.items() if len(v) > 1 and not all(0x13A0 <= ord(x[0]) for x in v)} == {}  # and joins no letters that differ
+    assert got[-2].k == got[-2].f
