@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.session import cut
-from loomline.llm.words import chunks, mix
+from loomline.llm.words import chunks
 
 import xxhash
 
@@ -96,6 +96,7 @@ def token_hashes(found: list[str]) -> np.ndarray:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TURNS = np.array([xxhash.xxh3_64_intdigest(f"place {k}") | 1 for k in range(6)], np.uint64)
 
 
 def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -119,7 +120,7 @@ def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     n_end = np.bincount(inverse, weights=ends, minlength=len(uniq)).astype(np.int64)
     n_all = np.bincount(inverse, minlength=len(uniq))
     own = [t for t in set(found) if len(t) > 3 and t.isalpha() and t.islower()]
-    return uniq, n_end, n_all - n_end, own, mix(_hashed(own)[0] + _ODD)
+    return uniq, n_end, n_all - n_end, own, _hashed(own)[0]
 
 
 def phrase_keys(h: np.ndarray, final: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -127,9 +128,8 @@ def phrase_keys(h: np.ndarray, final: np.ndarray, gap: np.ndarray) -> tuple[np.n
     start = final | gap
     one = np.concatenate(([_EDGE], np.where(start[:-1], _EDGE, h[:-1]))) if len(h) else h
     two = np.concatenate(([_EDGE], np.where(start[:-1], _EDGE, one[:-1]))) if len(h) else h
-    uni = mix(h + _ODD)
-    bi = mix(mix(h ^ _ODD) + one)
-    return uni, bi, mix(mix(bi + _ODD) + two), mix(mix(one + _ODD) ^ _ODD)
+    # tokens are hashes already: odd multiples of them tell phrases of different lengths apart
+    return h, h * _TURNS[0] + one * _TURNS[1], h * _TURNS[2] + one * _TURNS[3] + two * _TURNS[4], one * _TURNS[5] + _ODD
 
 
 def state(text: str | None) -> str:
@@ -188,7 +188,7 @@ def _signed(x: list[int]) -> np.ndarray:
 def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame:
     """One pass over conversations: phrase counts and turns that need a look.
 
-    kind 0: key1 with n_end and n_mid. kind 2: word, a plain word, and its key1. kind 1: a turn that isn't done: id, turn_index, role, source, length,
+    kind 0: lists of equal length: keys with their n_end and n_mid. kind 2: lists words, plain ones, and keys. kind 1: a turn that isn't done: id, turn_index, role, source, length,
     state, key1..key5 (its last phrases and word), path, style, prefix and whole (hashes of its fixed-length
     prefix and of itself).
     """
@@ -196,20 +196,28 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
     texts = F.transform(F.col(conversations), lambda t: t["content"])
     rows = rows.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), texts.alias("texts"))
     kind_ = rows.schema["id"].dataType.simpleString()
-    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, n_end bigint, n_mid bigint, word string"
+    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, keys array<bigint>, n_end array<int>, n_mid array<int>, words array<string>"
     names = [f.split()[0] for f in schema.split(", ")]
-    own_names = [n for n in names if n != "path" and not n.startswith("key")]
+    own_names = ["kind", "id", "turn_index", "source", "length", "state", "style", "at", "prefix", "whole"]
+    lists = {"keys": pa.list_(pa.int64()), "n_end": pa.list_(pa.int32()), "n_mid": pa.list_(pa.int32()), "words": pa.list_(pa.string())}
+
+    def packed(kind: int, types: dict, **columns: np.ndarray) -> pa.RecordBatch:
+        """Rows of lists: columns of their own would cost the engine far more."""
+        size = len(columns["keys"])
+        at = pa.array(np.append(np.arange(0, size, 8192), size).astype(np.int32))
+        own = {n: pa.ListArray.from_arrays(at, pa.array(v)) for n, v in columns.items()} | {"kind": pa.array(np.full(len(at) - 1, kind, np.int32))}
+        return pa.RecordBatch.from_arrays([own[n] if n in own else pa.nulls(len(at) - 1, types[n]) for n in names], names=names)
 
     def run(batches):
         for batch in batches:
             id_type = batch.schema.field(0).type
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                ids, sources, lists = (part.column(i).to_pylist() for i in range(3))
+                ids, sources, talks = (part.column(i).to_pylist() for i in range(3))
                 out: dict[str, list] = {n: [] for n in own_names}
                 flat: list[str] = []
                 held: list[str] = []
-                for i, src, contents in zip(ids, sources, lists):
+                for i, src, contents in zip(ids, sources, talks):
                     for k, t in enumerate(contents):
                         if not t or not t.strip():
                             continue
@@ -219,31 +227,29 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                             continue
                         held.append(t)
                         at = next((p for p in reversed(PREFIXES) if p <= len(t)), len(t) if _WORDLY.search(t) else 0)
-                        values = (1, i, k, src, len(t), how, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t), 0, 0, None)
+                        values = (1, i, k, src, len(t), how, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t))
                         for n, v in zip(own_names, values):
                             out[n].append(v)
                 m = len(held)
                 *keys_, path = tails(held)
-                cols = {n: pa.array(out[n], {"id": id_type, "source": pa.string(), "word": pa.string(), "state": pa.string(), "style": pa.string(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}.get(n)) for n in own_names if n not in ("prefix", "whole", "n_end", "n_mid")}
+                types = {"id": id_type, "source": pa.string(), "state": pa.string(), "style": pa.string(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}
+                cols = {n: pa.array(out[n], types[n]) for n in own_names if n in types}
                 cols |= {f"key{k}": pa.array(x.view(np.int64)) for k, x in enumerate(keys_, 1)} | {"path": pa.array(path)}
-                cols |= {n: pa.array(_signed(out[n])) for n in ("prefix", "whole")}
-                cols |= {n: pa.array(out[n], pa.int64()) for n in ("n_end", "n_mid")}
+                cols |= {n: pa.array(_signed(out[n])) for n in ("prefix", "whole")} | {n: pa.nulls(m, t) for n, t in lists.items()}
                 if m:
                     yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+                types = {n: c.type for n, c in cols.items()}
                 for a, b in chunks(flat):
                     keys, ends, mids, own, own_keys = phrase_counts(flat[a:b])
-                    z, none = len(keys) + len(own), np.zeros(len(own), np.int64)
-                    kinds = np.concatenate((np.zeros(len(keys), np.int32), np.full(len(own), 2, np.int32)))
-                    fixed = {"kind": pa.array(kinds), "key1": pa.array(np.concatenate((keys, own_keys)).view(np.int64)), "n_end": pa.array(np.concatenate((ends, none))), "n_mid": pa.array(np.concatenate((mids, none)))}
-                    fixed["word"] = pa.concat_arrays([pa.nulls(len(keys), pa.string()), pa.array(own, pa.string())])
-                    yield pa.RecordBatch.from_arrays([fixed[n] if n in fixed else pa.nulls(z, cols[n].type) for n in names], names=names)
+                    yield packed(0, types, keys=keys.view(np.int64), n_end=ends.astype(np.int32), n_mid=mids.astype(np.int32))
+                    yield packed(2, types, keys=own_keys.view(np.int64), words=np.array(own, object))
 
     return rows.mapInArrow(run, schema)
 
 
 def common_starts(scanned: DataFrame, stats: DataFrame) -> DataFrame:
     """(key5) hashes of the starts of words that all texts together hold ``COMMON`` times."""
-    common = scanned.where("kind = 2").select(F.col("key1").alias("k"), "word").distinct().join(stats.where(F.col("e") + F.col("m") >= COMMON), "k", "left_semi")
+    common = scanned.where("kind = 2").select(F.inline(F.arrays_zip(F.col("keys").alias("k"), F.col("words").alias("word")))).distinct().join(stats.where(F.col("e") + F.col("m") >= COMMON), "k", "left_semi")
 
     def starts(batches):
         for batch in batches:
@@ -375,12 +381,12 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str, pr
     ids of their own) are judged by the form and last phrases of their turns too, but counted nowhere: neither as phrases nor for limits or copies.
     """
     scanned = cut(turns(df, key, conversations, source))
-    suspects = scanned.where("kind = 1").drop("kind", "n_end", "n_mid", "word").distinct()
+    suspects = scanned.where("kind = 1").drop("kind", "keys", "n_end", "n_mid", "words").distinct()
     if probes is not None:
-        more = turns(probes, key, conversations, source).where("kind = 1").drop("kind", "n_end", "n_mid", "word")
+        more = turns(probes, key, conversations, source).where("kind = 1").drop("kind", "keys", "n_end", "n_mid", "words")
         suspects = suspects.unionByName(cut(more).withColumns({"length": F.lit(-1), "at": F.lit(0), "whole": F.lit(None).cast("bigint")}))
-    stats = scanned.where("kind = 0").groupBy(F.col("key1").alias("k")).agg(F.sum("n_end").alias("e"), F.sum("n_mid").alias("m"))
-    wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).union(scanned.where("kind = 2").select("key1")).distinct()
+    stats = scanned.where("kind = 0").select(F.inline(F.arrays_zip("keys", "n_end", "n_mid"))).groupBy(F.col("keys").alias("k")).agg(F.sum("n_end").alias("e"), F.sum("n_mid").alias("m"))
+    wanted = suspects.select(F.explode(F.array("key1", "key2", "key3", "key4")).alias("k")).union(scanned.where("kind = 2").select(F.explode("keys"))).distinct()
     stats = cut(stats.join(wanted, "k", "left_semi"))
     copies = longer_copies(suspects, df, key, conversations).withColumn("longer", F.lit(True))
     rows = suspects.join(copies, "whole", "left")
