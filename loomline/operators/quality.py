@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import conv
@@ -16,71 +16,100 @@ def _list(*codes: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(code)) for code, cond in codes]))
 
 
-def degenerate(c: Column) -> Column:
-    keys = F.transform(conv.contents(c), X.content_key)
+def parts(source: Column, candidate: Column, with_anchors: bool = True) -> dict[str, Column]:
+    """What the policy looks at, by name. As columns of their own (``prepared``) each is computed once a row."""
+    asked = conv.joined(source, ("user",))
+    own, done = conv.joined(candidate, ("user",)), conv.joined(candidate, ("assistant", "tool"))
+    out = {
+        "letters": conv.role_letters(candidate),
+        "final": conv.last_assistant(candidate),
+        "keys": F.transform(conv.contents(candidate), X.content_key),
+        "text": conv.joined(candidate, ("user", "assistant")),
+        "want": X.tokens(asked),
+        "got": X.tokens(own),
+        "executed": X.tokens(done),
+        "same": conv.canonical_json(source) == conv.canonical_json(candidate),
+        "invalid": conv.problem(source, blank_ok=True, any_final=True, least=1, most=None).isNotNull() | conv.problem(candidate, any_final=True).isNotNull(),
+    }
+    out["sequence"] = X.token_sequence(out["text"])
+    if with_anchors:
+        out |= {"exact": X.anchors(asked), "found": X.anchors(F.concat(own, F.lit("\n"), done))}
+    return out
+
+
+def prepared(df: DataFrame, source: str, candidate: str, with_anchors: bool = True) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the parts as columns, and these."""
+    own = parts(F.col(source), F.col(candidate), with_anchors)
+    return df.withColumns({f"_q_{n}": c for n, c in own.items()}), {n: F.col(f"_q_{n}") for n in own}
+
+
+def _degenerate(p: dict[str, Column]) -> list[tuple[str, Column]]:
+    keys, seq = p["keys"], p["sequence"]
     n, distinct = F.size(keys), F.array_distinct(keys)
     adjacent = F.exists(F.zip_with(keys, F.slice(keys, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
-    thrice = F.exists(distinct, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= 3)
-    text = conv.joined(c, ("user", "assistant"))
-    seq = X.token_sequence(text)
-    few = (F.size(seq) < 4) | (F.length(X.strip(text)) < 24)
-    dull = (F.size(seq) >= 8) & (F.size(F.array_distinct(seq)) / F.size(seq) < 0.25)
-    return adjacent | thrice | ((n >= 6) & (F.size(distinct) / n < 0.5)) | few | dull
+    return [
+        ("candidate repeats adjacent turn content", adjacent),
+        ("candidate repeats the same content three times", F.exists(distinct, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= 3)),
+        ("candidate has insufficient turn diversity", (n >= 6) & (F.size(distinct) / n < 0.5)),
+        ("candidate contains too little task information", (F.size(seq) < 4) | (F.length(X.strip(p["text"])) < 24)),
+        ("candidate content is excessively repetitive", (F.size(seq) >= 8) & (F.size(F.array_distinct(seq)) / F.size(seq) < 0.25)),
+    ]
 
 
-def _words(source: Column, candidate: Column) -> tuple[Column, ...]:
-    """(number of the task's tokens, of those in the candidate's task, share kept by the task, share kept by the execution)."""
-    want, got = X.tokens(conv.joined(source, ("user",))), X.tokens(conv.joined(candidate, ("user",)))
-    done = X.tokens(conv.joined(candidate, ("assistant", "tool")))
-    return F.size(want), F.size(F.array_intersect(want, got)), X.share_kept(want, got), X.share_kept(want, done)
+def _share(c: Column) -> Column:
+    return F.format_string("%.3f", F.bround(c, 3))
 
 
-def _lost_anchors(source: Column, candidate: Column, kept: Column) -> Column:
-    exact = X.anchors(conv.joined(source, ("user",)))
-    found = X.anchors(F.concat(conv.joined(candidate, ("user",)), F.lit("\n"), conv.joined(candidate, ("assistant", "tool"))))
-    return (F.size(exact) > 0) & (F.size(F.array_intersect(exact, found)) == 0) & ((F.size(exact) >= 2) | (kept < WEAK))
+def _drift(p: dict[str, Column]) -> list[tuple[Column, Column]]:
+    n, both = F.size(p["want"]), F.size(F.array_intersect(p["want"], p["got"]))
+    kept, executed = X.share_kept(p["want"], p["got"]), X.share_kept(p["want"], p["executed"])
+    out = [
+        (F.concat(F.lit("source-task token retention "), _share(kept), F.lit(" is below policy")), (n > 0) & ((both == 0) | ((n >= 20) & (kept < LEAST_LONG)))),
+        (F.concat(F.lit("assistant/tool task-token retention "), _share(executed), F.lit(" is below policy")), (n >= 5) & (executed < LEAST_EXECUTION)),
+    ]
+    if "exact" in p:
+        exact = p["exact"]
+        out.append((F.lit("candidate loses every required high-signal task anchor"), (F.size(exact) > 0) & (F.size(F.array_intersect(exact, p["found"])) == 0) & ((F.size(exact) >= 2) | (kept < WEAK))))
+    return out
 
 
-def _invalid(source: Column, candidate: Column) -> Column:
-    return conv.problem(source, blank_ok=True, any_final=True, least=1, most=None).isNotNull() | conv.problem(candidate, any_final=True).isNotNull()
+def _refuses(p: dict[str, Column]) -> Column:
+    return p["final"].rlike(X.REFUSAL) & (F.size(X.token_sequence(p["final"])) <= 80)
 
 
-def codes(source: Column, candidate: Column, with_anchors: bool = True) -> Column:
+def _any(conditions: list) -> Column:
+    out = F.lit(False)
+    for _, cond in conditions:
+        out = out | F.coalesce(cond, F.lit(False))
+    return out
+
+
+def codes_of(p: dict[str, Column]) -> Column:
     """Codes in the order they are raised, each once; ``invalid_conversation`` alone if a side has no valid form."""
-    letters = conv.role_letters(candidate)
-    final = conv.last_assistant(candidate)
-    n, both, kept, executed = _words(source, candidate)
-    drift = ((n > 0) & ((both == 0) | ((n >= 20) & (kept < LEAST_LONG)))) | ((n >= 5) & (executed < LEAST_EXECUTION))
-    if with_anchors:
-        drift = drift | _lost_anchors(source, candidate, kept)
+    letters = p["letters"]
     out = _list(
         ("missing_participant", ~letters.contains("u") | ~letters.contains("a")),
         ("invalid_turn_order", ~letters.endswith("a")),
         # a block of tool turns needs an assistant before and after it
         ("orphan_tool", letters.rlike("(^|[su])t|t($|[su])")),
-        ("refusal_only", (F.size(X.token_sequence(final)) <= 80) & final.rlike(X.REFUSAL)),
-        ("degenerate_content", degenerate(candidate)),
-        ("task_drift", drift),
-        ("unchanged_conversation", conv.canonical_json(source) == conv.canonical_json(candidate)),
+        ("refusal_only", _refuses(p)),
+        ("degenerate_content", _any(_degenerate(p))),
+        ("task_drift", _any(_drift(p))),
+        ("unchanged_conversation", p["same"]),
     )
-    return F.when(_invalid(source, candidate), F.array(F.lit("invalid_conversation"))).otherwise(out)
+    return F.when(p["invalid"], F.array(F.lit("invalid_conversation"))).otherwise(out)
 
 
-def _share(c: Column) -> Column:
-    return F.format_string("%.3f", F.bround(c, 3))
+def codes(source: Column, candidate: Column, with_anchors: bool = True) -> Column:
+    return codes_of(parts(source, candidate, with_anchors))
 
 
-def issues(source: Column, candidate: Column) -> Column:
+def issues_of(p: dict[str, Column]) -> Column:
     """array<struct<code, detail>>: each code once, in order, with all that speaks for it (fixed texts), joined by "; ".
 
     A side without a valid form gives ``invalid_conversation`` alone.
     """
-    letters, final = conv.role_letters(candidate), conv.last_assistant(candidate)
-    n, both, kept, executed = _words(source, candidate)
-    keys = F.transform(conv.contents(candidate), X.content_key)
-    size, distinct = F.size(keys), F.array_distinct(keys)
-    text = conv.joined(candidate, ("user", "assistant"))
-    seq = X.token_sequence(text)
+    letters = p["letters"]
     index = F.filter(F.sequence(F.lit(0), F.length(letters) - 1), lambda i: F.substr(letters, i + 1, F.lit(1)) == "t")
     before = lambda i: F.substr(letters, F.lit(1), i).rlike("at*$")
     after = lambda i: F.substr(letters, i + 2).rlike("^t*a")
@@ -88,33 +117,26 @@ def issues(source: Column, candidate: Column) -> Column:
         F.when(~before(i), F.concat(F.lit("tool block beginning near turn "), i.cast("string"), F.lit(" has no assistant invocation"))),
         F.when(~after(i), F.concat(F.lit("tool block ending near turn "), i.cast("string"), F.lit(" has no assistant interpretation"))),
     ))))
-    adjacent = F.exists(F.zip_with(keys, F.slice(keys, F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
-    when = lambda cond, what: F.when(F.coalesce(cond, F.lit(False)), what if isinstance(what, Column) else F.lit(what))
+    when = lambda pairs: F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), what if isinstance(what, Column) else F.lit(what)) for what, cond in pairs]))
     found = [
-        ("missing_participant", [when(~letters.contains("u") | ~letters.contains("a"), "candidate must contain at least one user and one assistant turn")]),
-        ("invalid_turn_order", [when(~letters.endswith("a"), "candidate must end with an assistant interpretation or summary")]),
+        ("missing_participant", when([("candidate must contain at least one user and one assistant turn", ~letters.contains("u") | ~letters.contains("a"))])),
+        ("invalid_turn_order", when([("candidate must end with an assistant interpretation or summary", ~letters.endswith("a"))])),
         ("orphan_tool", orphans),
-        ("refusal_only", [when((F.size(X.token_sequence(final)) <= 80) & final.rlike(X.REFUSAL), "candidate ends in a refusal or generic failure")]),
-        ("degenerate_content", [
-            when(adjacent, "candidate repeats adjacent turn content"),
-            when(F.exists(distinct, lambda k: F.size(F.filter(keys, lambda x: x == k)) >= 3), "candidate repeats the same content three times"),
-            when((size >= 6) & (F.size(distinct) / size < 0.5), "candidate has insufficient turn diversity"),
-            when((F.size(seq) < 4) | (F.length(X.strip(text)) < 24), "candidate contains too little task information"),
-            when((F.size(seq) >= 8) & (F.size(F.array_distinct(seq)) / F.size(seq) < 0.25), "candidate content is excessively repetitive"),
-        ]),
-        ("task_drift", [
-            when((n > 0) & ((both == 0) | ((n >= 20) & (kept < LEAST_LONG))), F.concat(F.lit("source-task token retention "), _share(kept), F.lit(" is below policy"))),
-            when((n >= 5) & (executed < LEAST_EXECUTION), F.concat(F.lit("assistant/tool task-token retention "), _share(executed), F.lit(" is below policy"))),
-            when(_lost_anchors(source, candidate, kept), "candidate loses every required high-signal task anchor"),
-        ]),
-        ("unchanged_conversation", [when(conv.canonical_json(source) == conv.canonical_json(candidate), "refined conversation is identical to the source conversation")]),
-    ]
+        ("refusal_only", when([("candidate ends in a refusal or generic failure", _refuses(p))])),
+        ("degenerate_content", when(_degenerate(p))),
+        ("task_drift", when(_drift(p))),
+        ("unchanged_conversation", when([("refined conversation is identical to the source conversation", p["same"])])),
+    ]
     each = []
     for code, details in found:
-        detail = F.array_join(F.array_distinct(F.array_compact(F.array(*details)) if isinstance(details, list) else details), "; ")
+        detail = F.array_join(F.array_distinct(details), "; ")
         each.append(F.when(detail != "", F.struct(F.lit(code).alias("code"), detail.alias("detail"))))
     bad = F.array(F.struct(F.lit("invalid_conversation").alias("code"), F.lit("").alias("detail")))
-    return F.when(_invalid(source, candidate), bad).otherwise(F.array_compact(F.array(*each)))
+    return F.when(p["invalid"], bad).otherwise(F.array_compact(F.array(*each)))
+
+
+def issues(source: Column, candidate: Column) -> Column:
+    return issues_of(parts(source, candidate))
 
 
 def error_text(found: Column) -> Column:

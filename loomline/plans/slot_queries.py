@@ -97,17 +97,24 @@ def _both(spark, d):
     return ref.join(src.withColumnRenamed("conversations", "source"), ["source_file", "source_row_index"])
 
 
-def _codes(spark, d, f):
-    return _both(spark, d).select("run_id", F.array_join(f(F.col("source"), F.col("candidate")), ",").alias("codes")).distinct()
+def _codes(spark, d, with_anchors):
+    rows, p = quality.prepared(_both(spark, d), "source", "candidate", with_anchors)
+    return rows.select("run_id", F.array_join(quality.codes_of(p), ",").alias("codes")).distinct()
 
 
 def quality_codes(spark, d):
     """All codes but the loss of every anchor, which SQL cannot check."""
-    return _codes(spark, d, lambda s, c: quality.codes(s, c, with_anchors=False))
+    return _codes(spark, d, False)
 
 
 def quality_codes_full(spark, d):
-    return _codes(spark, d, quality.codes)
+    return _codes(spark, d, True)
+
+
+def quality_issue_details(spark, d):
+    """Codes with all that speaks for them, as the text of an attempt's error."""
+    rows, p = quality.prepared(_both(spark, d), "source", "candidate")
+    return rows.select("run_id", quality.error_text(quality.issues_of(p)).alias("error")).distinct()
 
 
 def _histogram(codes):
@@ -124,7 +131,8 @@ def quality_code_histogram_full(spark, d):
 
 
 def policy_secondary_codes(spark, d):
-    return _codes(spark, d, quality.secondary_codes)
+    codes = F.array_join(quality.secondary_codes(F.col("source"), F.col("candidate")), ",")
+    return _both(spark, d).select("run_id", codes.alias("codes")).distinct()
 
 
 def token_retention(spark, d):
@@ -181,7 +189,7 @@ _SECONDARY = _LIST(
     ("vague_completion", f"regexp_matches(final, '{_RE(X.VAGUE)}') AND NOT regexp_matches(final, '{_RE(X.CONCRETE)}')"),
 )
 
-QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_full, quality_code_histogram, quality_code_histogram_full, policy_secondary_codes, token_retention)}
+QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_full, quality_issue_details, quality_code_histogram, quality_code_histogram_full, policy_secondary_codes, token_retention)}
 _PENDING = f"SELECT synthetic_id, source_task_id FROM ({_SL}) s WHERE NOT EXISTS (SELECT 1 FROM refined_rows r WHERE r.run_id = s.synthetic_id)"
 SQL = {
     "slot_secondary_choice": f"WITH {_IDS}, {_SECOND} SELECT source_record_id FROM second",
