@@ -329,7 +329,7 @@ class PairModel:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def train(cls, data: list[tuple[str, str, bool, int]], epochs: int = 6, precision: float = 0.95) -> PairModel:
+    def train(cls, data: list[tuple[str, str, bool, int]], epochs: int = 4, precision: float = 0.95) -> PairModel:
         """From ``synthetic``."""
         slots: list[np.ndarray] = []
         for lo in range(0, len(data), 1000):  # pairs are much larger than their slots
@@ -344,8 +344,8 @@ class PairModel:
         rng = np.random.default_rng(3)
         for _ in range(epochs):
             rng.shuffle(train)
-            for at in range(0, len(train), 64):
-                rows = train[at : at + 64]
+            for at in range(0, len(train), 128):
+                rows = train[at : at + 128]
                 idx = np.concatenate([slots[i] for i in rows])
                 starts = np.cumsum([0, *[len(slots[i]) for i in rows[:-1]]])
                 z = np.add.reduceat(w[idx], starts, axis=0)

@@ -35,6 +35,7 @@ _BREAK, _STOP = "\x00", "\x01"
 COMMON = 5  # times in all texts
 BROADCAST_PREFIXES = 500_000  # 14 MB
 PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up; shorter values at their own length
+HEAD = 3  # characters by which short suspects are looked up first
 _PATH = re.compile(r"^[~.]?(?:/[\w.\-~]*)+$")
 _EXT = re.compile(r"\.([a-z][a-z0-9]{0,7})$")
 _LABEL = re.compile(r"\W{0,4}[^\W\d][\w() /-]{1,40}:")
@@ -190,15 +191,15 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
 
     kind 0: lists of equal length: keys with their n_end and n_mid. kind 2: lists words, plain ones, and keys. kind 1: a turn that isn't done: id, turn_index, role, source, length,
     state, key1..key5 (its last phrases and word), path, style, prefix and whole (hashes of its fixed-length
-    prefix and of itself).
+    prefix and of itself), head (how a value shorter than the least of these lengths begins).
     """
     rows = df.where(F.col(key).isNotNull() & F.col(conversations).isNotNull())
     texts = F.transform(F.col(conversations), lambda t: t["content"])
     rows = rows.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), texts.alias("texts"))
     kind_ = rows.schema["id"].dataType.simpleString()
-    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, prefix bigint, whole bigint, keys array<bigint>, n_end array<int>, n_mid array<int>, words array<string>"
+    schema = f"kind int, id {kind_}, turn_index int, source string, length int, state string, key1 bigint, key2 bigint, key3 bigint, key4 bigint, key5 bigint, path boolean, style string, at int, head string, prefix bigint, whole bigint, keys array<bigint>, n_end array<int>, n_mid array<int>, words array<string>"
     names = [f.split()[0] for f in schema.split(", ")]
-    own_names = ["kind", "id", "turn_index", "source", "length", "state", "style", "at", "prefix", "whole"]
+    own_names = ["kind", "id", "turn_index", "source", "length", "state", "style", "at", "head", "prefix", "whole"]
     lists = {"keys": pa.list_(pa.int64()), "n_end": pa.list_(pa.int32()), "n_mid": pa.list_(pa.int32()), "words": pa.list_(pa.string())}
 
     def packed(kind: int, types: dict, **columns: np.ndarray) -> pa.RecordBatch:
@@ -227,12 +228,12 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                             continue
                         held.append(t)
                         at = next((p for p in reversed(PREFIXES) if p <= len(t)), len(t) if _WORDLY.search(t) else 0)
-                        values = (1, i, k, src, len(t), how, style(t), at, text_hash(t[:at]) if at else 0, text_hash(t))
+                        values = (1, i, k, src, len(t), how, style(t), at, t[: min(HEAD, at)] if at < PREFIXES[0] else None, text_hash(t[:at]) if at else 0, text_hash(t))
                         for n, v in zip(own_names, values):
                             out[n].append(v)
                 m = len(held)
                 *keys_, path = tails(held)
-                types = {"id": id_type, "source": pa.string(), "state": pa.string(), "style": pa.string(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}
+                types = {"id": id_type, "source": pa.string(), "state": pa.string(), "style": pa.string(), "head": pa.string(), "kind": pa.int32(), "turn_index": pa.int32(), "length": pa.int32(), "at": pa.int32()}
                 cols = {n: pa.array(out[n], types[n]) for n in own_names if n in types}
                 cols |= {f"key{k}": pa.array(x.view(np.int64)) for k, x in enumerate(keys_, 1)} | {"path": pa.array(path)}
                 cols |= {n: pa.array(_signed(out[n])) for n in ("prefix", "whole")} | {n: pa.nulls(m, t) for n, t in lists.items()}
@@ -276,14 +277,22 @@ class Starts:
 
     def __init__(self, wanted: pa.Table):
         at, prefix, whole, length = (wanted.column(c).to_numpy() for c in ("at", "prefix", "whole", "length"))
+        self.heads: dict[str, list[int]] = {}
+        for head, n in {*zip(wanted.column("head").to_pylist(), at.tolist())}:
+            if head is not None:
+                self.heads.setdefault(head, []).append(n)
         order = np.lexsort((whole, length, prefix))
         self.prefix, self.length, self.whole = prefix[order], length[order], whole[order]
-        self.at = [int(x) for x in np.unique(at)]  # no more than PREFIXES and the lengths below
+        self.at = [int(x) for x in np.unique(at) if x >= PREFIXES[0]]
 
     def found(self, texts: list[str]) -> set[int]:
         """Hashes of the suspects that some text goes on after, in the same sentence."""
         owner, h = [], []
         for k, t in enumerate(texts):
+            for n in range(1, HEAD + 1):
+                for p in self.heads.get(t[:n], ()) if n <= len(t) else ():
+                    if p < len(t):
+                        owner.append(k), h.append(text_hash(t[:p]))
             for p in self.at:
                 if p >= len(t):
                     break
@@ -308,7 +317,7 @@ def longer_copies(suspects: DataFrame, df: DataFrame, key: str, conversations: s
     While there are at most ``BROADCAST_PREFIXES`` of them (28 bytes each) they are held against the values where these lie. Else
     hashes of prefixes are joined first, and only values that begin like a suspect are moved.
     """
-    wanted = cut(suspects.where("at > 0").select("at", "prefix", "whole", "length").distinct())
+    wanted = cut(suspects.where("at > 0").select("at", "head", "prefix", "whole", "length").distinct())
     spark, few = df.sparkSession, wanted.count() <= BROADCAST_PREFIXES
     texts = F.transform(F.col(conversations), lambda t: t["content"])
     rows = df.where(F.col(conversations).isNotNull()).select(F.col(key).alias("id"), texts.alias("texts"))
