@@ -10,6 +10,8 @@ size that a third of all documents share is no hot key.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,8 +82,8 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[di
     return out
 
 
-def pieces(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column) -> DataFrame:
-    """Documents as items: profile_id, capacity, doc_id, n_pieces, piece, cost (with the separator)."""
+def pieces(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column) -> tuple[DataFrame, int]:
+    """Documents as items: profile_id, capacity, doc_id, n_pieces, piece, cost (with the separator); and the number of profiles."""
     p = profiles.select("profile_id", F.col("capacity_tokens").cast("bigint").alias("capacity"), F.col("separator_tokens").cast("bigint").alias("sep")).distinct()
     bad = F.col("sep").isNull() | F.col("capacity").isNull() | (F.col("sep") < 0) | (F.col("capacity") <= F.col("sep"))
     known = p.limit(10_001).collect()  # profiles are configuration
@@ -99,10 +101,10 @@ def pieces(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column) -> D
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / room)).cast("int")
     rows = rows.withColumn("n_pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     tokens = F.when(F.col("piece") < F.col("n_pieces") - 1, room).otherwise(F.col("size") - room * (F.col("n_pieces") - 1))
-    return rows.withColumn("cost", tokens + F.col("sep")).drop("size", "sep")
+    return rows.withColumn("cost", tokens + F.col("sep")).drop("size", "sep"), len(known)
 
 
-def pack(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column, salts: int | None = None) -> DataFrame:
     """Every document piece with its container: profile_id, capacity, doc_id, n_pieces, piece, cost, container.
 
     A document is split only if its size plus the separator is over the capacity: into pieces that fill a
@@ -110,7 +112,9 @@ def pack(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column, salts:
     given the size 0 (they cost the separator only); null ids and repeated rows are items like
     others; no documents or no profiles give no rows. Ties of size are broken by a hash of the id.
     """
-    items = pieces(docs, profiles, doc_id, size)
+    items, known = pieces(docs, profiles, doc_id, size)
+    if salts is None:  # some 500,000 items of one size a group at the most
+        salts = max(8, math.ceil(items.count() / 500_000))
     items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     key = ["profile_id", "cost"]
     per_salt = items.groupBy("profile_id", "capacity", "cost", "salt").agg(F.count("*").alias("n"))
@@ -130,7 +134,8 @@ def pack(docs: DataFrame, profiles: DataFrame, doc_id: str, size: Column, salts:
         return pd.DataFrame(rows, columns=["profile_id", "cost", "from_rank", "each", "first"])
 
     hist = per_salt.groupBy("profile_id", "capacity", "cost").agg(F.sum("n").alias("n"))
-    plan = hist.groupBy("profile_id").applyInPandas(patterns, "profile_id int, cost bigint, from_rank bigint, each bigint, first bigint")
+    # a task a profile: by number, as partitions by key alone would be put together again
+    plan = hist.repartition(max(1, 4 * known), "profile_id").groupBy("profile_id").applyInPandas(patterns, "profile_id int, cost bigint, from_rank bigint, each bigint, first bigint")
     # one array per profile and size, bounded by the capacity (patterns), not by the corpus
     plan = plan.groupBy("profile_id", "cost").agg(F.array_sort(F.collect_list(F.struct("from_rank", "each", "first"))).alias("plan"))
     ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("profile_id", "cost", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", "piece")) - 1)
