@@ -8,12 +8,14 @@ round; what reaches the driver is one count and one checksum a round.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions.session import cut
 
 
+HUB = 1_000_000  # neighbours; no more than one in so many links can end at a node with more
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Connects neighbours to the least id of a node's neighbourhood (itself included).
 
@@ -24,9 +26,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = both.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # a running minimum over sorted neighbours needs no buffer of a node's whole neighbourhood
-    least = F.least("u", F.first("v").over(W.partitionBy("u").orderBy("v")))
-    near = both.withColumn("m", least)
+    # the least neighbour is an aggregate, so a hub shrinks before it moves; its links then stay where they are
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > HUB).drop("n"))
+    near = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= HUB).drop("n"), "u"))
+    near = near.withColumn("m", F.least("u", "m"))
     if large:
         return near.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     pointing = near.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
