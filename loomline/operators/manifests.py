@@ -127,6 +127,16 @@ def read_back(check: Callable[[], object], tries: int = 12, pause: float = 5.0,
     raise ValueError("no tries")
 
 
+def verify_remote(spark: SparkSession, local: str, remote: str) -> dict:
+    """The sealed inventory of a remote state, after its own files and the local inventory were compared with it."""
+    here, there = verify_state(spark, local), verify_state(spark, remote)
+    if here != there:
+        names = lambda x: {e["name"]: e for e in x["shards"]} | x["documents"]
+        a, b = names(here), names(there)
+        raise ValueError(f"the remote copy differs in {sorted(k for k in a.keys() | b.keys() if a.get(k) != b.get(k))[:3]}")
+    return there
+
+
 def restore(spark: SparkSession, remote: str, target: str) -> dict:
     """Copy a sealed remote state into a folder that is not there yet, verify it, and tell how far the run is.
 

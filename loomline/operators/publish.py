@@ -275,6 +275,17 @@ def verify_publication(spark: SparkSession, target: str) -> dict:
     return manifest
 
 
+def write_single(df: DataFrame, path: str) -> None:
+    """A small table as one Parquet file under exactly this name; an existing file is replaced in one step."""
+    files, staging = Storage(df.sparkSession, path), f"{path}.staging-{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(staging)
+    try:
+        (part,) = files.names(staging)
+        files.move(f"{staging}/{part}", path, overwrite=True)
+    finally:
+        files.delete(staging)
+
+
 def write_shard(df: DataFrame, key: str, folder: str) -> str | None:
     """One immutable shard named by the hash of its sorted keys; the same rows again change nothing, other rows under the name are an error.
 

@@ -57,6 +57,16 @@ def top_k(corpus: DataFrame, queries: DataFrame, doc: str, query: str, vector: s
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def rerank(found: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of already found (query, doc) by another score; pairs without one come last, ties by document id.
+
+    ``scores``: query, doc, score. Only found pairs are looked at.
+    """
+    both = found.select("query", "doc").join(scores.select("query", "doc", "score"), ["query", "doc"], "left")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc_nulls_last("score"), "doc"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def with_distractors(corpus: DataFrame, others: DataFrame, order: list[str], most: int = 2000) -> DataFrame:
     """The corpus and, behind it, the first ``most`` of the other rows as distractors (``is_distractor``)."""
     return corpus.withColumn("is_distractor", F.lit(False)).unionByName(others.orderBy(*order).limit(most).withColumn("is_distractor", F.lit(True)))

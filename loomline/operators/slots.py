@@ -15,6 +15,13 @@ def smallest_by_hash(df: DataFrame, key: str, prefix: Column, k: int) -> DataFra
     return df.withColumn("_h", digest).orderBy("_h", key).limit(k).drop("_h")
 
 
+def pilot(ids: DataFrame, key: str, seed: int, size: int) -> DataFrame:
+    """The ids of a pilot of 10 to 50 sources, chosen by hash."""
+    if not 10 <= size <= 50:
+        raise ValueError("a pilot has 10 to 50 sources")
+    return smallest_by_hash(ids, key, F.lit(f"pilot-v1\x00{seed}"), size)
+
+
 def secondary(ids: DataFrame, key: str, target: int) -> DataFrame:
     """The ids that get a second slot so that ``target`` slots exist in all.
 

@@ -21,6 +21,15 @@ def ir_topk_ranking(spark, d):
     return found.withColumn("rank", rank).where("rank <= 5").select("query", "doc", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def ir_reranked(spark, d):
+    """The 20 nearest by cosine (the vector itself among them), of which the three with the largest dot product."""
+    vec = _vectors(spark, d)
+    found = retrieval.top_k(vec, vec.where("vec_id % 20 = 0"), "vec_id", "vec_id", "v", 20)
+    v = lambda c: vec.select(F.col("vec_id").alias(c), F.col("v").alias(f"{c}_v"))
+    scores = found.join(v("query"), "query").join(v("doc"), "doc").select("query", "doc", F.round(retrieval.dot(F.col("query_v"), F.col("doc_v")), 5).alias("score"))
+    return retrieval.rerank(found, scores, 3).select("query", "doc", F.round("score", 3).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def ir_pairwise_cosine(spark, d):
     """Cosine and dot product of each vector with the next one by id."""
     vec = _vectors(spark, d)
@@ -155,7 +164,7 @@ def ir_distractors(spark, d):
     return retrieval.with_distractors(vec.where("vec_id % 20 = 0"), vec.where("vec_id % 20 != 0"), ["vec_id"], 2000).select("vec_id", "is_distractor")
 
 
-QUERIES = {f.__name__: f for f in (graph_examples, graph_subtechniques, graph_shuffled_examples, ir_distractors, ir_topk_ranking, ir_pairwise_cosine, ir_rank_metrics, retrieval_pairs, pair_batches, reward_scores, reward_group_advantage, graph_supplier_bullets, graph_two_hop_relations, title_names, events_hourly_types)}
+QUERIES = {f.__name__: f for f in (ir_reranked, graph_examples, graph_subtechniques, graph_shuffled_examples, ir_distractors, ir_topk_ranking, ir_pairwise_cosine, ir_rank_metrics, retrieval_pairs, pair_batches, reward_scores, reward_group_advantage, graph_supplier_bullets, graph_two_hop_relations, title_names, events_hourly_types)}
 SQL = {
     "ir_topk_ranking": f"WITH {_V}, {_NEAR} SELECT query, doc, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
     "ir_pairwise_cosine": f"WITH {_V} SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 5) AS cosine, round(list_dot_product(a.v, b.v), 4) AS dot FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
@@ -192,5 +201,7 @@ SQL |= {
     "graph_examples": f"WITH {_TECH} SELECT id, kind, 'You know the matrix.' AS system, question, answer FROM ex",
     "graph_subtechniques": f"WITH {_TECH} SELECT count(*) AS n_techniques, count(*) FILTER (sub) AS n_subtechniques FROM tech WHERE NOT gone",
     "graph_shuffled_examples": f"WITH {_TECH} SELECT id, kind, row_number() OVER (ORDER BY sha256('shuffle42' || chr(0) || id || chr(0) || kind), id, kind) - 1 AS position FROM ex",
+    "ir_reranked": """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query, vec_id AS doc, round(list_dot_product(qv, embedding::DOUBLE[]), 5) AS s, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 12) AS c FROM q, embeddings QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(qv, embedding::DOUBLE[]), 12) DESC, vec_id) <= 20)
+SELECT query, doc, round(s, 3) AS score, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) <= 3""",
     "ir_distractors": "SELECT vec_id, false AS is_distractor FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT * FROM (SELECT vec_id, true FROM embeddings WHERE vec_id % 20 != 0 ORDER BY vec_id LIMIT 2000)",
 }

@@ -78,7 +78,7 @@ def plan_temperatures(spark, d):
 
 
 def pilot_topk_sample(spark, d):
-    return slots.smallest_by_hash(_ids(spark, d), "source_record_id", F.lit("pilot-v1\x0017"), 10)
+    return slots.pilot(_ids(spark, d), "source_record_id", 17, 10)
 
 
 def split_exact_holdout(spark, d):
@@ -103,12 +103,12 @@ def _codes(spark, d, with_anchors):
 
 
 def quality_codes(spark, d):
-    """All codes but the loss of every anchor, which SQL cannot check."""
-    return _codes(spark, d, False)
+    return _codes(spark, d, True)
 
 
-def quality_codes_full(spark, d):
-    return _codes(spark, d, True)
+def quality_codes_plain(spark, d):
+    """All codes but the loss of every anchor."""
+    return _codes(spark, d, False)
 
 
 def quality_issue_details(spark, d):
@@ -117,17 +117,8 @@ def quality_issue_details(spark, d):
     return rows.select("run_id", quality.error_text(quality.issues_of(p)).alias("error")).distinct()
 
 
-def _histogram(codes):
-    return codes.select(F.explode(F.split("codes", ",")).alias("code")).where("code != ''").groupBy("code").agg(F.count("*").alias("n"))
-
-
 def quality_code_histogram(spark, d):
-    """Codes without the loss of every anchor, as in its SQL."""
-    return _histogram(quality_codes(spark, d))
-
-
-def quality_code_histogram_full(spark, d):
-    return _histogram(quality_codes_full(spark, d))
+    return quality_codes(spark, d).select(F.explode(F.split("codes", ",")).alias("code")).where("code != ''").groupBy("code").agg(F.count("*").alias("n"))
 
 
 def policy_secondary_codes(spark, d):
@@ -169,6 +160,27 @@ _DEGEN = f"""(len(list_filter(range(1, len(keys)), lambda i: keys[i] = keys[i +
   OR (len(keys) >= 6 AND len(list_distinct(keys)) / len(keys) < 0.5)
   OR len(seq) < 4 OR length({Q._STRIP('participants')}) < 24 OR (len(seq) >= 8 AND len(list_distinct(seq)) / len(seq) < 0.25))"""
 _LIST = lambda *codes: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in codes) + "], lambda x: x IS NOT NULL), ',')"
+# Anchors without lookbehind: the character before is matched and left out of the group; before numbers, separators are doubled so that
+# the one between two numbers can end the first and precede the second.
+_WORDCH = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_NOWORD = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_CUT = lambda x: f"rtrim(lower({x}), '.,:;')"
+_SQUEEZE = lambda x: f"trim(regexp_replace(lower({x}), '{Q._WS}+', ' ', 'g'))"
+
+
+def _anchors(t: str) -> str:
+    get = lambda p, group=1, text=t: f"regexp_extract_all({text}, '{_RE(p)}', {group})"
+    plain = [get(r"(?i)https?://[^\s`\"'<>]+", 0), get(rf"(?:^|{_NOWORD})((?:~?/|\./|\.\./)[^\s`\"'<>(),;]+)"), get(rf"(?:^|{_NOWORD})(--[A-Za-z0-9][A-Za-z0-9-]*)")]
+    doubled = f"regexp_replace({t}, '({_NOWORD[:-1]}.])', '\\1\\1', 'g')"
+    plain.append(get(rf"(?:^|{_NOWORD})(\p{{Nd}}+(?:\.\p{{Nd}}+)*)(?:$|{_NOWORD})", 1, doubled))
+    quoted = [get(X.BACKTICK), get(r"(?:^|[^A-Za-z])[\"']([^\"'\n]{2,120})[\"']")]
+    parts = [f"list_transform({x}, lambda a: {_CUT('a')})" for x in plain]
+    parts += [f"list_filter(list_transform({x}, lambda a: rtrim({_SQUEEZE('a')}, '.,:;')), lambda a: length(a) BETWEEN 2 AND 120)" for x in quoted]
+    parts.append(f"list_transform(list_filter(list_transform(regexp_extract_all({t}, '{X.TOKEN}'), lambda x: trim(x, '.,:;')), lambda x: regexp_matches(x, '[_./:@+\\-]|[0-9]') OR (length(x) >= 4 AND regexp_matches(substr(x, 2), '[A-Z]'))), lambda x: lower(x))")
+    return "list_filter(list_distinct(flatten([" + ", ".join(parts) + "])), lambda a: a != '')"
+
+
+_ANCHORED = _PAIRS + f", i AS (SELECT *, {_anchors('asked')} AS exact, {_anchors('(ask || chr(10) || done)')} AS found FROM h) "
 _CODES = _LIST(
     ("missing_participant", "NOT contains(letters, 'u') OR NOT contains(letters, 'a')"),
     ("invalid_turn_order", "letters[-1] != 'a'"),
@@ -178,7 +190,9 @@ _CODES = _LIST(
     ("task_drift", "(len(want) > 0 AND (both_n = 0 OR (len(want) >= 20 AND kept < 0.05))) OR (len(want) >= 5 AND ran < 0.15)"),
     ("unchanged_conversation", Q.FP.replace("conversations", "source") + " = " + Q.FP.replace("conversations", "candidate")),
 )
-_QUALITY = _PAIRS + f", c AS (SELECT run_id, CASE WHEN {_BAD} THEN 'invalid_conversation' ELSE {_CODES} END AS codes FROM h) "
+_LOST = "(len(exact) > 0 AND len(list_intersect(exact, found)) = 0 AND (len(exact) >= 2 OR kept < 0.25))"
+_QUALITY = _ANCHORED + f", c AS (SELECT run_id, CASE WHEN {_BAD} THEN 'invalid_conversation' ELSE {_CODES.replace('ran < 0.15)', 'ran < 0.15) OR ' + _LOST)} END AS codes FROM i) "
+_PLAIN = _PAIRS + f", c AS (SELECT run_id, CASE WHEN {_BAD} THEN 'invalid_conversation' ELSE {_CODES} END AS codes FROM h) "
 _ADDED = " OR ".join(
     f"(regexp_matches(lower(ask_), '\\b(?:{'|'.join(forms)})\\w*\\b') AND NOT regexp_matches(lower(asked_), '\\b(?:{'|'.join(forms)})\\w*\\b'))" for forms in X.DELIVERABLES.values()
 )
@@ -189,7 +203,7 @@ _SECONDARY = _LIST(
     ("vague_completion", f"regexp_matches(final, '{_RE(X.VAGUE)}') AND NOT regexp_matches(final, '{_RE(X.CONCRETE)}')"),
 )
 
-QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_full, quality_issue_details, quality_code_histogram, quality_code_histogram_full, policy_secondary_codes, token_retention)}
+QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_plain, quality_issue_details, quality_code_histogram, policy_secondary_codes, token_retention)}
 _PENDING = f"SELECT synthetic_id, source_task_id FROM ({_SL}) s WHERE NOT EXISTS (SELECT 1 FROM refined_rows r WHERE r.run_id = s.synthetic_id)"
 SQL = {
     "slot_secondary_choice": f"WITH {_IDS}, {_SECOND} SELECT source_record_id FROM second",
@@ -207,6 +221,7 @@ SQL = {
     "split_exact_holdout": f"WITH {_IDS} SELECT source_record_id, CASE WHEN row_number() OVER (ORDER BY sha256('split42' || chr(0) || source_record_id), source_record_id) <= 100 THEN 'test' ELSE 'train' END AS split FROM ids",
     "shuffle_by_hash": "SELECT sample_id, row_number() OVER (ORDER BY sha256('shuffle42' || chr(0) || sample_id), sample_id) - 1 AS position FROM (SELECT DISTINCT sample_id FROM mitre_sft)",
     "quality_codes": _QUALITY + "SELECT DISTINCT run_id, codes FROM c",
+    "quality_codes_plain": _PLAIN + "SELECT DISTINCT run_id, codes FROM c",
     "quality_code_histogram": _QUALITY + "SELECT code, count(*) AS n FROM (SELECT run_id, unnest(string_split(codes, ',')) AS code FROM (SELECT DISTINCT run_id, codes FROM c)) WHERE code != '' GROUP BY code",
     "policy_secondary_codes": _PAIRS + f", i AS (SELECT *, {_TEXT('candidate', chr(39) + 'user' + chr(39), chr(39) + ' ' + chr(39))} AS ask_, {_TEXT('source', chr(39) + 'user' + chr(39), chr(39) + ' ' + chr(39))} AS asked_ FROM h) SELECT DISTINCT run_id, {_SECONDARY} AS codes FROM i",
     "token_retention": _PAIRS + "SELECT DISTINCT run_id, len(want) AS n_tokens, round(kept, 6) AS user_share, round(ran, 6) AS execution_share FROM h",

@@ -159,6 +159,7 @@ def test_manifests_and_restore(spark, tmp_path):
     assert got == {"run_instance_id": run["run_instance_id"], "accepted_rows": 2, "target_rows": 6, "pending_rows": 4, "shards": 1}
     with pytest.raises(FileExistsError):
         manifests.restore(spark, state, str(tmp_path / "again"))
+    assert manifests.verify_remote(spark, state, str(tmp_path / "again"))["documents"]["run_manifest.json"] == run
     os.remove(tmp_path / "state" / "run_manifest.json")
     with pytest.raises(ValueError, match="run_manifest"):
         manifests.restore(spark, state, str(tmp_path / "third"))
@@ -197,6 +198,14 @@ def test_content_named_shard(spark, tmp_path):
         publish.write_shard(df.withColumn("v", F.lit(9)), "run_id", str(tmp_path))
 
 
+def test_single_file(spark, tmp_path):
+    for n in (3, 2):
+        publish.write_single(spark.range(n), str(tmp_path / "one.parquet"))
+        assert os.path.isfile(tmp_path / "one.parquet") and spark.read.parquet(str(tmp_path / "one.parquet")).count() == n
+    with pytest.raises(ValueError, match="10 to 50"):
+        slots.pilot(spark.range(5), "id", 1, 9)
+
+
 def test_control_documents(tmp_path):
     src = tmp_path / "src"
     src.mkdir()
