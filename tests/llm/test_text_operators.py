@@ -277,7 +277,10 @@ def test_tree_equals_brute_force():
         assert got == set(zip(*(v.tolist() for v in np.nonzero(d <= radius))))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few, hub", [(10**6, 10**6), (0, 10**6), (0, 20)])
+def test_components(spark, monkeypatch, few, hub):
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "HUB", hub)
     r = random.Random(2)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300), (None, 5)]
     r.shuffle(links)
