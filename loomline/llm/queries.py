@@ -195,6 +195,17 @@ SQL: dict[str, str] = {
     "SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
 }
 
+SQL["p7_items"] = (
+    "WITH d AS (SELECT DISTINCT doc_id, " + _WORDS.format("text") + " AS w FROM documents), "
+    "e AS (SELECT item_id, " + _WORDS.format("text") + " AS w FROM eval_items), "
+    "dg AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)), "
+    "eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e)), "
+    "hit AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN eg USING (g)), "
+    "mark AS (SELECT *, CASE WHEN i > lag(i, 1, -99) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 13 THEN 1 ELSE 0 END AS new FROM hit), "
+    "run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM mark), "
+    "span AS (SELECT doc_id, item_id, max(i) - min(i) + 13 AS n FROM run GROUP BY doc_id, item_id, r) "
+    "SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(n) AS longest_words FROM span GROUP BY item_id"
+)
 SQL["p5_found"] = _REFINED_WORDS + """,
 g AS (SELECT DISTINCT run_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT run_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 n AS (SELECT run_id, count(*) AS n FROM g GROUP BY run_id),
