@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline.functions.storage import Storage, document
 from loomline.operators.control import inventory_digest
-from loomline.operators.publish import atomic_json
 
 
 def threshold(done: Column, every: int) -> Column:
@@ -25,16 +21,14 @@ def advances(progress: DataFrame, run: str, order: str, done: str, every: Column
     return progress.withColumn("reached", reached.cast("bigint")).withColumn("before", before).where("reached > before").drop("before")
 
 
-def checkpoint(shards: dict[str, dict], rows: int, every: int, source: str, remote: str, fail=lambda step: None) -> dict:
+def checkpoint(spark: SparkSession, shards: dict[str, dict], rows: int, every: int, source: str, remote: str, fail=lambda step: None) -> dict:
     """Copy new shards and mark the checkpoint if the threshold has risen; gives the pointer document.
 
-    ``shards``: path -> size, sha256. A known shard that has vanished is an error. Repeating a failed call does the same work again.
+    ``shards``: path -> size, sha256. A known shard that has vanished is an error. Repeating a failed call does the same work again. Both folders
+    may lie on any storage.
     """
-    pointer = f"{remote}/latest.json"
-    state = {"threshold": 0, "shards": {}}
-    if os.path.exists(pointer):
-        with open(pointer, encoding="utf-8") as f:
-            state = json.load(f)
+    files, pointer = Storage(spark, remote), f"{remote}/latest.json"
+    state = files.json(pointer) if files.exists(pointer) else {"threshold": 0, "shards": {}}
     gone = set(state["shards"]) - set(shards)
     if gone:
         raise ValueError(f"known shards are missing: {sorted(gone)[:3]}")
@@ -42,18 +36,16 @@ def checkpoint(shards: dict[str, dict], rows: int, every: int, source: str, remo
     if reached <= state["threshold"]:
         return state
     new = {p: e for p, e in shards.items() if state["shards"].get(p, {}).get("sha256") != e["sha256"]}
-    os.makedirs(f"{remote}/data", exist_ok=True)
     for p in new:
         target = f"{remote}/data/{p}"
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        shutil.copyfile(f"{source}/{p}", f"{target}.staging")
-        os.replace(f"{target}.staging", target)
+        files.make(target.rsplit("/", 1)[0])
+        files.copy(f"{source}/{p}", f"{target}.staging")
+        files.move(f"{target}.staging", target, overwrite=True)
     fail("data")
     digest = inventory_digest(shards)
-    os.makedirs(f"{remote}/checkpoints", exist_ok=True)
     marker = f"checkpoints/checkpoint-{reached:012d}-{digest[:12]}.json"
-    atomic_json(f"{remote}/{marker}", {"threshold": reached, "rows": rows, "digest": digest, "new": sorted(new), "before": state.get("marker")})
+    files.write(f"{remote}/{marker}", document({"threshold": reached, "rows": rows, "digest": digest, "new": sorted(new), "before": state.get("marker")}))
     fail("marker")
     body = {"threshold": reached, "rows": rows, "marker": marker, "digest": digest, "shards": shards}
-    atomic_json(pointer, body)
+    files.write(pointer, document(body))
     return body

@@ -91,12 +91,12 @@ def test_null_keys_are_errors(spark, tmp_path):
         t.run(spark.createDataFrame([(None, "1")], "k string, v string"), F.col("k"), F.col("v"), lambda d: d)
 
 
-def test_threshold_checkpoints(tmp_path):
+def test_threshold_checkpoints(spark, tmp_path):
     src, remote = tmp_path / "s", str(tmp_path / "r")
     src.mkdir()
     (src / "a").write_text("1")
     shards = {"a": {"size": 1, "sha256": "x"}}
-    go = lambda rows, **k: checkpoints.checkpoint(shards, rows, 10, str(src), remote, **k)
+    go = lambda rows, **k: checkpoints.checkpoint(spark, shards, rows, 10, str(src), remote, **k)
     assert go(9)["threshold"] == 0
 
     def fail(step):
@@ -108,7 +108,22 @@ def test_threshold_checkpoints(tmp_path):
     assert go(12)["threshold"] == 10 and go(19)["threshold"] == 10
     (src / "b").write_text("2")
     shards["b"] = {"size": 1, "sha256": "y"}
-    assert go(25)["threshold"] == 20 and sorted((tmp_path / "r" / "data").iterdir())[1].name == "b"
+    assert go(25)["threshold"] == 20 and sorted(x.name for x in (tmp_path / "r" / "data").iterdir() if x.name[0] != ".") == ["a", "b"]
     del shards["a"]
     with pytest.raises(ValueError):
         go(40)
+
+
+def test_records_without_rows_and_compaction(spark, tmp_path):
+    t = VersionedTarget(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([("a", "1", 1), ("b", "1", 2)], "k string, v string, x int")
+    none = lambda d: d.where("k = 'a'")
+    go = lambda df, f: t.run(df, F.col("k"), F.col("v"), f)
+    assert go(df, none) == 1 and go(df, none) == 1  # b gave no rows, yet it is processed
+    two = df.withColumn("v", F.lit("2"))
+    assert go(two, lambda d: d.where("k = 'b'")) == 2
+    assert sorted((r["_source_key"], r["_source_version"]) for r in t.rows().collect()) == [("b", "2")]  # a's last processing gave none
+    before = target_rows(t)
+    assert t.compact() == 3 and t.compact() == 3 and target_rows(t) == before
+    assert sorted((r["_source_key"], r["_source_version"]) for r in t.rows().collect()) == [("b", "2")]
+    assert go(two, none) == 3

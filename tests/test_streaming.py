@@ -28,3 +28,14 @@ def test_windowed_counts_run(spark, tmp_path):
     q = attempts.windowed(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from w").first()[0] == 1
+
+
+def test_a_new_checkpoint_drops_nothing(spark, tmp_path):
+    talk = lambda x: [(x, "user"), ("done", "assistant")]
+    kind = "synthetic_id string, conversations array<struct<content:string,role:string>>"
+    folder = str(tmp_path / "accepted")
+    for k, rows in enumerate(([("a", talk("one"))], [("a", talk("one")), ("b", talk("two"))])):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / f"in{k}"))
+        acceptor.run(stream, folder, str(tmp_path / f"check{k}"))  # batch numbers start at 0 again
+    assert sorted(r.synthetic_id for r in acceptor.accepted(spark, folder).collect()) == ["a", "b"]
