@@ -135,11 +135,15 @@ class VersionedTarget:
             due.select(KEY, VERSION).distinct().withColumn("_part", mark).write.parquet(f"{part}/seen")
             self.files.delete(f"{part}/due")
             fail("written")
-            body = {"version": now["version"] + 1, "parts": [*now["parts"], token]}
-            self.files.write_new(f"{self.path}/versions/{body['version']:012d}.json", document(body))
         except BaseException:
             self.files.delete(part)
             raise
+        body = {"version": now["version"] + 1, "parts": [*now["parts"], token]}
+        try:
+            self.files.write_new(f"{self.path}/versions/{body['version']:012d}.json", document(body))
+        except FileExistsError:  # another writer was first; after any other error the part stays, as the version may be there all the same
+            self.files.delete(part)
+            raise
         fail("published")
         return body["version"]
 

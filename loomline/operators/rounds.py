@@ -2,17 +2,20 @@
 
 The folder of a run is its state, on any storage:
 
-    accepted/round-NNNNNN/   synthetic_id, conversations, fingerprint of the slots accepted in a round
-    attempts/round-NNNNNN/   one record an attempt, never changed again
-    progress.json            where the run stands, replaced after each round
+    accepted/round-NNNNNN-<token>/   synthetic_id, conversations, fingerprint of the slots accepted in a round
+    attempts/round-NNNNNN-<token>/   one record an attempt
+    progress.json                    where the run stands, replaced after each round; a snapshot, the folders decide
+
+Both folders only ever get new parts.
 
 A round takes slots without an accepted conversation, those already tried before new ones, asks the generator once for each,
-judges the answers, resolves collisions against everything accepted, and commits the attempts after the accepted rows. A round
-that broke off between the two is found half committed and its attempts are not counted; its accepted rows stand.
+judges the answers, resolves collisions against everything accepted, and commits the attempts after the accepted rows. If a round
+breaks off between the two, its accepted rows stand and its attempts are not counted.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,8 +60,14 @@ class Run:
         return self._read("attempts", ATTEMPT)
 
     def progress(self) -> dict:
+        """The snapshot written last."""
         path = f"{self.folder}/progress.json"
-        return self.files.json(path) if self.files.exists(path) else {"rounds": 0, "requests": 0, "accepted": 0, "stopped": None}
+        return self.files.json(path) if self.files.exists(path) else {**self.counted(), "stopped": None}
+
+    def counted(self) -> dict:
+        """Rounds, requests and accepted slots as the folders have them."""
+        rounds_ = [int(n.split("-")[1]) for n in self.files.names(f"{self.folder}/attempts")]
+        return {"rounds": max(rounds_, default=0), "requests": self.attempts().count(), "accepted": self.accepted().count()}
 
     def due(self, most_attempts: int) -> DataFrame:
         """Slots to ask for: not accepted, fewer than ``most_attempts`` attempts; with the number of the next attempt."""
@@ -72,11 +81,11 @@ class Run:
         ``generate``: a pure function of slots with attempt_number that adds conversations, error, error_code and interaction_id;
         ``judge``: the list of codes of an answer. A null conversation without an error is rejected as ``invalid_json``.
         """
-        now = self.progress()
+        now = self.counted()
         left = batch if budget is None else min(batch, budget - now["requests"])
         if left <= 0:
             return self._stop(now, "budget")
-        number = now["rounds"] + 1
+        part = f"round-{now['rounds'] + 1:06d}-{uuid.uuid4().hex}"
         # retries come before new work
         asked = cut(self.due(most_attempts).orderBy(F.col("attempt_number") == 1, "attempt_number", "synthetic_id").limit(left))
         if asked.isEmpty():
@@ -88,17 +97,16 @@ class Run:
         good = rows.where(~F.col("_failed") & (F.size("rejection_codes") == 0))
         won = cut(collision_winners(good.select(*ACCEPTED.names), self.accepted(), "fingerprint", "synthetic_id").where("won").select(*ACCEPTED.names))
         if not won.isEmpty():
-            won.write.mode("overwrite").parquet(f"{self.folder}/accepted/round-{number:06d}")
+            won.write.parquet(f"{self.folder}/accepted/{part}")
         rows = rows.join(won.select("synthetic_id", F.lit(True).alias("_won")), "synthetic_id", "left")
         lost = ~F.col("_failed") & (F.size("rejection_codes") == 0) & F.col("_won").isNull()
         status = F.when(F.col("_failed"), "provider_error").when(F.col("_won"), "accepted").otherwise("rejected")
         error = F.when(F.col("_failed"), A.safe_error(F.coalesce("error", F.lit("")), secret)).when(lost, "duplicate_conversation").when(F.size("rejection_codes") > 0, F.array_join("rejection_codes", "; "))
         order = F.row_number().over(_by_id()) + F.lit(now["requests"])
         record = rows.withColumns({"status": status, "error": error, "rejection_codes": F.when(lost, F.array(F.lit("duplicate_conversation"))).otherwise(F.col("rejection_codes")), "conversation_fingerprint": F.col("fingerprint"), "provider_request_number": order})
-        attempt_record(record, self.policy).write.mode("overwrite").parquet(f"{self.folder}/attempts/round-{number:06d}")
-        mine = self.spark.read.schema(ATTEMPT).parquet(f"{self.folder}/attempts/round-{number:06d}")
-        n, ok, fatal = mine.agg(F.count("*"), F.count_if(F.col("status") == "accepted"), F.count_if(F.col("error_code").isin(*A.FATAL))).first()
-        body = {"rounds": number, "requests": now["requests"] + n, "accepted": now["accepted"] + ok, "stopped": "fatal" if fatal else None}
+        attempt_record(record, self.policy).write.parquet(f"{self.folder}/attempts/{part}")
+        sound = self.spark.read.schema(ATTEMPT).parquet(f"{self.folder}/attempts/{part}").where(F.col("error_code").isin(*A.FATAL)).isEmpty()
+        body = {**self.counted(), "stopped": None if sound else "fatal"}
         self.files.write(f"{self.folder}/progress.json", document(body))
         return body
 
@@ -109,7 +117,7 @@ class Run:
 
     def until(self, generate: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], Column], batch: int, most_attempts: int = 3, budget: int | None = None, target: int | None = None, idle: int = 3, secret: str = "") -> dict:
         """Rounds until the target is reached, nothing is due, the budget is spent, a fatal error came, or ``idle`` rounds accepted nothing."""
-        dry, last = 0, self.progress()
+        dry, last = 0, {**self.counted(), "stopped": None}
         while target is None or last["accepted"] < target:
             now = self.round(generate, judge, batch, most_attempts, budget, secret)
             if now["stopped"]:

@@ -77,8 +77,11 @@ def test_half_committed_round(spark, tmp_path):
     finally:
         rounds.attempt_record = real
     assert [r.synthetic_id for r in run.accepted().collect()] == ["a"] and run.attempts().count() == 0
-    run.until(broken, judge, 5)
+    asked = []
+    run.until(lambda x: asked.append([r.synthetic_id for r in x.collect()]) or broken(x), judge, 5)
+    assert asked == [["b"]]  # what was accepted stands and is not asked for again
     assert sorted(r.synthetic_id for r in run.accepted().collect()) == ["a", "b"]
+    assert run.progress() == {"rounds": 1, "requests": 1, "accepted": 2, "stopped": "done"}
 
 
 def test_sample_pairs(spark):
