@@ -125,6 +125,18 @@ def publish_identity_drift(spark, d):
     return now.exceptAll(then).withColumn("side", F.lit("only_source")).union(then.exceptAll(now).withColumn("side", F.lit("only_slots")))
 
 
+def publish_identity_changes(spark, d):
+    """The same with every twentieth source row under another task name: both ids of each such row."""
+    from loomline.functions import identity
+
+    rows = table(spark, d, "source_trajectories").select("source_file", "source_row_index", "trial_name", "run_id", "task", conv.fingerprint(F.col("conversations")).alias("fingerprint")).distinct()
+    task = F.when(F.col("source_row_index") % 20 == 0, F.concat("task", F.lit("-renamed"))).otherwise(F.col("task"))
+    rid = identity.source_record_id(*[F.col(c) if c != "task" else task for c in ("source_file", "source_row_index", "trial_name", "run_id", "task", "fingerprint")])
+    now = cut(rows.select("source_file", "source_row_index", rid.alias("source_record_id")))
+    then = table(spark, d, "refinement_slots").select("source_file", "source_row_index", "source_record_id").distinct()
+    return now.exceptAll(then).withColumn("side", F.lit("only_source")).union(then.exceptAll(now).withColumn("side", F.lit("only_slots")))
+
+
 def checkpoint_thresholds(spark, d):
     rows = table(spark, d, "sidecar_state").where("synced_completed_rows IS NOT NULL").select("run_instance_id", "state_seq", "synced_completed_rows", "checkpoint_rows").distinct()
     return checkpoints.advances(rows, "run_instance_id", "state_seq", "synced_completed_rows", F.col("checkpoint_rows"))
@@ -149,7 +161,7 @@ _CHECKS = {
     "flag": "NOT coalesce(r.is_synthetic_augmentation, false)",
     "fingerprint": "lower(r.refined_conversation_fingerprint) IS DISTINCT FROM " + Q.FP.replace("conversations", "r.conversations"),
 }
-QUERIES = {f.__name__: f for f in (attempts_per_slot, attempts_error_histogram, attempts_rejection_histogram, attempts_first_success, attempts_report, attempts_totals_by_task, attempts_stop_rule, attempts_safe_errors, attempts_hourly, dedup_keep_first_documents, dedup_collision_winner, uniqueness_violations, expected_versus_accepted, publish_union_counts, publish_exact_shards, publish_shard_sizes, publish_lineage_violations, publish_identity_drift, checkpoint_thresholds, run_progress)}
+QUERIES = {f.__name__: f for f in (attempts_per_slot, attempts_error_histogram, attempts_rejection_histogram, attempts_first_success, attempts_report, attempts_totals_by_task, attempts_stop_rule, attempts_safe_errors, attempts_hourly, dedup_keep_first_documents, dedup_collision_winner, uniqueness_violations, expected_versus_accepted, publish_union_counts, publish_exact_shards, publish_shard_sizes, publish_lineage_violations, publish_identity_drift, publish_identity_changes, checkpoint_thresholds, run_progress)}
 _FATAL = "error_code IN (400, 401, 403, 404)"
 SQL = {
     "attempts_per_slot": f"WITH {_ATT} SELECT synthetic_id, count(*) AS n_attempts, max(attempt_number)::BIGINT AS last_attempt FROM a WHERE synthetic_id IS NOT NULL GROUP BY synthetic_id",
@@ -171,6 +183,7 @@ SQL = {
     "publish_lineage_violations": "WITH s AS (SELECT DISTINCT source_record_id, source_file, source_row_index, source_trial_name, source_conversation_fingerprint, source_run_id, source_task_id FROM refinement_slots QUALIFY row_number() OVER (PARTITION BY source_record_id ORDER BY source_conversation_fingerprint NULLS FIRST, source_file) = 1), r AS (SELECT DISTINCT * FROM refined_rows) "
     + " UNION ALL ".join(f"SELECT DISTINCT r.run_id, '{n}' AS reason FROM r LEFT JOIN s ON s.source_record_id = r.source_record_id WHERE {c}" for n, c in _CHECKS.items()),
     "publish_identity_drift": f"WITH n AS ({Q.SQL['source_identity']}), t AS (SELECT DISTINCT source_file, source_row_index, source_record_id FROM refinement_slots) SELECT *, 'only_source' AS side FROM (SELECT source_file, source_row_index, source_record_id FROM n EXCEPT SELECT * FROM t) UNION ALL SELECT *, 'only_slots' FROM (SELECT * FROM t EXCEPT SELECT source_file, source_row_index, source_record_id FROM n)",
+    "publish_identity_changes": f"WITH n AS ({Q.SQL['source_identity'].replace('task || chr(0)', '(CASE WHEN source_row_index % 20 = 0 THEN task || ' + chr(39) + '-renamed' + chr(39) + ' ELSE task END) || chr(0)')}), t AS (SELECT DISTINCT source_file, source_row_index, source_record_id FROM refinement_slots) SELECT *, 'only_source' AS side FROM (SELECT source_file, source_row_index, source_record_id FROM n EXCEPT SELECT * FROM t) UNION ALL SELECT *, 'only_slots' FROM (SELECT * FROM t EXCEPT SELECT source_file, source_row_index, source_record_id FROM n)",
     "checkpoint_thresholds": "WITH s AS (SELECT DISTINCT run_instance_id, state_seq, synced_completed_rows, checkpoint_rows FROM sidecar_state WHERE synced_completed_rows IS NOT NULL), r AS (SELECT *, (synced_completed_rows // checkpoint_rows * checkpoint_rows)::BIGINT AS reached FROM s) SELECT * FROM r QUALIFY reached > coalesce(max(reached) OVER (PARTITION BY run_instance_id ORDER BY state_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
     "run_progress": "SELECT run_instance_id, count(*) AS n_shards, sum(row_count)::BIGINT AS n_rows FROM (SELECT DISTINCT run_instance_id, snapshot_seq, regexp_extract(path, 'accepted-([0-9a-f]{20})', 1) AS shard, row_count, lower(sha256) AS sha256 FROM sealed_inventory QUALIFY row_number() OVER (PARTITION BY run_instance_id, shard ORDER BY snapshot_seq DESC, lower(sha256) DESC) = 1) GROUP BY run_instance_id",
 }

@@ -97,6 +97,41 @@ def _both(spark, d):
     return ref.join(src.withColumnRenamed("conversations", "source"), ["source_file", "source_row_index"])
 
 
+def _broken(source, candidate, bucket):
+    """Candidates made to raise each code: what is done to one depends on the last character of its id."""
+    turn = lambda c, r: F.struct(F.lit(c).alias("content"), F.lit(r).alias("role"))
+    swap = lambda role, text: F.transform(candidate, lambda t: F.struct(F.when(t["role"] == role, F.lit(text)).otherwise(t["content"]).alias("content"), t["role"].alias("role")))
+    made = {
+        "0": source,
+        "1": F.concat(candidate, F.array(turn("And what comes after that, in your view?", "user"))),
+        "2": F.concat(F.array(turn("stray output", "tool")), candidate),
+        "3": F.concat(F.slice(candidate, F.lit(1), F.greatest(F.size(candidate) - 1, F.lit(0))), F.array(turn("I'm sorry, I cannot help with that.", "assistant"))),
+        "4": F.concat(candidate, F.slice(candidate, -1, 1)),
+        "5": swap("user", "Paint the kitchen walls blue tomorrow."),
+        "6": F.filter(candidate, lambda t: t["role"] == "user"),
+        "7": F.transform(candidate, lambda t: F.struct(F.lit(None).cast("string").alias("content"), t["role"].alias("role"))),
+        "9": F.concat(F.slice(candidate, F.lit(1), F.greatest(F.size(candidate) - 1, F.lit(0))), F.array(turn("The review is complete and the key points are known", "assistant"))),
+        "8": F.transform(candidate, lambda t: F.struct(F.lit("ok then").alias("content"), t["role"].alias("role"))),
+    }
+    out = F.when(F.lit(False), candidate)
+    for b, c in made.items():
+        out = out.when(bucket == b, c)
+    return out.otherwise(candidate)
+
+
+def quality_derived_codes(spark, d):
+    """Codes of candidates of which most were broken on purpose, so that every code occurs."""
+    rows = _both(spark, d).withColumn("candidate", _broken(F.col("source"), F.col("candidate"), F.right("run_id", F.lit(1))))
+    rows, p = quality.prepared(rows, "source", "candidate")
+    return rows.select("run_id", F.array_join(quality.codes_of(p), ",").alias("codes")).distinct()
+
+
+def policy_derived_codes(spark, d):
+    """Codes of the second policy for the same candidates."""
+    rows = _both(spark, d).withColumn("candidate", _broken(F.col("source"), F.col("candidate"), F.right("run_id", F.lit(1))))
+    return rows.select("run_id", F.array_join(quality.secondary_codes(F.col("source"), F.col("candidate")), ",").alias("codes")).distinct()
+
+
 def _codes(spark, d, with_anchors):
     rows, p = quality.prepared(_both(spark, d), "source", "candidate", with_anchors)
     return rows.select("run_id", F.array_join(quality.codes_of(p), ",").alias("codes")).distinct()
@@ -203,7 +238,23 @@ _SECONDARY = _LIST(
     ("vague_completion", f"regexp_matches(final, '{_RE(X.VAGUE)}') AND NOT regexp_matches(final, '{_RE(X.CONCRETE)}')"),
 )
 
-QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_plain, quality_issue_details, quality_code_histogram, policy_secondary_codes, token_retention)}
+_T = "struct_pack(content := {}, role := {})".format
+_MAKE = {
+    "0": "source",
+    "1": f"list_append(conversations, {_T(chr(39) + 'And what comes after that, in your view?' + chr(39), chr(39) + 'user' + chr(39))})",
+    "2": f"list_prepend({_T(chr(39) + 'stray output' + chr(39), chr(39) + 'tool' + chr(39))}, conversations)",
+    "3": f"list_append(conversations[:-2], {_T(chr(39) + 'I' + chr(39) * 2 + 'm sorry, I cannot help with that.' + chr(39), chr(39) + 'assistant' + chr(39))})",
+    "4": "list_concat(conversations, conversations[-1:])",
+    "5": f"list_transform(conversations, lambda t: {_T('CASE WHEN t.role = ' + chr(39) + 'user' + chr(39) + ' THEN ' + chr(39) + 'Paint the kitchen walls blue tomorrow.' + chr(39) + ' ELSE t.content END', 't.role')})",
+    "6": "list_filter(conversations, lambda t: t.role = 'user')",
+    "7": f"list_transform(conversations, lambda t: {_T('NULL::VARCHAR', 't.role')})",
+    "9": f"list_append(conversations[:-2], {_T(chr(39) + 'The review is complete and the key points are known' + chr(39), chr(39) + 'assistant' + chr(39))})",
+    "8": f"list_transform(conversations, lambda t: {_T(chr(39) + 'ok then' + chr(39), 't.role')})",
+}
+_CASES = "CASE right(run_id, 1) " + " ".join(f"WHEN '{b}' THEN {x}" for b, x in _MAKE.items()) + " ELSE conversations END"
+_DERIVE = lambda sql: sql.replace("r.conversations AS candidate", _CASES.replace("conversations", "r.conversations") + " AS candidate")
+
+QUERIES = {f.__name__: f for f in (slot_secondary_choice, slot_assignment, slot_id_check, slot_pending_antijoin, slot_microbatches, slot_within_budget, slot_attempt_seed, batch_prompt_sources, plan_variant_quota, plan_variants, plan_temperatures, pilot_topk_sample, split_exact_holdout, shuffle_by_hash, quality_codes, quality_codes_plain, quality_derived_codes, policy_derived_codes, quality_issue_details, quality_code_histogram, policy_secondary_codes, token_retention)}
 _PENDING = f"SELECT synthetic_id, source_task_id FROM ({_SL}) s WHERE NOT EXISTS (SELECT 1 FROM refined_rows r WHERE r.run_id = s.synthetic_id)"
 SQL = {
     "slot_secondary_choice": f"WITH {_IDS}, {_SECOND} SELECT source_record_id FROM second",
@@ -221,6 +272,8 @@ SQL = {
     "split_exact_holdout": f"WITH {_IDS} SELECT source_record_id, CASE WHEN row_number() OVER (ORDER BY sha256('split42' || chr(0) || source_record_id), source_record_id) <= 100 THEN 'test' ELSE 'train' END AS split FROM ids",
     "shuffle_by_hash": "SELECT sample_id, row_number() OVER (ORDER BY sha256('shuffle42' || chr(0) || sample_id), sample_id) - 1 AS position FROM (SELECT DISTINCT sample_id FROM mitre_sft)",
     "quality_codes": _QUALITY + "SELECT DISTINCT run_id, codes FROM c",
+    "quality_derived_codes": _DERIVE(_QUALITY) + "SELECT DISTINCT run_id, codes FROM c",
+    "policy_derived_codes": _DERIVE(_PAIRS) + f", i AS (SELECT *, {_TEXT('candidate', chr(39) + 'user' + chr(39), chr(39) + ' ' + chr(39))} AS ask_, {_TEXT('source', chr(39) + 'user' + chr(39), chr(39) + ' ' + chr(39))} AS asked_ FROM h) SELECT DISTINCT run_id, {_SECONDARY} AS codes FROM i",
     "quality_codes_plain": _PLAIN + "SELECT DISTINCT run_id, codes FROM c",
     "quality_code_histogram": _QUALITY + "SELECT code, count(*) AS n FROM (SELECT run_id, unnest(string_split(codes, ',')) AS code FROM (SELECT DISTINCT run_id, codes FROM c)) WHERE code != '' GROUP BY code",
     "policy_secondary_codes": _PAIRS + f", i AS (SELECT *, {_TEXT('candidate', chr(39) + 'user' + chr(39), chr(39) + ' ' + chr(39))} AS ask_, {_TEXT('source', chr(39) + 'user' + chr(39), chr(39) + ' ' + chr(39))} AS asked_ FROM h) SELECT DISTINCT run_id, {_SECONDARY} AS codes FROM i",
