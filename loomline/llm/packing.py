@@ -29,34 +29,43 @@ def pretoken_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PRETOKENS)), F.lit(0)).cast("bigint")
 
 
-def _bits(total: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
-    """reach[i]: bitset of the sums that sizes[:i] can make, each size as often as counted."""
-    reach, full = [1], (1 << (total + 1)) - 1
-    for s in sizes:
-        now, left, step = reach[-1], min(counts[s], total // s), 1
-        while left > 0:
-            take = min(step, left)
-            now |= (now << (take * s)) & full
-            left -= take
-            step *= 2
-        reach.append(now)
+def _add(reach: int, size: int, count: int, total: int) -> int:
+    """The bitset of sums once up to ``count`` items of a size may be added."""
+    full, left, step = (1 << (total + 1)) - 1, min(count, total // size), 1
+    while left > 0:
+        take = min(step, left)
+        reach |= (reach << (take * size)) & full
+        left -= take
+        step *= 2
     return reach
 
 
 def fullest(total: int, sizes: list[int], counts: dict[int, int]) -> dict[int, int]:
-    """The combination with the largest sum not over ``total``; larger sizes are preferred."""
+    """The combination with the largest sum not over ``total``; larger sizes are preferred.
+
+    Bitsets are kept at every so manieth size and made again in between, so memory grows with the root of their number.
+    """
     order = sorted((s for s in sizes if 0 < s <= total and counts[s] > 0))
-    reach = _bits(total, order, counts)
-    rest = reach[-1].bit_length() - 1
+    width = math.isqrt(len(order)) + 1
+    blocks = [order[k : k + width] for k in range(0, len(order), width)]
+    marks, reach = [], 1
+    for block in blocks:
+        marks.append(reach)
+        for s in block:
+            reach = _add(reach, s, counts[s], total)
+    rest = reach.bit_length() - 1
     chosen: dict[int, int] = {}
-    for i in range(len(order) - 1, -1, -1):
-        s, most = order[i], min(counts[order[i]], rest // order[i] if order[i] else 0)
-        for k in range(most, -1, -1):
-            if (reach[i] >> (rest - k * s)) & 1:
-                if k:
-                    chosen[s] = k
-                rest -= k * s
-                break
+    for mark, block in zip(reversed(marks), reversed(blocks)):
+        before = [mark]
+        for s in block[:-1]:
+            before.append(_add(before[-1], s, counts[s], total))
+        for s, reach in zip(reversed(block), reversed(before)):
+            for k in range(min(counts[s], rest // s), -1, -1):
+                if (reach >> (rest - k * s)) & 1:
+                    if k:
+                        chosen[s] = k
+                    rest -= k * s
+                    break
     return chosen
 
 
