@@ -17,6 +17,7 @@ Values that end with a stop, a closed form or a shell prompt are complete.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,29 +109,34 @@ def phrase_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     found = f" {_STOP} ".join(t.replace("\n", f" {_BREAK} ") for t in texts).split()
     found.append(_STOP)
     h, final = _hashed(found)
+    own = [t for t in set(found) if len(t) > 3 and t.isalpha() and t.islower()]
+    del found
     over = h == _OVER
     gap = (h == _EDGE) | over
     real = ~gap
     real[:-1] &= final[:-1] | ~over[1:]
     final[:-1] |= gap[1:]
-    keys = phrase_keys(h, final, gap)
     real = np.flatnonzero(real)
-    all_keys = np.concatenate([k[real] for k in keys])
-    ends = np.tile(final[real], len(keys))
-    inverse, uniq = pd.factorize(all_keys)
-    n_end = np.bincount(inverse, weights=ends, minlength=len(uniq)).astype(np.int64)
-    n_all = np.bincount(inverse, minlength=len(uniq))
-    own = [t for t in set(found) if len(t) > 3 and t.isalpha() and t.islower()]
-    return uniq, n_end, n_all - n_end, own, _hashed(own)[0]
+    ends = final[real].astype(np.float64)
+    out: list[tuple[np.ndarray, ...]] = []
+    # lengths one after the other: workers keep the most memory they ever took
+    for keys in phrase_keys(h, final, gap):
+        inverse, uniq = pd.factorize(keys[real])
+        n_end = np.bincount(inverse, weights=ends, minlength=len(uniq)).astype(np.int64)
+        out.append((uniq, n_end, np.bincount(inverse, minlength=len(uniq)) - n_end))
+    return *(np.concatenate(x) for x in zip(*out)), own, _hashed(own)[0]
 
 
-def phrase_keys(h: np.ndarray, final: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
+def phrase_keys(h: np.ndarray, final: np.ndarray, gap: np.ndarray) -> Iterator[np.ndarray]:
     """Keys of the one, two and three tokens that end at each place, and of any token after the one before; sentences do not run on."""
     start = final | gap
     one = np.concatenate(([_EDGE], np.where(start[:-1], _EDGE, h[:-1]))) if len(h) else h
     two = np.concatenate(([_EDGE], np.where(start[:-1], _EDGE, one[:-1]))) if len(h) else h
     # tokens are hashes already: odd multiples of them tell phrases of different lengths apart
-    return h, h * _TURNS[0] + one * _TURNS[1], h * _TURNS[2] + one * _TURNS[3] + two * _TURNS[4], one * _TURNS[5] + _ODD
+    yield h
+    yield h * _TURNS[0] + one * _TURNS[1]
+    yield h * _TURNS[2] + one * _TURNS[3] + two * _TURNS[4]
+    yield one * _TURNS[5] + _ODD
 
 
 def state(text: str | None) -> str:
@@ -212,8 +218,8 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
     def run(batches):
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 ids, sources, talks = (part.column(i).to_pylist() for i in range(3))
                 out: dict[str, list] = {n: [] for n in own_names}
                 flat: list[str] = []
@@ -244,6 +250,8 @@ def turns(df: DataFrame, key: str, conversations: str, source: str) -> DataFrame
                     keys, ends, mids, own, own_keys = phrase_counts(flat[a:b])
                     yield packed(0, types, keys=keys.view(np.int64), n_end=ends.astype(np.int32), n_mid=mids.astype(np.int32))
                     yield packed(2, types, keys=own_keys.view(np.int64), words=np.array(own, object))
+                del flat, held, talks
+                pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
