@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.session import cut
+from loomline.functions.session import arrow_rows, cut
 from loomline.llm import truncation
 from loomline.llm.words import WORD, mix
 
@@ -454,7 +454,8 @@ def broken_pairs(rows: DataFrame, sample_size: int = 3000) -> DataFrame:
                     cols += [pa.array([DEFECTS[best[i]] for i in at]), pa.array(top[at]), pa.array(z[at, 1])]
                     yield pa.RecordBatch.from_arrays(cols, names=["table_name", "record_id", "turn_index", "other", "other_score", "cut_score"])
 
-    found = cut(rows.select("table_name", "record_id", "turns").mapInArrow(score, "table_name string, record_id string, turn_index int, other string, other_score double, cut_score double")).distinct()
+    with arrow_rows(spark, truncation.BATCH):
+        found = cut(rows.select("table_name", "record_id", "turns").mapInArrow(score, "table_name string, record_id string, turn_index int, other string, other_score double, cut_score double")).distinct()
     out = found.withColumn("id", F.concat_ws("\x00", "table_name", "record_id")).join(cuts.withColumn("evident", F.lit(model.value.evidence)), ["id", "turn_index"], "left")
     cut_score = F.col("cut_score") + F.coalesce("evident", F.lit(0.0))
     score_ = F.greatest("other_score", cut_score)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.session import cut
+from loomline.functions.session import arrow_rows, cut
 from loomline.llm.words import chunks
 
 import xxhash
@@ -34,6 +34,7 @@ STOPS = ".!?…。"
 _CLOSERS = "\"'`)]}*_»”’"
 _BREAK, _STOP = "\x00", "\x01"
 COMMON = 5  # times in all texts
+BATCH = 1024  # conversations handed to a task at a time
 BROADCAST_PREFIXES = 500_000  # 14 MB
 PREFIXES = tuple(2**k for k in range(5, 21))  # lengths at which longer copies are looked up; shorter values at their own length
 HEAD = 3  # characters by which short suspects are looked up first
@@ -397,6 +398,11 @@ def truncated_turns(df: DataFrame, key: str, conversations: str, source: str, pr
     result. A null source shares the limits of all sources. An empty table gives no rows. ``probes`` (same columns,
     ids of their own) are judged by the form and last phrases of their turns too, but counted nowhere: neither as phrases nor for limits or copies.
     """
+    with arrow_rows(df.sparkSession, BATCH):
+        return _truncated(df, key, conversations, source, probes)
+
+
+def _truncated(df: DataFrame, key: str, conversations: str, source: str, probes: DataFrame | None) -> DataFrame:
     scanned = cut(turns(df, key, conversations, source))
     suspects = scanned.where("kind = 1").drop("kind", "keys", "n_end", "n_mid", "words").distinct()
     if probes is not None:
