@@ -544,6 +544,47 @@ def test_labels_spread_over_sentences_of_no_seed(spark):
     assert got == {1: "near_copy"}
 
 
+def test_labels_spread_to_texts_of_no_seed(spark):
+    # each sentence is like the one before it only; the texts of all but the first have no trusted sentence
+    seeds = [("error_page", "alpha beta gamma delta epsilon zeta eta theta iota kappa"), ("furniture", "go back")]
+    a = "alpha beta gamma delta epsilon zeta eta one two three"
+    b = "alpha beta gamma delta one two three zeta four five"
+    c = "alpha beta one two three zeta four five six seven"
+    rows = [(1, f"Title. {a}."), (2, f"Title. {b}."), (3, f"Title. {a}. Some other words that were never seen before, and more of them."), (4, f"{c}! Go back."), (5, "Title. one two three four five six eight nine ten eleven."), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (100_000, 1):
+        got = [(x.doc_id, x.residue_kind, x.how) for x in residue.residue(df, seeds=seeds, every=True, most=most).collect()]
+        assert sorted(got) == [(k, "error_page", "near_copy") for k in (1, 2, 4)]
+    assert residue.residue(df.limit(0), every=True).count() == 0
+
+
+def test_trusted_sentences_behind_long_ones(spark):
+    # nothing stands between the sentences; the second one begins after more than ten words
+    rows = [(1, "The requested URL was not found on this server and may have moved We could not find the page you are looking for"), (2, "an unexpected condition was met while loading this page this page was deleted or never existed the link you followed may be broken")]
+    seeds = residue.Seeds([("error_page", "the requested url was not found on this server and may have moved")] + residue.SEEDS)
+    found = residue._sentences([t for _, t in rows], seeds)
+    assert [sum(x[0] == k and x[4] >= 0 for x in found) for k in (0, 1)] == [2, 3]
+
+
+def test_index_leaves_no_pair_out():
+    # a word that occurs three times weighs more in a SimHash than three words
+    seeds = residue.Seeds([("error_page", f"{x} beta gamma delta epsilon zeta eta theta iota kappa") for x in ("alpha", "omega")])
+    tail = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    each = [np.array([residue._tokens[t] for t in ["beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", x, x, x]], np.uint64) for x in tail]
+    sizes = np.full(len(each), 10)
+    assert (seeds.nearest(np.concatenate(each), np.cumsum(sizes) - sizes, sizes)[0] == 0).all()
+    r = random.Random(41)
+    for _ in range(30):
+        v = r.choice([5, 12, 40])
+        own, other = ([np.array([r.randrange(v) for _ in range(r.randint(1, 14))], np.uint64) for _ in range(50)] for _ in range(2))
+        groups, but = np.array([r.choice([0, 3, 4]) for _ in own]), np.array([r.choice([-1, 0, 1, 3, 9]) for _ in other])
+        index, sizes = residue.Index(own, groups), np.array([len(x) for x in other])
+        index.PAIRS = r.choice([5, 300, 10**6])
+        i, k, share = index.pairs(np.concatenate(other), np.cumsum(sizes) - sizes, sizes, but)
+        brute = {(x, y): residue.alike(Counter(p.tolist()), Counter(q.tolist())) for x, p in enumerate(other) for y, q in enumerate(own) if groups[y] != but[x]}
+        assert dict(zip(zip(i.tolist(), k.tolist()), share.tolist())) == {p: x for p, x in brute.items() if x >= residue.ALIKE}
+
+
 def test_simhash_tables_find_edited_sentences(spark):
     r = random.Random(31)
     rows, of = [], {}
