@@ -397,6 +397,33 @@ def pair_table(spark):
     return rows, spark.createDataFrame([(*x, "c") for x in rows + rows[-12:]] + [(None, talk(ask, ""), "c")], "run_id string, conversations array<struct<content:string,role:string>>, defect string")
 
 
+def test_phrases_are_counted_and_selected_by_one_aggregation(spark):
+    lists = "kind int, keys array<bigint>, n_end array<int>, n_mid array<int>"
+    scanned = spark.createDataFrame([(0, [1, 2, 3], [1, 0, 2], [0, 5, 1]), (0, [1, 4], [2, 1], [7, 0]), (1, None, None, None), (2, [4], None, None)], lists)
+    wanted = spark.createDataFrame([([1, 9],), ([1, 3],), ([],), (None,)], "keys array<bigint>")
+    assert sorted(map(tuple, truncation.phrase_stats(scanned, wanted).collect())) == [(1, 3, 7), (3, 2, 1)]
+
+
+def test_cut_turns_take_little_memory(spark, monkeypatch):
+    """Phrases are not joined, which would sort them all; texts are read in small batches; the session's own sizes come back."""
+    rows, _ = cut_rows()
+    df = spark.createDataFrame(rows, "run_id string, trace_source string, conversations array<struct<content:string,role:string>>")
+    sizes, plans, run = set(), [], truncation.cut
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+
+    def watched(x):
+        sizes.update(int(spark.conf.get(n)) for n in names)
+        if x.columns == ["k", "e", "m"]:
+            plans.append(x._jdf.queryExecution().optimizedPlan().toString())
+        return run(x)
+
+    monkeypatch.setattr(truncation, "cut", watched)
+    truncation.truncated_turns(df, "run_id", "conversations", "trace_source").count()
+    assert sizes == {truncation.BATCH} and [spark.conf.get(n) for n in names] == before
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_broken_pairs(spark):
     rows, df = pair_table(spark)
     recs = pairs.records(df, "t", F.col("run_id"), "conversations", F.lit(None))
